@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .cascade import quality_cascade
+from .line_dedup import SQL as LINE_DEDUP_SQL
+from .line_dedup import line_dedup
 from .packing import pack
 from .quality_gbdt import quality
 from .toxicity import toxicity
@@ -23,6 +25,10 @@ def tokenizer_files() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,7 +46,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_toxicity, op7_quality, op8_packing, op9_quality_rules)
+    f.__name__: f for f in (op2_line_dedup, op4_toxicity, op7_quality, op8_packing, op9_quality_rules)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": LINE_DEDUP_SQL}
