@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .cascade import quality_cascade
 from .line_dedup import SQL as LINE_DEDUP_SQL
 from .line_dedup import line_dedup
+from .ngram_join import SQL as NGRAM_JOIN_SQL
+from .ngram_join import ngram_join
 from .packing import pack
 from .quality_gbdt import quality
 from .toxicity import toxicity
@@ -33,6 +35,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,7 +52,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_line_dedup, op4_toxicity, op7_quality, op8_packing, op9_quality_rules)
+    f.__name__: f for f in (op2_line_dedup, op4_toxicity, op5_ngram_join, op7_quality, op8_packing, op9_quality_rules)
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": LINE_DEDUP_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": LINE_DEDUP_SQL, "op5_ngram_join": NGRAM_JOIN_SQL}
