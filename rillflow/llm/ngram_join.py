@@ -27,11 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, local_components
 from .shared import drop_table, shuffle_partitions, write_table
 from .wordhash import Text, chunks, mix, sort_by_doc, window_hashes
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 TILE_ROWS = 1024
 CUTS = 8
 
@@ -218,15 +218,31 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A parity bitmap of about four bits an n-gram, a power of two of them."""
+    """A parity bitmap of about 16 bits an n-gram, a power of two of them."""
     for batch in batches:
         out = []
-        for row in batch.column(2):
+        for row in batch.column("hashes"):
             h = mix(row.values.to_numpy(zero_copy_only=False).view(np.uint64))
-            size = 1 << max(9, (4 * len(h) - 1).bit_length())
+            size = 1 << max(9, (16 * len(h) - 1).bit_length())
             odd = (np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(bool)
             out.append(np.packbits(odd, bitorder="little").tobytes())
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "n", "bitmap"])
+        names = [n for n in batch.schema.names if n != "hashes"]
+        yield pa.record_batch([*(batch.column(n) for n in names), pa.array(out, pa.binary())], [*names, "bitmap"])
+
+
+def _prefix_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A forest of the documents of each partition that share an n-gram; rows of one n-gram are in one partition."""
+    held = list(batches)
+    if held:
+        table = pa.Table.from_batches(held)
+        doc, h = table["doc_id"].to_numpy(), table["h"].to_numpy()
+        order = np.lexsort((doc, h))
+        doc, h = doc[order], h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        first = doc[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
+        nodes, label = local_components(doc, first)
+        yield pa.record_batch([pa.array(nodes), pa.array(label)], ["u", "v"])
 
 
 def _fold(bitmap: bytes, words: int) -> np.ndarray:
@@ -248,8 +264,8 @@ class _Forest:
         return x != y
 
 
-def _propose(table: pa.Table, percent: int) -> pa.Table:
-    """Pairs of a tile that may link and would connect components, the most alike first, as a spanning forest."""
+def _propose(table: pa.Table, percent: int, forests: int) -> pa.Table:
+    """Pairs of a tile that may link and would connect components, the most alike first, as disjoint spanning forests."""
     kind, doc, n = (table[c].to_numpy() for c in ("side", "doc_id", "n"))
     label, other = table["label"].to_numpy(), table["other"].to_numpy()
     barred = {(int(a), int(b)) for a, b, s in zip(doc, other, kind, strict=True) if s == 2}
@@ -274,96 +290,92 @@ def _propose(table: pa.Table, percent: int) -> pa.Table:
                 total = n[a] + n[b]
                 ok = apart * (100 + percent) <= total * (100 - percent)
                 found += [(d / t, min(doc[a], doc[j]), max(doc[a], doc[j]), label[a], label[j]) for d, t, j in zip(apart[ok], total[ok], b[ok], strict=True)]
-        forest = _Forest()
-        for _, a, b, la, lb in sorted(found):
-            if (int(a), int(b)) not in barred and forest.join(la, lb):
-                out_a.append(a)
-                out_b.append(b)
+        found = [e for e in sorted(found) if (int(e[1]), int(e[2])) not in barred]
+        for _ in range(forests):
+            forest, rest = _Forest(), []
+            for edge in found:
+                if forest.join(edge[3], edge[4]):
+                    out_a.append(edge[1])
+                    out_b.append(edge[2])
+                else:
+                    rest.append(edge)
+            found = rest
     return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
-def _tiles(groups: DataFrame, percent: int, tile_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, grp, band, cell) of each document, and the pairs of cells to compare.
+def _proposer(percent: int, forests: int):
+    return lambda table: _propose(table, percent, forests)
+
+
+def _tiles(placed: DataFrame, percent: int, tile_rows: int) -> DataFrame:
+    """The rows of ``placed`` (doc_id, n, grp and others) with tile and side, one for each tile that they belong to.
 
     A band holds sizes within the threshold's ratio, so links stay within a band or between neighbours; a band of more
-    than ``tile_rows`` documents is dealt by hash into cells.
+    than ``tile_rows`` documents is dealt by hash into cells, and each pair of cells is a tile.
     """
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)))
-    banded = groups.withColumn("band", band)
+    banded = placed.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int"))
     counts = banded.groupBy("grp", "band").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("cells"))
-    placed = banded.join(counts, ["grp", "band"]).withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.col("cells")).cast("int")).drop("cells")
-    one = counts.select("grp", "band", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
-    other = one.select("grp", F.col("band").alias("band2"), F.col("cell").alias("cell2"))
-    near = [other.withColumn("band", F.col("band2") - shift) for shift in (0, 1)]
-    pairs = one.join(near[0], ["grp", "band"]).where("cell <= cell2").unionByName(one.join(near[1], ["grp", "band"]))
-    return placed, pairs
+    bands = counts.groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("band", "cells"))).alias("bands"))
+    cells = lambda shift: F.coalesce(F.try_element_at("bands", F.col("band") + shift), F.lit(0))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    tile = lambda side, b1, c1, b2, c2: F.struct(F.lit(side).alias("side"), F.struct("grp", b1.alias("b1"), c1.alias("c1"), b2.alias("b2"), c2.alias("c2")).alias("tile"))
+    band, cell = F.col("band"), F.col("cell")
+    own = F.transform(upto(cells(0)), lambda c: F.when(c < cell, tile(1, band, c, band, cell)).otherwise(tile(0, band, cell, band, c)))
+    above = F.transform(upto(cells(1)), lambda c: tile(0, band, cell, band + 1, c))
+    below = F.transform(upto(cells(-1)), lambda c: tile(1, band - 1, c, band, cell))
+    joined = banded.join(bands, "grp").withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.try_element_at("bands", band)).cast("int"))
+    return joined.withColumn("t", F.explode(F.concat(own, above, below))).select("t.tile", "t.side", *placed.columns)
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame, cuts: int) -> DataFrame:
-    """(a, b, overlap): every fragment counts the overlap of its segments separately; the counts are summed per pair."""
+    """(a, b, overlap, na, nb): every fragment counts the overlap of its segments separately; the counts are summed per pair."""
     bits = (cuts - 1).bit_length()  # a fragment is a range of the hash order: its top bits
     parts = F.transform(F.sequence(F.lit(0), F.lit(cuts - 1)), lambda f: F.struct(f.alias("f"), F.filter("hashes", lambda h: F.shiftrightunsigned(h, 64 - bits) == f).alias("seg")))
-    segments = sets.select("doc_id", F.explode(parts).alias("p")).select("doc_id", "p.f", "p.seg")
-    left = pairs.join(segments.select(F.col("doc_id").alias("a"), "f", F.col("seg").alias("seg_a")), "a")
-    both = left.join(segments.select(F.col("doc_id").alias("b"), "f", F.col("seg").alias("seg_b")), ["b", "f"])
-    return both.groupBy("a", "b").agg(F.sum(F.size(F.array_intersect("seg_a", "seg_b"))).alias("overlap"))
+    needed = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi")
+    segments = needed.select("doc_id", "n", F.explode(parts).alias("p")).select("doc_id", "n", "p.f", "p.seg")
+    left = pairs.join(segments.withColumnsRenamed({"doc_id": "a", "n": "na", "seg": "seg_a"}), "a")
+    both = left.join(segments.withColumnsRenamed({"doc_id": "b", "n": "nb", "seg": "seg_b"}), ["b", "f"])
+    overlap = F.sum(F.size(F.array_intersect("seg_a", "seg_b"))).alias("overlap")
+    return both.groupBy("a", "b").agg(overlap, F.first("na").alias("na"), F.first("nb").alias("nb"))
 
 
-def link_components(sets: DataFrame, percent: int, tile_rows: int = TILE_ROWS, cuts: int = CUTS) -> DataFrame | None:
-    """(id, label) of the documents of ``sets`` (doc_id, n, hashes) that link to another; None if no pair can link."""
+def link_components(sets: DataFrame, percent: int, tile_rows: int = TILE_ROWS, cuts: int = CUTS) -> DataFrame:
+    """(id, label) of the documents of ``sets`` (doc_id, n, hashes) that link to another."""
     grams = sets.select("doc_id", F.explode("hashes").alias("h"))
     df = grams.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     ranked = grams.join(df, "h").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("order"))
     # Unshared n-grams are the rarest: they stand first in the prefix, and lead nowhere.
     first = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("long") + 1 - (F.col("n") - F.size("order"))
     prefix = ranked.join(sets.select("doc_id", "n"), "doc_id").where(first > 0).select("doc_id", F.explode(F.slice("order", 1, first.cast("int"))).alias("g")).select("doc_id", "g.h")
-    prefix = write_table(prefix, "prefix")
-    star = prefix.join(prefix.groupBy("h").agg(F.min("doc_id").alias("v")), "h").where("doc_id != v").select(F.col("doc_id").alias("u"), "v").distinct()
-    grouped = components(star)
-    drop_table(prefix)
-    members = write_table(sets.join(grouped.select(F.col("id").alias("doc_id"), F.col("label").alias("grp")), "doc_id").select("doc_id", "n", "hashes", "grp"), "members")
+    edges = prefix.repartition(shuffle_partitions(sets.sparkSession), "h").mapInArrow(_prefix_groups, "u long, v long")
+    grouped = components(edges)
+    members = sets.join(grouped.select(F.col("id").alias("doc_id"), F.col("label").alias("grp")), "doc_id").select("doc_id", "n", "grp", "hashes")
+    tiles = write_table(_tiles(members.mapInArrow(_bitmaps, "doc_id long, n long, grp long, bitmap binary"), percent, tile_rows), "tiles")
     drop_table(grouped)
-    maps = members.select("doc_id", "n", "hashes").mapInArrow(_bitmaps, "doc_id long, n long, bitmap binary")
-    placed, cell_pairs = _tiles(members.select("doc_id", "n", "grp"), percent, tile_rows)
-    placed = write_table(placed.join(maps.drop("n"), "doc_id"), "placed")
-    cell_pairs = write_table(cell_pairs, "cells")
-    links, barred, labels = None, None, None
+    labels, links, barred, forests = None, None, None, 1
+    none = F.lit(0).cast("long")
     while True:
-        now = placed.withColumn("label", F.col("doc_id")) if labels is None else placed.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        tile = F.struct("grp", "band", "cell", "band2", "cell2")
-        rows = now.select("doc_id", "n", "bitmap", "label", "grp", "band", "cell")
-        left = rows.join(cell_pairs, ["grp", "band", "cell"]).select(tile.alias("tile"), F.lit(0).alias("side"), "doc_id", "n", "bitmap", "label", F.lit(0).cast("long").alias("other"))
-        right = (
-            rows.withColumnsRenamed({"band": "band2", "cell": "cell2"}).join(cell_pairs.where("band != band2 OR cell != cell2"), ["grp", "band2", "cell2"])
-            .select(tile.alias("tile"), F.lit(1).alias("side"), "doc_id", "n", "bitmap", "label", F.lit(0).cast("long").alias("other"))
-        )
-        tiles = left.union(right)
-        if barred is not None:
-            at = placed.select("doc_id", "grp", "band", "cell")
-            failed = (
-                barred.join(at.withColumnRenamed("doc_id", "a"), "a").join(at.select(F.col("doc_id").alias("b"), F.col("band").alias("band_b"), F.col("cell").alias("cell_b")), "b")
-                .withColumn("x", F.least(F.struct("band", "cell"), F.struct(F.col("band_b").alias("band"), F.col("cell_b").alias("cell"))))
-                .withColumn("y", F.greatest(F.struct("band", "cell"), F.struct(F.col("band_b").alias("band"), F.col("cell_b").alias("cell"))))
-                .select(F.struct("grp", F.col("x.band").alias("band"), F.col("x.cell").alias("cell"), F.col("y.band").alias("band2"), F.col("y.cell").alias("cell2")).alias("tile"),
-                        F.lit(2).alias("side"), F.col("a").alias("doc_id"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("bitmap"), F.lit(0).cast("long").alias("label"), F.col("b").alias("other"))
-            )
-            tiles = tiles.union(failed)
-        proposed = write_table(tiles.groupBy("tile").applyInArrow(lambda t: _propose(t, percent), "a long, b long").distinct(), "proposed")
-        if proposed.isEmpty():
-            break
-        overlap = _overlaps(proposed, members, cuts)
-        sizes = members.select("doc_id", "n")
-        total = overlap.join(sizes.withColumnsRenamed({"doc_id": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"doc_id": "b", "n": "nb"}), "b")
-        judged = write_table(total.select("a", "b", (100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).alias("link")), "judged")
+        rows = tiles
+        if labels is not None:  # only tiles with a pair that failed can hold more that would connect components
+            failed = tiles.select("tile", F.col("doc_id").alias("a")).join(barred, "a").join(tiles.select("tile", F.col("doc_id").alias("b")), ["tile", "b"]).select("tile", "a", "b").distinct()
+            rows = tiles.join(failed.select("tile").distinct(), "tile", "left_semi").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+        known = F.col("doc_id") if labels is None else F.coalesce("label", "doc_id")
+        rows = rows.select("tile", "side", "doc_id", "n", "bitmap", known.alias("label"), none.alias("other"))
+        if labels is not None:
+            rows = rows.union(failed.select("tile", F.lit(2), "a", none, F.lit(None).cast("binary"), none, "b"))
+        judge = 100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))
+        proposed = write_table(rows.groupBy("tile").applyInArrow(_proposer(percent, forests), "a long, b long").distinct(), "proposed")
+        judged = write_table(_overlaps(proposed, sets, cuts).select("a", "b", judge.alias("link")), "judged")
         drop_table(proposed)
-        good = judged.where("link").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        bad = judged.where("NOT link").select("a", "b")
+        good, bad = judged.where("link").select(F.col("a").alias("u"), F.col("b").alias("v")), judged.where("NOT link").select("a", "b")
         links = good if links is None else links.union(good)
         barred = bad if barred is None else barred.union(bad)
-        labels = components(links)
-    drop_table(placed)
-    drop_table(cell_pairs)
-    drop_table(members)
+        if labels is None or not good.isEmpty():
+            labels = components(links)
+        if bad.isEmpty():
+            break
+        forests = 8
+    drop_table(tiles)
     return labels
 
 
@@ -387,10 +399,7 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, tile_rows: int =
     labels = link_components(sets, percent, tile_rows, cuts)
     drop_table(sets)
     found = rest.join(classes, "digest")
-    if labels is None:
-        found = found.withColumn("component_id", F.col("class_id"))
-    else:
-        found = found.join(labels.select(F.col("id").alias("class_id"), F.col("label").alias("component_id")), "class_id", "left").withColumn("component_id", F.coalesce("component_id", "class_id"))
+    found = found.join(labels.select(F.col("id").alias("class_id"), F.col("label").alias("component_id")), "class_id", "left").withColumn("component_id", F.coalesce("component_id", "class_id"))
     return alone.unionByName(found.select("doc_id", "n_shingles", "class_id", "component_id"))
 
 
