@@ -15,6 +15,7 @@ from .ngram_join import SQL as NGRAM_JOIN_SQL
 from .ngram_join import ngram_join
 from .packing import pack
 from .quality_gbdt import quality
+from .sp_lattice import segment_samples
 from .toxicity import toxicity
 from .warc import warc_derivatives
 
@@ -66,8 +67,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cascade(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def op10_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return segment_samples(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_line_dedup, op3_warc, op4_toxicity, op5_ngram_join, op6_media, op7_quality, op8_packing, op9_quality_rules)
+    f.__name__: f for f in (op1_license_scan, op2_line_dedup, op3_warc, op4_toxicity, op5_ngram_join, op6_media, op7_quality, op8_packing, op9_quality_rules, op10_segmentations)
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_line_dedup": LINE_DEDUP_SQL, "op5_ngram_join": NGRAM_JOIN_SQL}
