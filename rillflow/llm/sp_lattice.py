@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordhash import mix
+from .wordhash import _STEP, _high, _powers, _tables, mix
 
 SAMPLES = 2
-RUN_CHARS = 2 << 20
+RUN_CHARS = 1 << 19
 MARK = 0x2581
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -65,7 +65,7 @@ class Vocabulary:
                     terminal.append(-1)
                 node = edges[node, c]
             terminal[node] = i
-        self.terminal = np.array(terminal, np.int64)
+        self.terminal = np.array(terminal, np.int32)
         self.bits = max(10, (8 * len(edges) - 1).bit_length())
         self.slots = np.full(1 << self.bits, -1, np.int64)
         self.next = np.zeros(1 << self.bits, np.int64)
@@ -132,7 +132,7 @@ class Lattice:
             hit = ends >= 0
             src = now[hit]
             source.append(src)
-            length.append(np.full(len(src), depth))
+            length.append(np.full(len(src), depth, np.int32))
             piece.append(ends[hit])
             nth.append(degree[src])
             degree[src] += 1
@@ -143,17 +143,18 @@ class Lattice:
             now, node = now[more], node[more]
         lost = lost if len(at) else at
         src = np.concatenate([*source, lost])
-        piece, n_piece = np.concatenate([*piece, np.zeros(len(lost), np.int64)]), len(src) - len(lost)
-        self.cut = np.concatenate([[0], np.cumsum(degree)])
+        n_piece = len(src) - len(lost)
+        self.degree, self.cut = degree, np.concatenate([[0], np.cumsum(degree)])
         place = self.cut[src] + np.concatenate([*nth, np.zeros(len(lost), np.int64)])
-        self.src, self.dst = np.empty_like(src), np.empty_like(src)
-        self.src[place], self.dst[place] = src, src + np.concatenate([*length, np.ones(len(lost), np.int64)])
+        by_depth = np.empty(len(src), np.int32)
+        by_depth[place] = np.concatenate([*length, np.ones(len(lost), np.int32)])
+        self.src = np.repeat(np.arange(n, dtype=np.int32), degree)
+        self.dst = self.src + by_depth
         text = code[lost]
         size = 1 + (text > 0x7F) + (text > 0x7FF) + (text > 0xFFFF)
         lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])[size]
         self.ids, self.n_ids = np.empty(len(src), np.int32), np.ones(len(src), np.int8)
-        self.ids[place[:n_piece]] = piece[:n_piece]
-        self.ids[place[n_piece:]] = -1 - np.arange(len(lost))
+        self.ids[place] = np.concatenate([*piece, -1 - np.arange(len(lost), dtype=np.int32)])
         self.n_ids[place[n_piece:]] = size
         self.by_bytes = np.zeros((len(lost), 4), np.int64)
         for k in range(4):
@@ -162,26 +163,27 @@ class Lattice:
             if k == 0:
                 byte = np.where(size == 1, text, lead | (text >> (6 * (size - 1))))
             self.by_bytes[has, k] = voc.byte_id[byte]
-        prior = np.empty(len(src))
-        prior[place] = np.concatenate([voc.logp[piece[:n_piece]], size * voc.byte_logp])
+        prior = voc.logp[np.maximum(self.ids, 0)]
+        prior[place[n_piece:]] = size * voc.byte_logp
         beta = np.zeros(n)
         far = rest[at]
         by_rest = np.argsort(far.astype(np.uint16) if len(far) and far.max() < 65536 else far, kind="stable")
         at, far = at[by_rest], far[by_rest]
         bounds = np.flatnonzero(np.diff(far, prepend=0, append=-1))
+        width = degree[at]
+        start = np.concatenate([[0], np.cumsum(width)])
+        e = np.repeat(self.cut[at] - start[:-1], width) + np.arange(start[-1])
+        weight, target = prior[e], self.dst[e]
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            p = at[lo:hi]
-            a, b = self.cut[p], self.cut[p + 1]
-            width = b - a
-            start = np.concatenate([[0], np.cumsum(width)[:-1]])
-            e = np.repeat(a - start, width) + np.arange(int(width.sum()))
-            v = prior[e] + beta[self.dst[e]]
-            top = np.maximum.reduceat(v, start)
-            beta[p] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, width)), start))
+            x, y = start[lo], start[hi]
+            v = weight[x:y] + beta[target[x:y]]
+            head = start[lo:hi] - x
+            top = np.maximum.reduceat(v, head)
+            beta[at[lo:hi]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, width[lo:hi])), head))
         self.beta = beta
-        self.logp = np.minimum(prior + beta[self.dst] - beta[self.src], 0.0)
+        self.logp = np.minimum(prior + beta[self.dst] - np.repeat(beta, degree), 0.0)
         total = np.concatenate([[0.0], np.cumsum(np.exp(self.logp))])
-        self.upto = total[1:] - total[self.cut[self.src]]
+        self.upto = total[1:] - np.repeat(total[self.cut[:-1]], degree)
 
     def draw(self, p: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each position p by its probability."""
@@ -235,14 +237,10 @@ def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 def _distinct(chars: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(characters and lengths of the distinct words, which of them each word is)."""
-    value = mix(chars.astype(np.uint64) + np.uint64(7))
-    h = np.zeros(len(start), np.uint64)
-    todo, k = np.arange(len(start)), 0
-    while len(todo):
-        h[todo] = (h[todo] ^ value[start[todo] + k]) * _GOLD
-        h[todo] ^= h[todo] >> np.uint64(29)
-        k += 1
-        todo = todo[length[todo] > k]
+    value = np.zeros(len(chars) + 1, np.uint64)
+    np.cumsum(mix(chars.astype(np.uint64) + np.uint64(7)) * _powers(len(chars)), out=value[1:])
+    back = _tables()[1][start & (_STEP - 1)] * _high(True, len(chars) // _STEP + 1)[start >> 16]
+    h = mix((value[start + length] - value[start]) * back + length.astype(np.uint64) * _GOLD)
     _, first, which = np.unique(h, return_index=True, return_inverse=True)
     size = length[first]
     at = np.repeat(start[first] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
@@ -314,13 +312,13 @@ def sample_run(texts: list[str], keys: np.ndarray, voc: Vocabulary, samples: int
         total = before[ends[1:]] - before[ends[:-1]]
         source = lattice.src[every]
         left = 1 - np.exp(logp)
-        some = lattice.cut[source + 1] - lattice.cut[source] > 1
+        some = lattice.degree[source] > 1
         for j, job in enumerate(jobs):
             if (at := job[6]) >= 0:  # the part's own split: what was banned there stays so, and nothing before it differs
                 k = ends[j] + at
                 out = [*job[7], int(every[k])]
                 left[k] = 1 - np.exp(lattice.logp[out]).sum()
-                some[k] = lattice.cut[source[k] + 1] - lattice.cut[source[k]] > len(out)
+                some[k] = lattice.degree[source[k]] > len(out)
                 some[ends[j] : k] = False
         with np.errstate(divide="ignore"):
             phi = np.where(some, before[:-1] - before[ends[job_of]] + np.log(np.maximum(left, 1e-300)), -np.inf)
@@ -371,6 +369,18 @@ def edge_ids(lattice: Lattice, edges: np.ndarray) -> np.ndarray:
     return np.where(first[at] >= 0, first[at], lattice.by_bytes[np.where(first[at] < 0, -1 - first[at], 0), k] if len(lattice.by_bytes) else 0)
 
 
+def _digest(lattice: Lattice, found: list[Segmentation], voc: Vocabulary) -> tuple[list[np.ndarray], list[memoryview]]:
+    """The ids of each segmentation, and the bytes that they decode to."""
+    edges = np.concatenate([s.edges for s in found]) if found else np.zeros(0, np.int64)
+    ids = edge_ids(lattice, edges)
+    at = np.concatenate([[0], np.cumsum([len(s.edges) for s in found])]).astype(np.int64)
+    cut = np.concatenate([[0], np.cumsum(lattice.n_ids[edges], dtype=np.int64)])[at]
+    size = voc.piece_len[ids]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    raw = voc.piece_bytes[np.repeat(voc.piece_at[ids] - ends[:-1], size) + np.arange(ends[-1])].data
+    return [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], [raw[ends[a] : ends[b]] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
 def decode(ids: np.ndarray, voc: Vocabulary) -> str:
     """The text of a sequence of ids, without the space put before it."""
     size = voc.piece_len[ids]
@@ -399,12 +409,15 @@ def segment_samples(docs: DataFrame, model_file: str, samples: int = SAMPLES, se
                     size, hi = size + len(texts[hi]), hi + 1
                 keys = np.array([(i or 0) ^ seed for i in ids[lo:hi]], np.int64)
                 lattice, found = sample_run(texts[lo:hi], keys, voc, samples)
-                rows = []
+                rows, flat = [], [s for own in found for s in own]
+                seqs, decoded = _digest(lattice, flat, voc)
+                at = 0
                 for i, own, text in zip(ids[lo:hi], found, texts[lo:hi], strict=True):
+                    whole = (" " + text.replace(chr(MARK), " ")).encode() if text else b""
                     for k, s in enumerate(own, 1):
-                        seq = edge_ids(lattice, s.edges)
-                        ok = decode(seq, voc) == text.replace(chr(MARK), " ")
-                        rows.append((i, k, len(seq), s.logp, s.value, s.inclusion, zlib.crc32(seq.astype("<u4").tobytes()), ok, *([seq] if with_ids else [])))
+                        seq = seqs[at]
+                        rows.append((i, k, len(seq), s.logp, s.value, s.inclusion, zlib.crc32(seq.astype("<u4").tobytes()), decoded[at] == whole, *([seq] if with_ids else [])))
+                        at += 1
                 cols = list(zip(*rows, strict=True))
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
                 names = ["doc_id", "sample", "n_pieces", "logp", "perturbed", "inclusion", "ids_crc32", "round_trip", "ids"]
