@@ -115,13 +115,14 @@ def _measure(batches: Iterator[pa.RecordBatch], rules: tuple[Rule, ...]) -> Iter
                 cost[i] += time.thread_time() - began
             docs += len(offsets) - 1
     names = [r.name for r in rules]
-    yield pa.record_batch([pa.array(names), pa.array(cost), pa.array(rejected / max(docs, 1))], ["rule", "cost", "rejects"])
+    yield pa.record_batch([pa.array(names), pa.array(cost), pa.array(rejected), pa.array(np.full(len(rules), docs))], ["rule", "cost", "rejects", "docs"])
 
 
 def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
     """(rule, seconds, share rejected), best order first, from the ``sample_rows`` documents first by hash of doc_id."""
-    sample = docs.select("text", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).orderBy("h", "text").limit(sample_rows).select("text")
-    rows = sample.coalesce(1).mapInArrow(lambda it: _measure(it, rules), "rule string, cost double, rejects double").groupBy("rule").agg(F.sum("cost").alias("cost"), F.max("rejects").alias("rejects")).collect()
+    ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(sample_rows)
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text")
+    rows = sample.mapInArrow(lambda it: _measure(it, rules), "rule string, cost double, rejects double, docs long").groupBy("rule").agg(F.sum("cost").alias("cost"), (F.sum("rejects") / F.greatest(F.sum("docs"), F.lit(1))).alias("rejects")).collect()
     return sorted(((r.rule, r.cost, r.rejects) for r in rows), key=lambda r: (-(r[2] + 1e-3) / (r[1] + 1e-6), r[0]))
 
 
