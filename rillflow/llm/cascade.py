@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean
 from .textstats import CONT, DIGIT, EXCLAIM, LETTER, SYMBOL, UPPER, base_counts
 from .wordhash import Text, chunks, same_as_last
 
@@ -164,4 +165,4 @@ def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_words:
                     ["doc_id", *BASE, "base_failed", "kept", "rejected_by"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(judge, "doc_id long, " + ", ".join(f"{k} long" for k in BASE) + ", base_failed boolean, kept boolean, rejected_by string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(judge), "doc_id long, " + ", ".join(f"{k} long" for k in BASE) + ", base_failed boolean, kept boolean, rejected_by string")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_table, write_table
+from .shared import drop_table, lean, write_table
 
 ONE_TASK_EDGES = 2_000_000
 
@@ -49,7 +49,7 @@ def _forest(batches: Iterator[pa.RecordBatch], roots: bool) -> Iterator[pa.Recor
 
 def forest(edges: DataFrame) -> DataFrame:
     """Each partition's edges (u, v) as a forest of the same connectivity: (node, smallest node it reaches there)."""
-    return edges.mapInArrow(lambda it: _forest(it, False), "u long, v long")
+    return edges.mapInArrow(lean(lambda it: _forest(it, False)), "u long, v long")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean
+
 #: Notices as their licenses word them.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
@@ -153,4 +155,4 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, max_d
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], NAMES)
 
     cued = docs.where(F.col("text").rlike(CUES)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return cued.mapInArrow(run, SCHEMA)
+    return cued.mapInArrow(lean(run), SCHEMA)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_path, shuffle_partitions, write_table
+from .shared import lean, new_path, shuffle_partitions, write_table
 
 WIDTH = 64
 SHARD_BYTES = 128 << 20
@@ -123,7 +123,7 @@ def store_payloads(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES)
             yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True))], ["doc_id", "digest", "shard", "offset", "length"])
         shards.close()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, digest string, shard string, offset long, length long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, digest string, shard string, offset long, length long")
 
 
 def _ranged(rows: DataFrame, folder: str, schema: str, whole: bool, read) -> DataFrame:
@@ -150,7 +150,7 @@ def _ranged(rows: DataFrame, folder: str, schema: str, whole: bool, read) -> Dat
             source.close()
 
     before = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{before}, {schema}")
+    return rows.mapInArrow(lean(run), f"{before}, {schema}")
 
 
 def read_headers(rows: DataFrame, folder: str) -> DataFrame:

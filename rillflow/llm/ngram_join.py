@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, local_components
-from .shared import drop_table, shuffle_partitions, write_table
+from .shared import drop_table, lean, shuffle_partitions, write_table
 from .wordhash import Text, chunks, mix, sort_by_doc, window_hashes
 
 BLOCK_BYTES = 2 << 20
@@ -147,6 +147,11 @@ def _count_fragment(rows: list[dict]) -> list[tuple]:
     return out
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    for lo in range(0, batch.num_rows, 64):
+        yield from batch.slice(lo, 64).to_pylist()
+
+
 def _partial_batch(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) if rows else [[] for _ in PARTIAL_NAMES]
     return pa.record_batch([pa.array(c, t) for c, t in zip(cols, PARTIAL_TYPES, strict=True)], PARTIAL_NAMES)
@@ -157,7 +162,7 @@ def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, key = [], None
     for batch in batches:
         out = []
-        for r in batch.to_pylist():
+        for r in _rows(batch):
             if r["ids"] is not None:
                 out.append((r["block"], r["n_docs"], np.frombuffer(r["local"], "<i8").astype("<u4").tobytes(), r["ids"], r["sizes"], r["digests"]))
                 continue
@@ -187,7 +192,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     block, total, about = None, None, None
     for batch in batches:
-        for r in batch.to_pylist():
+        for r in _rows(batch):
             if r["block"] != block:
                 if block is not None:
                     yield finish(total, about)
@@ -202,10 +207,10 @@ def shared_counts(docs: DataFrame, k: int) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, n_shared (those that another row has too), digest of the set."""
     parts = shuffle_partitions(docs.sparkSession)
     bits = max(0, min(24, (2 * parts - 1).bit_length()))
-    segments = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _segments(it, k, bits), SEGMENT)
-    counted = segments.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_fragments, PARTIAL)
+    segments = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(lambda it: _segments(it, k, bits)), SEGMENT)
+    counted = segments.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lean(_fragments), PARTIAL)
     summed = counted.repartition(parts, "block").sortWithinPartitions("block")
-    return summed.mapInArrow(_blocks, "doc_id long, n_shingles long, n_shared long, digest binary")
+    return summed.mapInArrow(lean(_blocks), "doc_id long, n_shingles long, n_shared long, digest binary")
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -347,10 +352,10 @@ def link_components(sets: DataFrame, percent: int, tile_rows: int = TILE_ROWS, c
     # Unshared n-grams are the rarest: they stand first in the prefix, and lead nowhere.
     first = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("long") + 1 - (F.col("n") - F.size("order"))
     prefix = ranked.join(sets.select("doc_id", "n"), "doc_id").where(first > 0).select("doc_id", F.explode(F.slice("order", 1, first.cast("int"))).alias("g")).select("doc_id", "g.h")
-    edges = prefix.repartition(shuffle_partitions(sets.sparkSession), "h").mapInArrow(_prefix_groups, "u long, v long")
+    edges = prefix.repartition(shuffle_partitions(sets.sparkSession), "h").mapInArrow(lean(_prefix_groups), "u long, v long")
     grouped = components(edges)
     members = sets.join(grouped.select(F.col("id").alias("doc_id"), F.col("label").alias("grp")), "doc_id").select("doc_id", "n", "grp", "hashes")
-    tiles = write_table(_tiles(members.mapInArrow(_bitmaps, "doc_id long, n long, grp long, bitmap binary"), percent, tile_rows), "tiles")
+    tiles = write_table(_tiles(members.mapInArrow(lean(_bitmaps), "doc_id long, n long, grp long, bitmap binary"), percent, tile_rows), "tiles")
     drop_table(grouped)
     labels, links, barred, forests = None, None, None, 1
     none = F.lit(0).cast("long")
@@ -394,7 +399,7 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, tile_rows: int =
     rest = info.where(may_link)
     classes = write_table(rest.groupBy("digest").agg(F.min("doc_id").alias("class_id")), "classes")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = text.join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, k), "doc_id long, n long, hashes array<long>")
+    sets = text.join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(lean(lambda it: _sets(it, k)), "doc_id long, n long, hashes array<long>")
     sets = write_table(sets.dropDuplicates(["doc_id"]), "sets")
     labels = link_components(sets, percent, tile_rows, cuts)
     drop_table(sets)

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .shared import lean
+
 CAPACITY, CLASSES, SLACK = 1024, 48, 0.01
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, class int"
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -131,4 +133,4 @@ def pack(docs: DataFrame, rank_file: str, pattern: str, capacity: int = CAPACITY
                     rows = []
         yield _batch(rows + packer.finish())
 
-    return docs.selectExpr("CAST(doc_id AS long) AS doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr("CAST(doc_id AS long) AS doc_id", "text").mapInArrow(lean(run), SCHEMA)

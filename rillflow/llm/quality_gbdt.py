@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fitting import fit_in_one_task, held_out, labelled_sample
+from .shared import lean
 from .textstats import STATISTICS, statistics
 from .wordhash import Text, chunks
 
@@ -101,7 +102,7 @@ def _fit(table: pa.Table | None) -> list[pa.Array]:
 def train_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict[str, np.ndarray]:
     """Trees from at most ``sample_rows`` labelled documents outside the held-out fold; without any, all score 0.5."""
     sample = labelled_sample(docs, labels, "quality", FOLDS, FOLD, sample_rows)
-    features = sample.select("doc_id", "text", "label").mapInArrow(_features, "doc_id long, label int, x binary")
+    features = sample.select("doc_id", "text", "label").mapInArrow(lean(_features), "doc_id long, label int, x binary")
     names = ["feature", "threshold", "value", "base"]
     row = fit_in_one_task(features, _fit, ", ".join(f"{k} binary" for k in names), names)
     inner = (1 << DEPTH) - 1
@@ -128,7 +129,7 @@ def score_quality(docs: DataFrame, model: dict[str, np.ndarray], threshold: floa
             yield pa.record_batch([*batch.columns, pa.array(value), pa.array((value >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(score, f"{schema}, score double, predicted int")
+    return docs.mapInArrow(lean(score), f"{schema}, score double, predicted int")
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

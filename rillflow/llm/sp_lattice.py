@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean
 from .wordhash import _STEP, _high, _powers, _tables, mix
 
 SAMPLES = 2
@@ -425,4 +426,4 @@ def segment_samples(docs: DataFrame, model_file: str, samples: int = SAMPLES, se
                 lo = hi
 
     schema = "doc_id long, sample int, n_pieces long, logp double, perturbed double, inclusion double, ids_crc32 long, round_trip boolean"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema + (", ids array<long>" if with_ids else ""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), schema + (", ids array<long>" if with_ids else ""))

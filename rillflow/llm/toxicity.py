@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fitting import fit_in_one_task, held_out, labelled_sample
+from .shared import lean
 from .wordhash import Text, chunks, mix
 
 BITS = 20
@@ -88,7 +89,7 @@ def _fit(table: pa.Table | None) -> list[pa.Array]:
 def train_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
     """Weights (slots, weights, bias) from at most ``sample_rows`` labelled documents outside the held-out fold."""
     sample = labelled_sample(docs, labels, "toxic", FOLDS, FOLD, sample_rows)
-    features = sample.select("doc_id", "text", "label").mapInArrow(_features, "doc_id long, label int, slots binary")
+    features = sample.select("doc_id", "text", "label").mapInArrow(lean(_features), "doc_id long, label int, slots binary")
     return fit_in_one_task(features, _fit, "slots binary, weights binary, bias double", ["slots", "weights", "bias"])
 
 
@@ -118,7 +119,7 @@ def score_toxicity(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -
             yield pa.record_batch([*batch.columns, pa.array(value), pa.array((value >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(score, f"{schema}, score double, predicted int")
+    return docs.mapInArrow(lean(score), f"{schema}, score double, predicted int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

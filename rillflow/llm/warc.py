@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean
+
 DATE = "1970-01-01T00:00:00Z"
 SPACE = uuid.UUID("5cbb3a6e-2f0e-5d51-9d0c-1b5a1f6b7c10")
 _SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
@@ -135,4 +137,4 @@ def warc_derivatives(pages: DataFrame, date: str = DATE) -> DataFrame:
                 types = [pa.int64() if c.split()[1] == "long" else pa.string() for c in SCHEMA.split(", ")]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], NAMES)
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, SCHEMA)
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(lean(run), SCHEMA)
