@@ -36,5 +36,5 @@ def fit_in_one_task(features: DataFrame, fit: Callable[[pa.Table], list[pa.Array
         table = pa.Table.from_batches(kept) if kept else None
         yield pa.record_batch(fit(table), names)
 
-    row = features.coalesce(1).mapInArrow(run, schema).first()
+    row = features.repartition(1).mapInArrow(run, schema).first()
     return row.asDict() if row else {}
