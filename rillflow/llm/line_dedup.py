@@ -19,6 +19,12 @@ def _windows(lines: Column, size: int) -> Column:
     return F.transform(at, lambda i: F.unhex(F.md5(F.concat_ws("\n", F.slice(lines, i, size)).cast("binary"))))
 
 
+def _fresh(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
+
+
 def covered_spans(positions: Column, size: int) -> Column:
     """Merge windows into spans: an array of (first line, line after the last) from sorted window positions."""
     n = F.size(positions)
@@ -37,7 +43,8 @@ def line_dedup(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     replaced; all others are kept.
     """
     docs = docs.drop("n_lines", "n_removed")
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("string"), F.col("text")))
+    key, spans_of = _fresh("_key", docs.columns), _fresh("_spans", docs.columns)
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("string"), F.col("text")))
     lines = F.split(F.col("text"), "\n", -1)
     # One row per window: hash, document, position. Where a document holds a window twice, both rows stay.
     windows = (
@@ -48,15 +55,15 @@ def line_dedup(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     place = F.struct(F.col("doc_id"), F.col("_key"), F.col("_at"))
     repeated = windows.groupBy("_hash").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).where("_first != _last").select("_hash", "_first")
     later = windows.join(repeated, "_hash").where(place != F.col("_first"))
-    spans = later.groupBy("_key").agg(F.array_sort(F.collect_set("_at")).alias("_positions")).select("_key", covered_spans(F.col("_positions"), size).alias("_spans"))
-    cut = keyed.join(spans, "_key", "left").drop("_key")
+    spans = later.groupBy("_key").agg(F.array_sort(F.collect_set("_at")).alias("_positions")).select(F.col("_key").alias(key), covered_spans(F.col("_positions"), size).alias(spans_of))
+    cut = keyed.join(spans, key, "left").drop(key)
     all_lines = F.split(F.col("text"), "\n", -1)
-    after = F.concat(F.array(F.lit(0)), F.col("_spans.after"))
-    first = F.concat(F.col("_spans.first"), F.array(F.size(all_lines)))
+    after = F.concat(F.array(F.lit(0)), F.col(f"{spans_of}.after"))
+    first = F.concat(F.col(f"{spans_of}.first"), F.array(F.size(all_lines)))
     kept = F.flatten(F.zip_with(after, first, lambda a, b: F.slice(all_lines, a + 1, b - a)))
-    removed = F.aggregate("_spans", F.lit(0), lambda n, s: n + s["after"] - s["first"])
+    removed = F.aggregate(spans_of, F.lit(0), lambda n, s: n + s["after"] - s["first"])
     return cut.select(
-        *(F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns),
+        *(F.when(F.col(spans_of).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns),
         F.coalesce(F.when(F.col("text").isNotNull(), F.size(all_lines)), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
     )
