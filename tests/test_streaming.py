@@ -82,7 +82,8 @@ def test_latest_query_filter(spark):
 
 def test_rising_alert(spark):
     values = [(0, 1.0), (300, 2.0), (600, 2.0), (900, 3.0), (1400, 3.5), (1500, 1.0), (1600, 2.0), (1700, 0.5), (9000, 0.5)]
-    s = event_time(batches(spark, [[("s", i, t, v)] for i, (t, v) in enumerate(values)], "key string, seq long, ms long, v double"))
+    part = [("s", i, 1000 + t, v) for i, (t, v) in enumerate(values)]  # a row at the first watermark, 0, would be late
+    s = event_time(batches(spark, [part], "key string, seq long, ms long, v double"))
     assert rows(collect(processors.run(s.groupBy("key"), processors.RisingAlert(1000), time="eventtime")), "alert_ms") == [(2300,)]
 
 
