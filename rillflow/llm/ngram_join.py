@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -235,18 +236,44 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*(batch.column(n) for n in names), pa.array(out, pa.binary())], [*names, "bitmap"])
 
 
+def _by_gram(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct n-grams, a document of each) and, for each row in the order of n-grams, the document of its n-gram."""
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    at = np.flatnonzero(new)
+    return h[at], doc[at], doc[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
+
+
+def _sorted_grams(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    doc, h = batch.column("u").to_numpy(), batch.column("h").to_numpy()
+    order = np.lexsort((doc, h))
+    return doc[order], h[order]
+
+
+def _near_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Before the exchange by n-gram: each batch's documents that share one as a forest (h null), and one row (u, h)
+    for each of its n-grams. So an n-gram of however many documents costs the exchange one row a batch."""
+    for batch in batches:
+        doc, h = _sorted_grams(batch)
+        grams, of, first = _by_gram(doc, h)
+        nodes, label = local_components(doc, first)
+        moved = nodes != label
+        u = np.concatenate([nodes[moved], label[np.searchsorted(nodes, of)]])
+        null = np.arange(len(u)) < moved.sum()
+        v = np.concatenate([label[moved], np.zeros(len(of), np.int64)])
+        yield pa.record_batch([pa.array(u), pa.array(v, mask=~null), pa.array(np.concatenate([np.zeros(moved.sum(), np.int64), grams]), mask=null)], ["u", "v", "h"])
+
+
 def _prefix_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A forest of the documents of each partition that share an n-gram; rows of one n-gram are in one partition."""
     held = list(batches)
     if held:
         table = pa.Table.from_batches(held)
-        doc, h = table["doc_id"].to_numpy(), table["h"].to_numpy()
-        order = np.lexsort((doc, h))
-        doc, h = doc[order], h[order]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        first = doc[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
-        nodes, label = local_components(doc, first)
+        linked = pc.is_null(table["h"])
+        edges = table.filter(linked)
+        doc, h = _sorted_grams(table.filter(pc.invert(linked)))
+        u, v = np.concatenate([edges["u"].to_numpy(), doc]), np.concatenate([edges["v"].to_numpy(), _by_gram(doc, h)[2]])
+        nodes, label = local_components(u, v)
         yield pa.record_batch([pa.array(nodes), pa.array(label)], ["u", "v"])
 
 
@@ -351,8 +378,9 @@ def link_components(sets: DataFrame, percent: int, tile_rows: int = TILE_ROWS, c
     ranked = grams.join(df, "h").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("order"))
     # Unshared n-grams are the rarest: they stand first in the prefix, and lead nowhere.
     first = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("long") + 1 - (F.col("n") - F.size("order"))
-    prefix = ranked.join(sets.select("doc_id", "n"), "doc_id").where(first > 0).select("doc_id", F.explode(F.slice("order", 1, first.cast("int"))).alias("g")).select("doc_id", "g.h")
-    edges = prefix.repartition(shuffle_partitions(sets.sparkSession), "h").mapInArrow(lean(_prefix_groups), "u long, v long")
+    prefix = ranked.join(sets.select("doc_id", "n"), "doc_id").where(first > 0).select(F.col("doc_id").alias("u"), F.explode(F.slice("order", 1, first.cast("int"))).alias("g")).select("u", "g.h")
+    near = prefix.mapInArrow(lean(_near_groups), "u long, v long, h long")
+    edges = near.repartition(shuffle_partitions(sets.sparkSession), F.coalesce("h", "u")).mapInArrow(lean(_prefix_groups), "u long, v long")
     grouped = components(edges)
     members = sets.join(grouped.select(F.col("id").alias("doc_id"), F.col("label").alias("grp")), "doc_id").select("doc_id", "n", "grp", "hashes")
     tiles = write_table(_tiles(members.mapInArrow(lean(_bitmaps), "doc_id long, n long, grp long, bitmap binary"), percent, tile_rows), "tiles")
