@@ -26,7 +26,7 @@ from .shared import lean
 from .wordhash import _STEP, _high, _powers, _tables, mix
 
 SAMPLES = 2
-RUN_CHARS = 1 << 19
+RUN_CHARS = 1 << 18
 MARK = 0x2581
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -281,7 +281,8 @@ def sample_run(texts: list[str], keys: np.ndarray, voc: Vocabulary, samples: int
     kappa = np.full(n, -np.inf)
     word_of: list[list[np.ndarray]] = [[] for _ in range(n)]
     # (document, edges before, word index of the first free word, position in it or -1, its value, the split's place, banned)
-    jobs = [(i, np.zeros(0, np.int64), np.zeros(0, np.int64), int(word_cut[i]), -1, float(-np.log(-np.log(uniform(base[i : i + 1], np.array([0])))[0])), -1, ()) for i in range(n)]
+    none, roots = np.zeros(0, np.int64), (-np.log(-np.log(uniform(base, np.zeros(n))))).tolist()
+    jobs = [(i, none, none, w, -1, root, -1, ()) for i, w, root in zip(range(n), word_cut[:n].tolist(), roots, strict=True)]
     for r in range(samples):
         # Complete the jobs of this round, all at once.
         rows_p, rows_w, owner = [], [], []
@@ -326,7 +327,7 @@ def sample_run(texts: list[str], keys: np.ndarray, voc: Vocabulary, samples: int
         limit = np.array([job[5] for job in jobs])[job_of] if len(jobs) else np.zeros(0)
         own = np.array([base[job[0]] for job in jobs], np.uint64)[job_of] if len(jobs) else np.zeros(0, np.uint64)
         gumbels = _truncated(phi, limit, uniform(own, (np.uint64(r + 128) << np.uint64(56)) + within.astype(np.uint64)))
-        next_jobs = []
+        next_jobs, picks = [], uniform(base, np.full(n, (r + 64) << 48, np.uint64))
         for j, (i, _, _, _, _, value, place, banned) in enumerate(jobs):
             lo, edges, g = 0, paths[j], gumbels[ends[j] : ends[j + 1]]
             found[i].append(Segmentation(edges, float(total[j]), value))
@@ -348,7 +349,7 @@ def sample_run(texts: list[str], keys: np.ndarray, voc: Vocabulary, samples: int
             src = int(lattice.src[parent[at]])
             options_e = np.array([e for e in range(lattice.cut[src], lattice.cut[src + 1]) if e not in ban])
             pr = np.exp(lattice.logp[options_e])
-            pick = uniform(base[i : i + 1], np.array([(r + 64) << 48], np.uint64))[0] * pr.sum()
+            pick = picks[i] * pr.sum()
             e = int(options_e[min(int(np.searchsorted(np.cumsum(pr), pick)), len(options_e) - 1)])
             ww, dst = int(parent_w[at]), int(lattice.dst[e])
             next_jobs.append((i, np.append(parent[:at], e), np.append(parent_w[:at], ww), ww, dst, -neg, at, ban))
