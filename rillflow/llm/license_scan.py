@@ -1,13 +1,16 @@
 """License scans by conditional compression.
 
-A candidate block is compressed alone and, with each license template as zstandard raw dictionary, once more; the
-template that shrinks it most is the candidate, and an exact word diff against it confirms or rejects it.
+Around each cue of a candidate block, every license template of which enough words are there is confirmed or rejected by
+an exact word diff. Words are compressed alone and, with the template as zstandard raw dictionary, once more: the size
+reduction decides between templates that differ by equally many words, and picks what an unknown block is compared with.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -98,16 +101,67 @@ def rank(block: str, items: tuple[tuple[str, str], ...]) -> list[tuple[float, st
     return sorted(found, key=lambda x: (-x[0], x[1]))
 
 
+def align(block: list[str], template: list[str]) -> tuple[list[str], list[str], int, int]:
+    """The template's words that the block lacks, the block's words between the matches beyond them, and the matches' span.
+
+    Matches at either end that cost more words between them and the others than they have count as missing.
+    """
+    runs = [m for m in difflib.SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if m.size]
+    if not runs:
+        return template, block, 0, len(block)
+    best = (0, 0, 0)
+    value = start = 0
+    for i, m in enumerate(runs):
+        gap = m.b - runs[i - 1].b - runs[i - 1].size if i else 0
+        value, start = (value - gap, start) if i and value > gap else (0, i)
+        value += m.size
+        best = max(best, (value, -start, i))
+    runs = runs[-best[1] : best[2] + 1]
+    lo, hi = runs[0].b, runs[-1].b + runs[-1].size
+    met = {m.a + i for m in runs for i in range(m.size)}, {m.b + i for m in runs for i in range(m.size)}
+    return [w for i, w in enumerate(template) if i not in met[0]], [block[i] for i in range(lo, hi) if i not in met[1]], lo, hi
+
+
 def differences(block: list[str], template: list[str]) -> tuple[list[str], list[str]]:
     """The template's words that the block lacks, and the block's words between its first and last match beyond them."""
-    ops = difflib.SequenceMatcher(None, template, block, autojunk=False).get_opcodes()
-    equal = [o for o in ops if o[0] == "equal"]
-    if not equal:
-        return template, block
-    lo, hi = equal[0][3], equal[-1][4]
-    missing = [w for tag, a, b, _, _ in ops if tag in ("delete", "replace") for w in template[a:b]]
-    added = [w for tag, _, _, c, d in ops if tag in ("insert", "replace") for w in block[max(c, lo) : min(d, hi)]]
-    return missing, added
+    return align(block, template)[:2]
+
+
+def cue_places(block: str) -> list[int]:
+    """The number of the word that each cue of a block is in."""
+    starts = [m.start() for m in _WORD.finditer(block.lower())]
+    return sorted({max(0, bisect_right(starts, m.start()) - 1) for m in re.finditer(CUES, block)})
+
+
+def confirmed(own: list[str], places: list[int], items: tuple[tuple[str, str], ...], max_difference: float) -> list[tuple]:
+    """(differing words, -reduction, name, size alone, size given, missing, added) of each template within
+    ``max_difference`` that stands in the words ``own`` around one of ``places``; of overlapping ones the best, in order.
+
+    A template is left out only where more of its words are absent around the cue than may differ.
+    """
+    templates, plain, _ = _templates(items)
+    seen, found = {}, []
+    for name, template, packer in templates:
+        allowed, wanted = int(max_difference * len(template)), Counter(template)
+        reach = len(template) + allowed
+        for lo, hi in sorted({(max(0, p - reach), min(len(own), p + reach + 1)) for p in places}):
+            have = seen.get((lo, hi))
+            if have is None:
+                have = seen[lo, hi] = Counter(own[lo:hi])
+            if sum(max(0, n - have[w]) for w, n in wanted.items()) > allowed:
+                continue
+            missing, added, first, after = align(own[lo:hi], template)
+            n = len(missing) + len(added)
+            if n > allowed:
+                continue
+            data = " ".join(own[lo + first : lo + after]).encode() + b"\n"
+            alone, given = len(plain.compress(data)), len(packer.compress(data))
+            found.append((n, (given - alone) / alone, name, alone, given, missing, added, lo + first, lo + after))
+    out = []
+    for f in sorted(found, key=lambda f: (f[0], f[7] - f[8], f[1], f[2])):
+        if all(f[8] <= o[7] or f[7] >= o[8] for o in out):
+            out.append(f)
+    return [f[:7] for f in sorted(out, key=lambda f: f[7])]
 
 
 SCHEMA = "doc_id long, block_no int, first_line int, n_lines int, license string, verdict string, size_alone int, size_given int, reduction double, n_missing int, n_added int, missing string, added string, block string"
@@ -115,32 +169,30 @@ NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 def scan_text(text: str, items: tuple[tuple[str, str], ...], max_difference: float = MAX_DIFFERENCE, top: int = 3) -> list[tuple]:
-    """A tuple (NAMES without doc_id) for each candidate block of a text.
+    """A tuple (NAMES without doc_id) for each license of each candidate block of a text, one at least for a block.
 
-    Of the ``top`` templates by size reduction the one with the fewest differing words wins (ties: the larger
+    Of templates that overlap the one with the fewest differing words wins (ties: the longer match, then the larger
     reduction). verdict: exact (no difference), variant (differences of at most ``max_difference`` of the template's
-    words) or unknown (then license is null).
+    words) or unknown (then license is null, and the differences are the fewest to one of the ``top`` templates by size
+    reduction of the block).
     """
     templates, _, known = _templates(items)
     by_name = {name: w for name, w, _ in templates}
     out = []
-    for no, (first, after, block) in enumerate(candidate_blocks(text, known)):
+    for first, after, block in candidate_blocks(text, known):
         own = words(block)
-        best = None
-        for gain, name, alone, given in rank(block, items)[:top]:
-            missing, added = differences(own, by_name[name])
-            key = (len(missing) + len(added), -gain)
-            if best is None or key < best[0]:
-                best = key, name, alone, given, gain, missing, added
-        _, name, alone, given, gain, missing, added = best
-        n = len(missing) + len(added)
-        verdict = "exact" if not n else "variant" if n <= max_difference * len(by_name[name]) else "unknown"
-        out.append((no, first, after - first, name if verdict != "unknown" else None, verdict, alone, given, round(gain, 6), len(missing), len(added), " ".join(missing), " ".join(added), block))
+        found = confirmed(own, cue_places(block), items, max_difference)
+        for n, gain, name, alone, given, missing, added in found:
+            out.append((len(out), first, after - first, name, "variant" if n else "exact", alone, given, round(-gain, 6), len(missing), len(added), " ".join(missing), " ".join(added), block))
+        if not found:
+            near = [(*differences(own, by_name[name]), gain, alone, given) for gain, name, alone, given in rank(block, items)[:top]]
+            missing, added, gain, alone, given = min(near, key=lambda x: (len(x[0]) + len(x[1]), -x[2]))
+            out.append((len(out), first, after - first, None, "unknown", alone, given, round(gain, 6), len(missing), len(added), " ".join(missing), " ".join(added), block))
     return out
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, max_difference: float = MAX_DIFFERENCE) -> DataFrame:
-    """A row per candidate block of ``docs`` (doc_id, text), of the whole texts.
+    """A row per license, or unknown candidate block, of ``docs`` (doc_id, text), of the whole texts.
 
     A null or empty text, or one without a cue, gives no row; so does an empty table. Null ids are carried; repeated
     rows give their blocks again; other columns are left aside.

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import os
 import random
 import re
 import tarfile
@@ -390,6 +391,16 @@ def test_license_scan(spark, odd, none):
     assert [r.doc_id for r in license_scan.license_scan(odd).collect()] == [1] and license_scan.license_scan(none).count() == 0
 
 
+def test_license_inside_long_lines():
+    items = tuple(license_scan.TEMPLATES.items())
+    prose = " ".join(" ".join(f.__doc__ for f in (re, random.Random, tarfile.TarFile.add, hashlib, os, str.split, str.format, int, bytes, zip, sorted, print, open)).split())[:3000]
+    for name, text in items:
+        found = [(r[3], r[4]) for r in license_scan.scan_text(f"{prose} {text} {prose}", items)]
+        assert found == [(name, "exact")]
+    both = f"{prose} {license_scan.TEMPLATES['CC-BY-4.0']} {prose} {license_scan.TEMPLATES['MIT'].replace('Released', 'Published')} {prose}"
+    assert [(r[3], r[4]) for r in license_scan.scan_text(both, items)] == [("CC-BY-4.0", "exact"), ("MIT", "variant")]
+
+
 def test_license_ranking_is_that_of_full_compression():
     items = tuple(license_scan.TEMPLATES.items())
     for name, text in items:
