@@ -13,6 +13,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .shared import lean
 
-#: Notices as their licenses word them.
+#: Notices, and the first sentences of licenses (OPENINGS), as their licenses word them.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
@@ -31,7 +32,7 @@ TEMPLATES = {
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
     "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
@@ -43,6 +44,12 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "proprietary": "All rights reserved.",
 }
+#: Templates that only open a license: a whole match of one is no whole license.
+OPENINGS = {"MIT-text", "BSD", "ISC", "Unlicense"}
+#: Whole licenses, without what varies (copyright lines) and without the appendix after the terms.
+TEXTS = {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+#: So many paragraphs in a row that are in no whole license may stand between paragraphs of one.
+GAP = 5
 #: A line with one of these starts a candidate block; every template has one.
 CUES = r"(?i)licen[sc]e|permission (?:is hereby granted|to use)|redistribution and use|public domain|all rights reserved|free software"
 MAX_DIFFERENCE = 0.25
@@ -66,8 +73,49 @@ def _templates(items: tuple[tuple[str, str], ...]):
     return out, plain, known
 
 
-def candidate_blocks(text: str, known: set[str]) -> Iterator[tuple[int, int, str]]:
-    """(first line, line after the last, block): a cue's line with the lines around it of license words, a third at least."""
+def _triples(w: list[str]) -> list[tuple[str, str, str]]:
+    return list(zip(w, w[1:], w[2:], strict=False))
+
+
+@cache
+def _texts(items: tuple[tuple[str, str], ...]):
+    import zstandard
+
+    out = []
+    for name, text in items:
+        w = words(text)
+        data = zstandard.ZstdCompressionDict(" ".join(w).encode() + b"\n", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        out.append((name, w, Counter(w), zstandard.ZstdCompressor(level=19, dict_data=data, write_content_size=False)))
+    return out, {t for _, w, _, _ in out for t in _triples(w)}
+
+
+def extended(lines: list[str], start: int, first: int, after: int, triples: set) -> tuple[int, int]:
+    """A block's lines with the paragraphs before (not before line ``start``) and after it of which a third at least of
+    the word triples are in whole licenses, and what stands between them."""
+
+    def reach(at: int, stop: int, step: int) -> int:
+        end, gap = at, 0
+        while gap <= GAP:
+            while at != stop and not lines[min(at, at + step)].strip():
+                at += step
+            if at == stop:
+                break
+            begin = at
+            while at != stop and lines[min(at, at + step)].strip():
+                at += step
+            own = _triples(words("\n".join(lines[min(begin, at) : max(begin, at)])))
+            if own and 3 * sum(t in triples for t in own) >= len(own):
+                end, gap = at, 0
+            else:
+                gap += 1
+        return end
+
+    return reach(first, start, -1), reach(after, len(lines), 1)
+
+
+def candidate_blocks(text: str, known: set[str], triples: set = frozenset()) -> Iterator[tuple[int, int, str]]:
+    """(first line, line after the last, block): a cue's line with the lines around it of license words, a third at least,
+    and the paragraphs around these that are of whole licenses."""
     cue = re.compile(CUES)
     if not cue.search(text):
         return
@@ -78,7 +126,7 @@ def candidate_blocks(text: str, known: set[str]) -> Iterator[tuple[int, int, str
         w = words(line)
         return bool(w) and 3 * sum(x in known for x in w) >= len(w)
 
-    i = 0
+    i = start = 0
     while i < len(lines):
         if not cued[i]:
             i += 1
@@ -88,8 +136,10 @@ def candidate_blocks(text: str, known: set[str]) -> Iterator[tuple[int, int, str
             first -= 1
         while after < len(lines) and alike(lines[after]) and not (cued[after] and lines[after - 1].rstrip().endswith(".")):
             after += 1
+        if triples:
+            first, after = extended(lines, start, first, after, triples)
         yield first, after, "\n".join(lines[first:after])
-        i = after
+        i = start = after
 
 
 def rank(block: str, items: tuple[tuple[str, str], ...]) -> list[tuple[float, str, int, int]]:
@@ -134,7 +184,7 @@ def cue_places(block: str) -> list[int]:
 
 
 def confirmed(own: list[str], places: list[int], items: tuple[tuple[str, str], ...], max_difference: float) -> list[tuple]:
-    """(differing words, -reduction, name, size alone, size given, missing, added) of each template within
+    """(differing words, -reduction, name, size alone, size given, missing, added, span) of each template within
     ``max_difference`` that stands in the words ``own`` around one of ``places``; of overlapping ones the best, in order.
 
     A template is left out only where more of its words are absent around the cue than may differ.
@@ -161,48 +211,107 @@ def confirmed(own: list[str], places: list[int], items: tuple[tuple[str, str], .
     for f in sorted(found, key=lambda f: (f[0], f[7] - f[8], f[1], f[2])):
         if all(f[8] <= o[7] or f[7] >= o[8] for o in out):
             out.append(f)
-    return [f[:7] for f in sorted(out, key=lambda f: f[7])]
+    return sorted(out, key=lambda f: f[7])
+
+
+def _variant(own: list[str], texts: tuple[tuple[str, str], ...], max_difference: float) -> tuple | None:
+    """(differing words, name, missing, added, span) of the whole license that differs least from words of ``own``."""
+    have, best = Counter(own), None
+    for name, text, wanted, _ in _texts(texts)[0]:
+        allowed = int(max_difference * len(text))
+        if sum(max(0, n - have[w]) for w, n in wanted.items()) > allowed:
+            continue
+        anchor = difflib.SequenceMatcher(None, text, own, autojunk=False).find_longest_match()
+        at = max(0, anchor.b - anchor.a - allowed)
+        missing, added, first, after = align(own[at : anchor.b - anchor.a + len(text) + allowed], text)
+        n = len(missing) + len(added)
+        if n <= allowed and (best is None or n < best[0]):
+            best = n, name, missing, added, at + first, at + after
+    return best
+
+
+def whole(own: list[str], texts: tuple[tuple[str, str], ...], max_difference: float) -> list[tuple]:
+    """Like ``confirmed``'s, of the whole licenses in the words of a block: first the exact ones, then variants between."""
+    if not texts or not own:
+        return []
+    spans, joined = [], f" {' '.join(own)} "
+    starts = [m.start() for m in re.finditer(" ", joined)]
+    for name, text, _, _ in sorted(_texts(texts)[0], key=lambda t: -len(t[1])):
+        sought, at = f" {' '.join(text)} ", -1
+        while (at := joined.find(sought, at + 1)) >= 0:
+            first = bisect_right(starts, at) - 1
+            if all(first + len(text) <= s[4] or first >= s[5] for s in spans):
+                spans.append((0, name, [], [], first, first + len(text)))
+    edges = sorted(s[4:] for s in spans)
+    gaps = list(zip([0, *(e[1] for e in edges)], [*(e[0] for e in edges), len(own)], strict=True))
+    while gaps:
+        lo, hi = gaps.pop()
+        if hi > lo and (f := _variant(own[lo:hi], texts, max_difference)):
+            spans.append((*f[:4], lo + f[4], lo + f[5]))
+            gaps += [(lo, lo + f[4]), (lo + f[5], hi)]
+    packers = {name: packer for name, _, _, packer in _texts(texts)[0]}
+    out = []
+    for n, name, missing, added, first, after in spans:
+        data = " ".join(own[first:after]).encode() + b"\n"
+        alone, given = len(_templates(())[1].compress(data)), len(packers[name].compress(data))
+        out.append((n, (given - alone) / alone, name, alone, given, missing, added, first, after))
+    return out
 
 
-SCHEMA = "doc_id long, block_no int, first_line int, n_lines int, license string, verdict string, size_alone int, size_given int, reduction double, n_missing int, n_added int, missing string, added string, block string"
+SCHEMA = "doc_id long, block_no int, first_line int, n_lines int, license string, verdict string, size_alone int, size_given int, reduction double, n_missing int, n_added int, missing string, added string, block string, kind string"
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
-def scan_text(text: str, items: tuple[tuple[str, str], ...], max_difference: float = MAX_DIFFERENCE, top: int = 3) -> list[tuple]:
-    """A tuple (NAMES without doc_id) for each license of each candidate block of a text, one at least for a block.
+def scan_text(text: str, items: tuple[tuple[str, str], ...], max_difference: float = MAX_DIFFERENCE, top: int = 3, texts: tuple[tuple[str, str], ...] = ()) -> list[tuple]:
+    """A tuple (NAMES without doc_id) for each license of each candidate block of a text, one at least for a block; where
+    a block has several, each with its own part of the block.
 
     Of templates that overlap the one with the fewest differing words wins (ties: the longer match, then the larger
-    reduction). verdict: exact (no difference), variant (differences of at most ``max_difference`` of the template's
-    words) or unknown (then license is null, and the differences are the fewest to one of the ``top`` templates by size
-    reduction of the block).
+    reduction), but a whole license of ``texts`` wins over what it contains. kind: text (a whole license), notice or
+    opening. verdict: exact (no difference to a whole license or notice), opening (none to a license's first sentences,
+    whose rest isn't there as the license words it), variant (differences of at most ``max_difference`` of the
+    template's words) or unknown (then license and kind are null, and the differences are the fewest to one of the
+    ``top`` templates by size reduction of the block).
     """
     templates, _, known = _templates(items)
     by_name = {name: w for name, w, _ in templates}
     out = []
-    for first, after, block in candidate_blocks(text, known):
+    for first, after, block in candidate_blocks(text, known, _texts(texts)[1] if texts else frozenset()):
         own = words(block)
-        found = confirmed(own, cue_places(block), items, max_difference)
-        for n, gain, name, alone, given, missing, added in found:
-            out.append((len(out), first, after - first, name, "variant" if n else "exact", alone, given, round(-gain, 6), len(missing), len(added), " ".join(missing), " ".join(added), block))
+        found = [(*f, "text") for f in whole(own, texts, max_difference)]
+        taken = [f[7:9] for f in found]
+        found += [(*f, "opening" if f[2] in OPENINGS else "notice") for f in confirmed(own, cue_places(block), items, max_difference) if all(f[8] <= lo or f[7] >= hi for lo, hi in taken)]
+        shown = [(first, after - first, block)] * len(found)
+        if len(found) > 1:
+            source = block if len(block) == len(low := block.lower()) else low
+            ends = [m.span() for m in _WORD.finditer(low)]
+            shown = []
+            line, at = first, 0
+            for lo, hi in sorted((ends[f[7]][0], ends[f[8] - 1][1]) for f in found):
+                line, at = line + source.count("\n", at, lo), lo
+                shown.append((line, source.count("\n", lo, hi) + 1, source[lo:hi]))
+        for (n, gain, name, alone, given, missing, added, _, _, kind), (line, n_lines, part) in zip(sorted(found, key=lambda f: f[7]), shown, strict=True):
+            verdict = "variant" if n else "opening" if kind == "opening" else "exact"
+            out.append((len(out), line, n_lines, name, verdict, alone, given, round(-gain, 6), len(missing), len(added), " ".join(missing), " ".join(added), part, kind))
         if not found:
             near = [(*differences(own, by_name[name]), gain, alone, given) for gain, name, alone, given in rank(block, items)[:top]]
             missing, added, gain, alone, given = min(near, key=lambda x: (len(x[0]) + len(x[1]), -x[2]))
-            out.append((len(out), first, after - first, None, "unknown", alone, given, round(gain, 6), len(missing), len(added), " ".join(missing), " ".join(added), block))
+            out.append((len(out), first, after - first, None, "unknown", alone, given, round(gain, 6), len(missing), len(added), " ".join(missing), " ".join(added), block, None))
     return out
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, max_difference: float = MAX_DIFFERENCE) -> DataFrame:
     """A row per license, or unknown candidate block, of ``docs`` (doc_id, text), of the whole texts.
 
-    A null or empty text, or one without a cue, gives no row; so does an empty table. Null ids are carried; repeated
+    Whole licenses (TEXTS) are looked for too, unless ``templates`` are given. A null or empty text, or one without a cue, gives no row; so does an empty table. Null ids are carried; repeated
     rows give their blocks again; other columns are left aside.
     """
-    items = tuple((templates or TEMPLATES).items())
+    items, texts = tuple((templates or TEMPLATES).items()), () if templates else tuple(TEXTS.items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [{"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}[c.split()[1]] for c in SCHEMA.split(", ")]
         for batch in batches:
-            rows = [(doc_id.as_py(), *r) for doc_id, text in zip(*batch.columns, strict=True) for r in scan_text(text.as_py(), items, max_difference)]
+            rows = [(doc_id.as_py(), *r) for doc_id, text in zip(*batch.columns, strict=True) for r in scan_text(text.as_py(), items, max_difference, texts=texts)]
             cols = list(zip(*rows, strict=True)) if rows else [[] for _ in NAMES]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], NAMES)
 
