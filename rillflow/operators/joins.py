@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def union_all(first: DataFrame, *more: DataFrame) -> DataFrame:
@@ -78,3 +84,60 @@ def reconcile(left: DataFrame, right: DataFrame, keys: list[str], ts: str, withi
     )
     out = both.withColumn("status", F.explode(status))
     return out.withColumn("left_ts", F.when(F.col("status") != "left-missing", F.col("left_ts"))).withColumn("right_ts", F.when(F.col("status") != "right-missing", F.col("right_ts")))
+
+
+def reconcile_all(left: DataFrame, right: DataFrame, keys: list[str], ts: str, within_s: int, order: list[str]) -> DataFrame:
+    """Match every row of both sides of a key one to one within ``within_s`` seconds, else report which side is missing.
+
+    Per key in the order of ``ts``, then ``order``, then left before right: a row that meets a waiting row of the other
+    side matches the one that has waited longest, and is used up with it; otherwise it waits. A row that has waited
+    ``within_s`` seconds is due before a row of that time, as with the reference's timer. Columns: keys, left_ts,
+    right_ts, status; a row per match and per row without one. Rows with a null key or time are compared with nothing.
+    """
+    names = [f"_{c}" for c in ("side", "us", *(f"o{i}" for i in range(len(order))))]
+
+    def side(df: DataFrame, number: int) -> DataFrame:
+        cols = [F.lit(number), F.unix_micros(F.col(ts).cast("timestamp")), *(F.col(c) for c in order)]
+        return df.select(*keys, F.col(ts).alias("_ts"), *(c.alias(n) for c, n in zip(cols, names, strict=True)))
+
+    both = side(left, 0).unionByName(side(right, 1))
+    ordered = [c for c in names if c != "_side"]
+    known = both.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*keys, "_ts"]))
+    schema = T.StructType([*(both.schema[k] for k in keys), T.StructField("left_ts", both.schema["_ts"].dataType), T.StructField("right_ts", both.schema["_ts"].dataType), T.StructField("status", T.StringType())])
+    arrow = to_arrow_schema(schema)
+    within = within_s * 1_000_000
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, waiting, out = None, deque(), []
+
+        def left_alone(at, us, number):
+            return (*at, None if number else us, us if number else None, "left-missing" if number else "right-missing")
+
+        def packed():
+            cols = list(zip(*out, strict=True)) if out else [[] for _ in arrow]
+            out.clear()
+            return pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+
+        for batch in batches:
+            for *own, at, number, us in zip(*(batch.column(c).to_pylist() for c in [*keys, "_ts", "_side", "_us"]), strict=True):
+                if own != key:
+                    out += [left_alone(key, t, n) for t, n, _ in waiting]
+                    waiting.clear()
+                    key = own
+                while waiting and waiting[0][2] + within <= us:
+                    t, n, _ = waiting.popleft()
+                    out.append(left_alone(key, t, n))
+                if waiting and waiting[0][1] != number:
+                    t, n, _ = waiting.popleft()
+                    out.append((*key, at if n else t, t if n else at, "matched"))
+                else:
+                    waiting.append((at, number, us))
+                if len(out) >= 20_000:
+                    yield packed()
+        out += [left_alone(key, t, n) for t, n, _ in waiting]
+        yield packed()
+
+    dealt = known.repartition(*keys).sortWithinPartitions(*keys, *ordered, "_side")
+    unknown = both.where(" OR ".join(f"`{c}` IS NULL" for c in [*keys, "_ts"]))
+    alone = unknown.select(*keys, F.when(F.col("_side") == 0, F.col("_ts")).alias("left_ts"), F.when(F.col("_side") == 1, F.col("_ts")).alias("right_ts"), F.when(F.col("_side") == 0, "right-missing").otherwise("left-missing").alias("status"))
+    return dealt.mapInArrow(fold, schema).unionByName(alone)

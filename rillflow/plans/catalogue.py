@@ -413,6 +413,12 @@ def reconcile(spark, d):
     return joins.reconcile(of_type(e, "click"), of_type(e, "purchase"), ["user_id"], "ts", 21_600).select("user_id", "left_ts", "right_ts", "status")
 
 
+@query()
+def reconcile_all(spark, d):
+    e = events(spark, d)
+    return joins.reconcile_all(of_type(e, "click"), of_type(e, "purchase"), ["user_id"], "ts", 21_600, ["event_id"])
+
+
 CEP3 = """
 SELECT user_id, t1 AS fail_1_ts, t2 AS fail_2_ts, ts AS fail_3_ts FROM (
   SELECT user_id, ts, event_type AS e3, lag(event_type, 1) OVER w AS e2, lag(event_type, 2) OVER w AS e1, lag(ts, 1) OVER w AS t2, lag(ts, 2) OVER w AS t1

@@ -1,11 +1,14 @@
 """Batch operators on small literal rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from rillflow.functions.scalar import event_time, int_div, key_seconds, tokens
 from rillflow.functions.sketches import Bloom
 from rillflow.operators import cep, joins, lateness, partitioning, rolling, topn, transforms, windows
+from rillflow.plans import catalogue
 from rillflow.plans.dialect import Dialect, parse_table, translate
 from rillflow.sinks.changelog import changelog, labelled, upsert_view
 from rillflow.sources.tables import csv, elements, kafka_options, text_lines
@@ -109,6 +112,33 @@ def test_reconcile(spark):
     assert rows(out, "k", "status") == [("k1", "matched"), ("k2", "left-missing"), ("k2", "right-missing"), ("k3", "left-missing")]
 
 
+def test_reconcile_takes_every_event(spark):
+    rng = random.Random(5)
+    events = [(rng.choice("abcd"), rng.randrange(2), rng.randrange(400) * 1000, i) for i in range(300)] + [("e", 0, 0, 900), ("e", 1, 5000, 901), ("e", 0, 5000, 902)]
+    want, waiting = [], {}
+    for k, side, t, _ in sorted(events, key=lambda e: (e[2], e[3])):
+        queue = waiting.setdefault(k, [])
+        while queue and queue[0][1] + 5000 <= t:
+            s, at = queue.pop(0)
+            want.append((k, None if s else at, at if s else None))
+        other = next((x for x in queue if x[0] != side), None)
+        if other:
+            queue.remove(other)
+            want.append((k, *((other[1], t) if side else (t, other[1]))))
+        else:
+            queue.append((side, t))
+    want += [(k, None if s else at, at if s else None) for k, queue in waiting.items() for s, at in queue]
+    left, right = (ms(elements(spark, [(k, t, i) for k, s, t, i in events if s == side], "k string, ts long, i long"), "ts") for side in (0, 1))
+    out = joins.reconcile_all(left, right, ["k"], "ts", 5, ["i"])
+    got = out.select("k", F.unix_millis("left_ts"), F.unix_millis("right_ts")).collect()
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    assert out.where("status = 'matched'").count() == sum(l is not None and r is not None for _, l, r in want) > 20
+    queries = catalogue.QUERIES
+    e = catalogue.events(spark, "/root/testdata/sf0.001").where("event_type IN ('click', 'purchase')")
+    assert queries["reconcile_all"](spark, "/root/testdata/sf0.001").agg(F.expr("count(left_ts) + count(right_ts)")).first()[0] == e.count()
+
+
 def test_filter_by_latest(spark):
     r = elements(spark, [(1, "a"), (3, "a"), (5, "b"), (7, "b"), (8, "a")], "seq long, value string")
     q = elements(spark, [(2, "a"), (6, "b")], "seq long, query string")
