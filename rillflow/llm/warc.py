@@ -30,6 +30,7 @@ _LINES = re.compile(r" ?\n[ \n]*")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
 _LINK = re.compile(r"<(a|area|link|img|script|iframe)\b([^>]*)>", re.I)
 _URL = re.compile(r"""\b(href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_SRC = re.compile(r"(?<![\w-])src\s*=", re.I)
 _META = re.compile(r"<meta\b([^>]*)>", re.I)
 
 
@@ -49,8 +50,13 @@ def plain_text(page: str) -> str:
 
 
 def page_metadata(page: str) -> dict:
-    """Title, links (tag, url) and meta tags, in order."""
-    bare = _SKIP.sub(lambda m: m[0] if (m[1] or "").lower() == "script" and "src" in m[0][:200].lower() else " ", page)
+    """Title, links (tag, url) and meta tags, in order. Of a script element only the opening tag counts."""
+
+    def opening(m: re.Match) -> str:
+        tag = m[0][: m[0].find(">") + 1] if (m[1] or "").lower() == "script" else ""
+        return tag if _SRC.search(tag) else " "
+
+    bare = _SKIP.sub(opening, page)
     title = _TITLE.search(bare)
     links = [{"path": f"{tag.upper()}@/{u[1].lower()}", "url": html_lib.unescape(u[2] or u[3] or u[4] or "")} for tag, rest in _LINK.findall(bare) if (u := _URL.search(rest))]
     return {"Title": html_lib.unescape(title[1]).strip() if title else None, "Links": links, "Metas": [m.strip(" /") for m in _META.findall(bare)]}

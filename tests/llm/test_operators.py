@@ -377,6 +377,13 @@ def test_warc_links_and_digests(spark):
     assert warc.warc_derivatives(pages.limit(0)).count() == 0
 
 
+def test_warc_script_links():
+    long = f'<script data-a="{"x" * 300}" src="/far.js">x</script>'
+    inline = '<script>var src = 1; t = "<a href=\'/no\'>";</script><SCRIPT data-src-of="1">t = "<img src=/no>"</SCRIPT>'
+    links = warc.page_metadata(f'{long}{inline}<script src="/near.js">u = "<a href=/no>"</script><a href="/x">x</a>')["Links"]
+    assert [x["url"] for x in links] == ["/far.js", "/near.js", "/x"]
+
+
 def test_license_scan(spark, odd, none):
     mit = license_scan.TEMPLATES["MIT-text"]
     texts = [
