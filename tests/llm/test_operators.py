@@ -493,3 +493,10 @@ def test_segmentations_round_trip(spark, odd, none):
     key = lambda r: (r.doc_id or -1, r.sample, r.ids_crc32)
     assert sorted(map(key, rows)) == sorted(map(key, again))
     assert sp_lattice.segment_samples(none, MODEL).count() == 0
+
+
+def test_op10_returns_ids(spark):
+    from rillflow.llm.queries import op10_segmentations
+
+    rows = op10_segmentations(spark, "/root/testdata/sf0.001").limit(50).collect()
+    assert rows and all(len(r.ids) == r.n_pieces and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
