@@ -24,11 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_files() -> tuple[str, str]:
-    """Rank file and pattern of the 50k byte-level BPE."""
+def tokenizer_file() -> str:
+    """The file of the 50k byte-level BPE."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), *tokenizer_files())
+    return pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

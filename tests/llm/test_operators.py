@@ -297,19 +297,50 @@ def check_packing(rows, ids_of):
     return [sum(r.length for r in own) for own in sequences.values()]
 
 
-def test_packing_round_trip(spark, none):
+BPE = P.path("byte_bpe_50k.json")
+MARKED = ["<|endoftext|> opens", "hello <|endoftext|> world", "a<|endoftext|><|endoftext|>\n\n<|endoftext|", "it's <|endoftext|>'s", "tabs\tand\n\nbreaks  é漢\U0001f600", "\ufeffx\u2028y\u00a0 z"]
+
+
+def reference_ids(texts):
     from tokenizers import Tokenizer
 
-    texts = [*corpus(120), None, "", LONG, "<|endoftext|> is ordinary text here", "tabs\tand\n\nbreaks  é漢\U0001f600"]
+    t = Tokenizer.from_file(BPE)
+    return [[*t.encode(x or "", add_special_tokens=False).ids, 0] for x in texts]
+
+
+def test_packing_round_trip(spark, none):
+    texts = [*corpus(120), None, "", LONG, *MARKED]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    ids_of = {i: [*t.encode(x or "", add_special_tokens=False).ids, 0] for i, x in enumerate(texts)}
-    rank_file = P.path("byte_bpe_50k.tiktoken")
-    sizes = check_packing(packing.pack(docs, rank_file, P.PATTERN).collect(), ids_of)
+    ids_of = dict(enumerate(reference_ids(texts)))
+    assert any(50256 in ids for ids in ids_of.values())
+    sizes = check_packing(packing.pack(docs, BPE).collect(), ids_of)
     padding = sum(0 if s & (s - 1) == 0 else 1024 - s for s in sizes) / (1024 * len(sizes))
     assert padding < 0.01
-    assert packing.pack(none, rank_file, P.PATTERN).count() == 0
+    assert packing.pack(none, BPE).count() == 0
+
+
+def test_encoder_takes_texts_that_its_expressions_do_not():
+    blanks = " " * 1_000_000 + "x"
+    assert [*packing.encoder(BPE)(blanks), 0] == reference_ids([blanks])[0]
+
+
+def test_encoder_asks_the_tokenizer_where_its_file_asks_for_more(tmp_path):
+    import json
+
+    spec = json.load(open(BPE, encoding="utf-8"))
+    spec["added_tokens"][0]["lstrip"] = True
+    assert packing._fast(spec) is None
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    assert packing.encoder(str(path))("hello <|endoftext|> x")[:2] == [31373, 50256]
+
+
+def test_op8_is_whole_and_exact(spark):
+    from rillflow.llm.queries import op8_packing
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    sizes = check_packing(rows := op8_packing(spark, "/root/testdata/sf0.001").collect(), dict(zip(docs, reference_ids(docs.values()), strict=True)))
+    assert {r.doc_id for r in rows} == set(docs) and all(s == 1024 or s & (s - 1) == 0 or s > 1000 for s in sizes)
 
 
 def test_harmonic_bins_hold_a_fixed_count():
@@ -323,7 +354,7 @@ def test_harmonic_bins_hold_a_fixed_count():
 
 
 def test_packing_odd_rows(odd):
-    rows = packing.pack(odd, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    rows = packing.pack(odd, BPE).collect()
     assert sum(r.length for r in rows if r.doc_id == 3) == 1
     assert {r.doc_id for r in rows} == {i for i, _ in ODD}
 
