@@ -19,7 +19,7 @@ from rillflow.llm.line_dedup import line_dedup
 from rillflow.llm.ngram_join import ngram_join
 from rillflow.llm.packing import pack
 from rillflow.llm.quality_gbdt import score_quality, train_quality
-from rillflow.llm.queries import table, tokenizer_files
+from rillflow.llm.queries import table, tokenizer_file
 from rillflow.llm.shared import write_table
 from rillflow.llm.toxicity import score_toxicity, train_toxicity
 
@@ -46,7 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, *tokenizer_files())
+    return pack(docs, tokenizer_file())
 
 
 STAGES = [
