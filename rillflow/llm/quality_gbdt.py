@@ -13,13 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fitting import fit_in_one_task, held_out, labelled_sample
+from .fitting import fit_in_one_task, held_out, labelled_sample, scored
 from .shared import lean
 from .textstats import STATISTICS, statistics
 from .wordhash import Text, chunks
 
 FOLDS, FOLD, THRESHOLD = 3, 1, 0.5
 SAMPLE_ROWS = 16384
+#: Texts are worked on in runs of about so many bytes, which bounds a worker's memory.
+CHUNK_BYTES = 1 << 19
 DEPTH, TREES, BINS = 4, 60, 64
 
 
@@ -86,7 +88,7 @@ def predict(x: np.ndarray, model: dict[str, np.ndarray]) -> np.ndarray:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo, hi, raw, offsets in chunks(batch.column(1)):
+        for lo, hi, raw, offsets in chunks(batch.column(1), CHUNK_BYTES):
             x = statistics(Text(raw, offsets))
             yield pa.record_batch([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
 
@@ -118,21 +120,15 @@ def score_quality(docs: DataFrame, model: dict[str, np.ndarray], threshold: floa
     A null or empty text is scored by its statistics, which are all 0. Columns named score or predicted are replaced;
     all others, repeated rows and null ids stay as they are.
     """
-    docs = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [predict(statistics(Text(raw, offsets)), shared.value) for _, _, raw, offsets in chunks(batch.column(at))]
-            value = np.concatenate(out) if out else np.zeros(0)
-            yield pa.record_batch([*batch.columns, pa.array(value), pa.array((value >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
+    def score(texts: pa.Array) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *(predict(statistics(Text(raw, offsets)), shared.value) for _, _, raw, offsets in chunks(texts, CHUNK_BYTES))])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(lean(score), f"{schema}, score double, predicted int")
+    return scored(docs, score, threshold)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
-    scored = score_quality(docs.select("doc_id", "text"), train_quality(docs, labels))
-    return scored.select("doc_id", held_out(F.col("doc_id"), FOLDS, FOLD).alias("held_out"), "score", "predicted")
+    out = score_quality(docs.select("doc_id", "text"), train_quality(docs, labels))
+    return out.select("doc_id", held_out(F.col("doc_id"), FOLDS, FOLD).alias("held_out"), "score", "predicted")

@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .fitting import fit_in_one_task, held_out, labelled_sample
+from .fitting import fit_in_one_task, held_out, labelled_sample, scored
 from .shared import lean
 from .wordhash import Text, chunks, mix
 
 BITS = 20
 FOLDS, FOLD, THRESHOLD = 4, 2, 0.3
 SAMPLE_ROWS = 8192
+#: Texts are worked on in runs of about so many bytes, which bounds a worker's memory.
+CHUNK_BYTES = 1 << 18
 
 
 STEMS = (4, 5, 6, 7, 8)
@@ -68,7 +70,7 @@ def fit_ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, alpha
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo, hi, raw, offsets in chunks(batch.column(1)):
+        for lo, hi, raw, offsets in chunks(batch.column(1), CHUNK_BYTES):
             doc, slot = feature_hashes(raw, offsets)
             both = np.unique((doc.astype(np.uint64) << np.uint64(32)) | slot)
             cut = np.searchsorted(both >> np.uint64(32), np.arange(hi - lo + 1))
@@ -80,9 +82,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _fit(table: pa.Table | None) -> list[pa.Array]:
     if table is None or not table.num_rows:
         return [pa.array([b""], pa.binary()), pa.array([b""], pa.binary()), pa.array([-35.0])]
-    rows = sorted(zip(table["doc_id"].to_pylist(), table["label"].to_pylist(), table["slots"].to_pylist(), strict=True))
-    order = np.argsort(mix(np.array([r[0] for r in rows], np.int64).astype(np.uint64)), kind="stable")
-    used, w, bias = fit_ftrl([np.frombuffer(rows[i][2], "<u4") for i in order], np.array([rows[i][1] for i in order], float))
+    ids, labels = table["doc_id"].to_numpy().astype(np.int64), table["label"].to_numpy().astype(float)
+    order = np.lexsort((ids, mix(ids.astype(np.uint64))))  # an order that no partitioning changes
+    slots = [np.frombuffer(row.as_buffer(), "<u4") for row in table["slots"]]
+    used, w, bias = fit_ftrl([slots[i] for i in order], labels[order])
     return [pa.array([used.astype("<u4").tobytes()], pa.binary()), pa.array([w.astype("<f4").tobytes()], pa.binary()), pa.array([bias])]
 
 
@@ -99,30 +102,36 @@ def score_toxicity(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -
     A null or empty text gets the score of the bias alone; with no labelled rows at all every score is near 0.
     Columns named score or predicted are replaced; all others, repeated rows and null ids stay as they are.
     """
-    docs = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast((model["slots"], model["weights"], model["bias"]))
-    at = docs.columns.index("text")
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(texts: pa.Array) -> np.ndarray:
+        table, bias = _weights(shared)
+        out = [np.zeros(0)]
+        for lo, hi, raw, offsets in chunks(texts, CHUNK_BYTES):
+            doc, slot = feature_hashes(raw, offsets)
+            hit = np.flatnonzero(table[slot])
+            both = np.unique((doc[hit].astype(np.uint64) << np.uint64(32)) | slot[hit])
+            total = np.bincount((both >> np.uint64(32)).astype(np.int64), weights=table[both & np.uint64(0xFFFFFFFF)], minlength=hi - lo)
+            out.append(1 / (1 + np.exp(-np.clip(total + bias, -35, 35))))
+        return np.concatenate(out)
+
+    return scored(docs, score, threshold)
+
+
+_held: dict = {}
+
+
+def _weights(shared) -> tuple[np.ndarray, float]:
+    """A broadcast model's weights by slot; the last one's stay with the worker."""
+    if _held.get("model") is not shared.value:
         used, weights, bias = shared.value
         table = np.zeros(1 << BITS, np.float32)
         table[np.frombuffer(used, "<u4")] = np.frombuffer(weights, "<f4")
-        for batch in batches:
-            out = []
-            for lo, hi, raw, offsets in chunks(batch.column(at)):
-                doc, slot = feature_hashes(raw, offsets)
-                hit = np.flatnonzero(table[slot])
-                both = np.unique((doc[hit].astype(np.uint64) << np.uint64(32)) | slot[hit])
-                total = np.bincount((both >> np.uint64(32)).astype(np.int64), weights=table[both & np.uint64(0xFFFFFFFF)], minlength=hi - lo)
-                out.append(1 / (1 + np.exp(-np.clip(total + bias, -35, 35))))
-            value = np.concatenate(out) if out else np.zeros(0)
-            yield pa.record_batch([*batch.columns, pa.array(value), pa.array((value >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(lean(score), f"{schema}, score double, predicted int")
+        _held.update(model=shared.value, table=table, bias=bias)
+    return _held["table"], _held["bias"]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
-    scored = score_toxicity(docs.select("doc_id", "text"), train_toxicity(docs, labels))
-    return scored.select("doc_id", held_out(F.col("doc_id"), FOLDS, FOLD).alias("held_out"), "score", "predicted")
+    out = score_toxicity(docs.select("doc_id", "text"), train_toxicity(docs, labels))
+    return out.select("doc_id", held_out(F.col("doc_id"), FOLDS, FOLD).alias("held_out"), "score", "predicted")
