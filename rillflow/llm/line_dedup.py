@@ -19,6 +19,11 @@ def _windows(lines: Column, size: int) -> Column:
     return F.transform(at, lambda i: F.unhex(F.md5(F.concat_ws("\n", F.slice(lines, i, size)).cast("binary"))))
 
 
+def _row_key() -> Column:
+    """128 bits of a row's id and text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text"), F.lit(""))).cast("binary")))
+
+
 def _fresh(name: str, taken: list[str]) -> str:
     while name in taken:
         name += "_"
@@ -37,19 +42,20 @@ def line_dedup(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """``docs`` (doc_id, text and any others) with later copies of repeated windows cut out of ``text``.
 
     Adds n_lines (lines before; 0 for a null text) and n_removed. A text without removed lines comes back unchanged,
-    null and empty ones included; a text whose every line goes becomes empty. Lines are split at \\n alone. Rows with
+    null and empty ones included; a text whose every line goes becomes empty. Lines are split at \\n alone. A text is
+    worked on whole, however long: it is one row of at most its own size in the shuffles. Rows with
     the same doc_id and text are one document: they get the same result. A null doc_id orders before all others.
     Occurrences within one document count like those of different documents. Columns named n_lines or n_removed are
     replaced; all others are kept.
     """
     docs = docs.drop("n_lines", "n_removed")
     key, spans_of = _fresh("_key", docs.columns), _fresh("_spans", docs.columns)
-    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("string"), F.col("text")))
+    keyed = docs.withColumn(key, _row_key())
     lines = F.split(F.col("text"), "\n", -1)
     # One row per window: hash, document, position. Where a document holds a window twice, both rows stay.
     windows = (
         docs.where(F.col("text").contains("\n"))
-        .select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.col("text")).alias("_key"), lines.alias("_lines"))
+        .select("doc_id", _row_key().alias("_key"), lines.alias("_lines"))
         .select("doc_id", "_key", F.posexplode(_windows(F.col("_lines"), size)).alias("_at", "_hash"))
     )
     place = F.struct(F.col("doc_id"), F.col("_key"), F.col("_at"))
