@@ -164,17 +164,20 @@ def test_line_dedup_odd_rows(odd, none):
     assert line_dedup(none).count() == 0
 
 
+def plain_base(t):
+    w = WORD.findall(t)
+    triples = Counter(zip(w, w[1:], w[2:], strict=False))
+    covered = {j + d for j in range(len(w) - 2) if triples[tuple(w[j : j + 3])] > 1 for d in range(3)}
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered))
+
+
 def test_base_counts_equal_brute_force():
     texts = [*corpus(80), "", "a", "x\n\nx\nx", "  \n  \n", "#*$ %&|<> a b c a b c", "é é é é\né é é é", LONG]
     for lo, hi, raw, offsets in chunks(pa.array(texts), 5000):
         got = base_counts(Text(raw, offsets))
         for i, t in enumerate(texts[lo:hi]):
-            w = WORD.findall(t)
-            triples = Counter(zip(w, w[1:], w[2:], strict=False))
-            covered = {j + d for j in range(len(w) - 2) if triples[tuple(w[j : j + 3])] > 1 for d in range(3)}
-            lines = [x for x in t.split("\n") if WORD.search(x)]
-            expected = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered))
-            assert tuple(int(got[k][i]) for k in cascade.BASE) == expected
+            assert tuple(int(got[k][i]) for k in cascade.BASE) == plain_base(t)
 
 
 def test_cascade_order_does_not_matter(spark, odd, none):
@@ -198,10 +201,52 @@ def test_cascade_order_does_not_matter(spark, odd, none):
 
 
 def test_cascade_plan_measures_each_rule(spark):
-    docs = spark.createDataFrame(list(enumerate(["#### word " * 60] * 30 + corpus(30))), "doc_id long, text string")
-    plan = cascade.plan_cascade(docs)
+    marked = " ".join(f"#### w{i}" for i in range(60))
+    junk = "#### word " * 60  # fails the base check, so no rule would see it
+    texts = [marked] * 30 + [junk] * 50 + corpus(30)
+    passing = [t for t in texts if plain_base(t)[0] >= 50 and 100 * plain_base(t)[4] <= 50 * plain_base(t)[0]]
+    plan = cascade.plan_cascade(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert {name for name, _, _ in plan} == {r.name for r in cascade.RULES}
-    assert dict((n, s) for n, _, s in plan)["symbols"] == pytest.approx(0.5, abs=0.05)
+    assert dict((n, s) for n, _, s in plan)["symbols"] == pytest.approx(30 / len(passing))
+    many = spark.createDataFrame([(i, marked) for i in range(6000)], "doc_id long, text string")
+    assert dict((n, s) for n, _, s in cascade.plan_cascade(many, sample_rows=20))["symbols"] == 1
+
+
+def plain_rules(t):
+    """Each rule as its plain statement on one text."""
+    w, lines = WORD.findall(t), [x for x in t.split("\n") if x]
+    n, chars = max(len(w), 1), max(len(t), 1)
+    letters = sum(c.isascii() and c.isalpha() for c in t) + sum(0xC3 <= c.encode()[0] < 0xF5 for c in t)
+    counts = Counter(w)
+    mean = sum(map(len, w)) / n
+    return {
+        "symbols": sum(c in "#*$%&|<>" for c in t) > 0.1 * n,
+        "shouting": sum("A" <= c <= "Z" for c in t) > 0.5 * max(letters, 1),
+        "exclaims": sum(c in "!?" for c in t) > 0.5 * n,
+        "word_length": mean < 2.5 or mean > 12,
+        "few_letters": letters < 0.5 * chars,
+        "digits": sum("0" <= c <= "9" for c in t) > 0.3 * chars,
+        "repeated_lines": len(lines) - len(set(lines)) > 0.4 * max(len(lines), 1),
+        "vocabulary": len(counts) < 0.08 * n,
+        "top_word": max(counts.values(), default=0) > 0.3 * n,
+    }
+
+
+def test_op9_equals_plain_rules(spark):
+    from rillflow.llm.queries import op9_quality_rules
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = op9_quality_rules(spark, "/root/testdata/sf0.001").collect()
+    assert {r.doc_id for r in rows} == set(texts) and len(rows) == len(texts)
+    for r in rows:
+        base = plain_base(texts[r.doc_id])
+        failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
+        assert tuple(r[k] for k in cascade.BASE) == base and r.base_failed == failed
+        assert r.kept == (not failed and not any(plain_rules(texts[r.doc_id]).values()))
+    odd = ["SHOUT " * 30, "a1 b2 " * 40, "5 7 9 1 " * 40, "wow! " * 60, "x\n" * 70, "漢字" * 40, *corpus(20)]
+    for t in odd:
+        _, _, raw, offsets = next(chunks(pa.array([t])))
+        assert {x.name: bool(x.rejects(Text(raw, offsets))[0]) for x in cascade.RULES} == plain_rules(t)
 
 
 def held_out_auc(rows):
@@ -237,6 +282,138 @@ def test_ftrl_is_sparse():
     assert len(used) < 500 and used[weights.argmax()] == 7
 
 
+def test_sample_has_one_row_an_id(spark):
+    from rillflow.llm.fitting import labelled_sample
+
+    docs = spark.createDataFrame([(i, f"text {j}") for i, n in ((1, 500), (3, 1), (4, 1), (5, 2)) for j in range(n)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1, 1) for i in (1, 3, 4, 5)], "doc_id long, quality int, toxic int")
+    for n in (1, 2, 4):
+        rows = labelled_sample(docs.repartition(7), marks, "toxic", 4, 2, n).collect()
+        assert len(rows) <= n and len({r.doc_id for r in rows}) == len(rows)
+    assert sorted(map(tuple, labelled_sample(docs.repartition(3), marks, "toxic", 4, 2, 4).collect())) == sorted(map(tuple, rows))
+
+
+def plain_ftrl(rows, labels, alpha=0.5, beta=1.0, l1=6.0, l2=1.0, epochs=6):
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if i == "bias":
+            return -z[i] / ((beta + math.sqrt(n[i])) / alpha + l2)
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for slots, y in zip(rows, labels, strict=True):
+            at = [*slots, "bias"]
+            w = [weight(i) for i in at]
+            g = 1 / (1 + math.exp(-sum(w))) - y
+            for i, wi in zip(at, w, strict=True):
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * wi
+                n[i] += g * g
+    return {i: w for i in z if (w := weight(i))}
+
+
+def test_ftrl_equals_a_plain_one():
+    rng = np.random.default_rng(2)
+    labels = rng.integers(0, 2, 200)
+    rows = [np.unique(np.append(rng.integers(100, 400, 20), [7, 8] if y else [9])).astype(np.uint32) for y in labels]
+    used, weights, bias = toxicity.fit_ftrl(rows, labels.astype(float), bits=10)
+    plain = plain_ftrl([r.tolist() for r in rows], labels.tolist())
+    assert bias == pytest.approx(plain.pop("bias"), rel=1e-9)
+    assert dict(zip(used.tolist(), weights.tolist(), strict=True)) == pytest.approx(plain, rel=1e-5)
+
+
+def plain_features(t):
+    w = re.findall(rb"[0-9a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), t.encode()))
+    stems = {("stem", x[:n]) for x in w for n in toxicity.STEMS if len(x) > n}
+    return {("word", x) for x in w} | stems | {("next", *p) for p in zip(w, w[1:], strict=False)} | {("skip", *p) for p in zip(w, w[2:], strict=False)}
+
+
+def test_features_are_words_stems_pairs_and_skip_grams():
+    texts = ["One two, three; TWO three four-five", "étranger étrangement 漢字 漢字", "", "one", "unbelievable unbelieving one two"]
+    _, _, raw, offsets = next(chunks(pa.array(texts)))
+    doc, slot = toxicity.feature_hashes(raw, offsets, bits=32)
+    slots, plain = [set(slot[doc == i].tolist()) for i in range(len(texts))], [plain_features(t) for t in texts]
+    for i in range(len(texts)):
+        assert [len(slots[i] & s) for s in slots] == [len(plain[i] & p) for p in plain]
+
+
+def test_scores_are_those_of_the_whole_text(spark):
+    docs = [(i, t) for i, t in enumerate(corpus(200, 3))] + [(200, " ".join(corpus(4000, 4))), (201, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int("abc" in t), int("aa" in t)) for i, t in docs[:200]], "doc_id long, quality int, toxic int")
+    model = toxicity.train_toxicity(df, marks)
+    weight = dict(zip(np.frombuffer(model["slots"], "<u4").tolist(), np.frombuffer(model["weights"], "<f4").tolist(), strict=True))
+    trees = quality_gbdt.train_quality(df, marks)
+    toxic = {r.doc_id: r.score for r in toxicity.score_toxicity(df.repartition(3), model).collect()}
+    good = {r.doc_id: r.score for r in quality_gbdt.score_quality(df.repartition(3), trees).collect()}
+    for i, t in docs:
+        _, _, raw, offsets = next(chunks(pa.array([t or ""])))
+        _, slot = toxicity.feature_hashes(raw, offsets)
+        assert toxic[i] == pytest.approx(1 / (1 + math.exp(-sum(weight.get(s, 0.0) for s in set(slot.tolist())) - model["bias"])), rel=1e-5)
+        assert good[i] == pytest.approx(float(quality_gbdt.predict(np.array([plain_statistics(t or "")], np.float32), trees)[0]), rel=1e-6)
+
+
+def plain_statistics(t):
+    n, chars, symbols, dup, repeat = plain_base(t)
+    if not n:
+        return [0] * len(quality_gbdt.STATISTICS)
+    w, lines = WORD.findall(t), t.count("\n") + 1
+    letters = sum(c.isascii() and c.isalpha() for c in t) + sum(0xC3 <= c.encode()[0] < 0xF5 for c in t)
+    count = lambda chars: sum(c in chars for c in t)
+    return [
+        math.log1p(n), chars / n, symbols / n, dup / lines, repeat / n, sum("A" <= c <= "Z" for c in t) / max(letters, 1), letters / len(t), count("0123456789") / len(t),
+        count("!?") / n, count(".,;:") / n, len(set(w)) / n, n / lines, max(Counter(w).values()) / n, math.log1p(len(t)),
+    ]
+
+
+def plain_trees(x, y, trees, depth, rate=0.15, l2=1.0, min_hess=1.0, bins=64):
+    """Boosted trees by plain loops over rows, on the same quantile cuts: the raw scores of the rows."""
+    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])).astype(np.float32) for j in range(x.shape[1])]
+    base = math.log(y.mean() / (1 - y.mean()))
+    raw = [base] * len(x)
+    for _ in range(trees):
+        p = [1 / (1 + math.exp(-r)) for r in raw]
+        stack = [(list(range(len(x))), 0)]
+        while stack:
+            rows, level = stack.pop()
+            total = lambda rows: (sum(p[i] - y[i] for i in rows), sum(p[i] * (1 - p[i]) for i in rows))
+            g, h = total(rows)
+            best = (1e-6, None, None)
+            for j in range(x.shape[1]) if level < depth else ():
+                for c in cuts[j]:
+                    a = total([i for i in rows if x[i, j] <= c])
+                    b = (g - a[0], h - a[1])
+                    if a[1] >= min_hess and b[1] >= min_hess:
+                        gain = a[0] ** 2 / (a[1] + l2) + b[0] ** 2 / (b[1] + l2) - g**2 / (h + l2)
+                        if gain > best[0] + 1e-9:
+                            best = (gain, j, c)
+            if best[1] is None:
+                for i in rows:
+                    raw[i] -= rate * g / (h + l2)
+            else:
+                stack += [([i for i in rows if x[i, best[1]] <= best[2]], level + 1), ([i for i in rows if x[i, best[1]] > best[2]], level + 1)]
+    return [1 / (1 + math.exp(-r)) for r in raw]
+
+
+def test_trees_equal_plain_fit():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(80, 3)).astype(np.float32).round(1)
+    y = ((x[:, 0] > 0.2) ^ (x[:, 1] > 0)).astype(float)
+    model = quality_gbdt.fit_trees(x, y, trees=4, depth=2)
+    assert quality_gbdt.predict(x, model) == pytest.approx(plain_trees(x, y, 4, 2), rel=1e-6)
+
+
+@pytest.mark.parametrize(("name", "folds", "fold", "threshold"), [("op4_toxicity", 4, 2, 0.3), ("op7_quality", 3, 1, 0.5)])
+def test_classifier_queries(spark, name, folds, fold, threshold):
+    from rillflow.llm.queries import QUERIES
+
+    ids = [r.doc_id for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows = QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.doc_id for r in rows) == sorted(ids)
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % folds == fold) and r.predicted == int(r.score >= threshold) and 0 <= r.score <= 1
+
+
 def test_classifiers_odd_rows(spark, odd, none, labels):
     for f, train, score in ((toxicity.toxicity, toxicity.train_toxicity, toxicity.score_toxicity), (quality_gbdt.quality, quality_gbdt.train_quality, quality_gbdt.score_quality)):
         rows = f(odd, labels).collect()
