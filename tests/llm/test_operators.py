@@ -581,15 +581,116 @@ def test_warc_links_and_digests(spark):
     assert meta["Title"] == "A & B" and meta["Links"] == [{"path": "A@/href", "url": "/x?a=1&b=2"}]
     assert by[2, "conversion"].block == "" and len({r.record_id for r in rows}) == 8
     got, body = warc.parse(warc.serialise(fields, block))
-    assert got == source and body == block
+    assert dict(got) == source and body == block
     assert warc.warc_derivatives(pages.limit(0)).count() == 0
 
 
+def links_of(page):
+    return [x["url"] for x in warc.read_page(page)[1]["Links"]]
+
+
 def test_warc_script_links():
     long = f'<script data-a="{"x" * 300}" src="/far.js">x</script>'
     inline = '<script>var src = 1; t = "<a href=\'/no\'>";</script><SCRIPT data-src-of="1">t = "<img src=/no>"</SCRIPT>'
-    links = warc.page_metadata(f'{long}{inline}<script src="/near.js">u = "<a href=/no>"</script><a href="/x">x</a>')["Links"]
-    assert [x["url"] for x in links] == ["/far.js", "/near.js", "/x"]
+    assert links_of(f'{long}{inline}<script src="/near.js">u = "<a href=/no>"</script><a href="/x">x</a>') == ["/far.js", "/near.js", "/x"]
+    assert links_of('<img data-src="/lazy" alt="a > b" src=\'/now\'><a title=href href=/y>') == ["/now", "/y"]
+
+
+def test_warc_page_shapes():
+    text = lambda page: warc.read_page(page)[0]
+    assert text("a < b <3 </3 c") == "a < b <3 </3 c" and text("x <b and no end") == "x <b and no end"
+    assert text("a<!-- x > y -->b<!-->c<!-- open") == "a b c" and text("a<style>x{}") == "a"
+    assert text('a<p title="1 > 0">b</p>c') == "a\nb\nc" and text('a<p title="open>b</p>c') == "a\nb\nc"
+    assert text("<!DOCTYPE html><?xml x?>a &amp; b&nbsp;c") == "a & b\u00a0c"
+    assert warc.read_page("<title>One <b>&lt;</title><title>two</title>")[1]["Title"] == "One <b><"
+    assert warc.read_page("<title>open")[1]["Title"] is None
+
+
+@pytest.mark.parametrize("part", ["<script ", "<script>", "<a href=\"", "<a href='x", "<!--", "<title>", "<", "<p ", "<a \">", "&", "<style></style", "= \"<", "<a =", " \n", "<a href=x "])
+def test_warc_takes_time_in_proportion(part):
+    import time
+
+    took = []
+    for size in (250_000, 1_000_000):
+        page = part * (size // len(part))
+        began = time.process_time()
+        warc.read_page(page)
+        warc.read_page(f"{page}>{page}")
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 0.5
+
+
+def test_warc_headers_are_kept():
+    http = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nset-cookie:b=2\r\nSet-Cookie:  c=3 \r\nX-Folded: one\r\n  two\r\nno colon here\r\nContent-Type: text/html; charset=ISO-8859-1\r\n\r\n<p>\xe9"
+    record = b"WARC/1.0\nWARC-Type:response\nWARC-Record-ID:<urn:x:1>\nWARC-Date: 2020-01-01T00:00:00Z\nWARC-Concurrent-To: <urn:x:2>\nWARC-Concurrent-To: <urn:x:3>\nContent-Length:" + str(len(http)).encode() + b"\n\n" + http + b"\r\n\r\n"
+    fields, block = warc.parse(record)
+    assert block == http and warc.field(fields, "warc-record-id") == "<urn:x:1>"
+    (meta_fields, meta), (text_fields, text) = warc.derive(fields, block)
+    envelope = __import__("json").loads(meta)["Envelope"]
+    assert envelope["WARC-Header-Metadata"]["WARC-Concurrent-To"] == ["<urn:x:2>", "<urn:x:3>"]
+    headers = envelope["Payload-Metadata"]["HTTP-Response-Metadata"]["Headers"]
+    assert headers["Set-Cookie"] == ["a=1", "c=3"] and headers["set-cookie"] == "b=2" and headers["X-Folded"] == "one two" and headers[""] == "no colon here"
+    assert text.decode() == "é" and dict(text_fields)["WARC-Refers-To"] == dict(meta_fields)["WARC-Refers-To"] == "<urn:x:1>"
+    assert warc.parse(b"WARC/1.0\r\nContent-Length: many\r\n\r\nabc\r\n\r\n")[1] == b"abc" and warc.parse(b"junk") == ([], b"")
+    assert warc.derive([], b"no http <b>x</b>")[1][1] == b"no http x"
+
+
+def plain_page(page):
+    """Words shown and links by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.links, self.hidden = [], [], 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag in warc._LINKS and not self.hidden and (url := dict(reversed(attrs)).get(warc._LINKS[tag])) is not None:
+                self.links.append(url)
+            self.hidden += tag in ("script", "style", "template", "noscript")
+            self.out.append("\n" if tag in warc._BLOCKS else "")
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in ("script", "style", "template", "noscript") and self.hidden > 0
+            self.out.append("\n" if tag in warc._BLOCKS else "")
+
+        def handle_data(self, data):
+            self.out.append(data if not self.hidden else " ")
+
+        def handle_comment(self, data):
+            self.out.append(" ")
+
+    r = Reader()
+    r.feed(page)
+    r.close()
+    return "".join(r.out).split(), r.links
+
+
+def test_op3_equals_another_parser(spark):
+    import email
+    import json
+
+    from rillflow.llm.queries import op3_warc
+
+    pages = {r.page_id: r for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
+    rows = op3_warc(spark, "/root/testdata/sf0.001").collect()
+    assert Counter(r.page_id for r in rows) == dict.fromkeys(pages, 2)
+    by = {(r.page_id, r.warc_type): r for r in rows}
+    for i, page in pages.items():
+        meta, text = by[i, "metadata"], by[i, "conversion"]
+        words, links = plain_page(page.html or "")
+        assert text.block.split() == words
+        envelope = json.loads(meta.block)["Envelope"]
+        response = envelope["Payload-Metadata"]["HTTP-Response-Metadata"]
+        assert [x["url"] for x in response["HTML-Metadata"]["Links"]] == links
+        payload = (page.html or "").encode()
+        digest = "sha1:" + __import__("base64").b32encode(hashlib.sha1(payload).digest()).decode()
+        assert response["Entity-Digest"] == text.source_payload_digest == digest and response["Headers"]["Content-Length"] == str(len(payload))
+        for r in (meta, text):
+            assert r.refers_to == envelope["WARC-Header-Metadata"]["WARC-Record-ID"] and r.target_uri == page.url
+    fields, body = warc.parse(warc.serialise(*warc.response_record("http://a", "x")))
+    head = email.message_from_bytes(warc.header_block(fields).partition(b"\r\n")[2])
+    assert head.items() == fields and body.endswith(b"x")
 
 
 def test_license_scan(spark, odd, none):
