@@ -8,12 +8,15 @@ every document's set into segments. The steps:
 2. Of the rest, documents with equal sets form classes, and one of each class goes on.
 3. Prefixes: with the rarest n-grams first, two sets that link share one of the first n - ceil(t n) + 1. Documents are
    gathered into groups connected by shared prefix n-grams.
-4. Within a group, tiles of bounded size compare parity bitmaps of the sets, which bound the difference from below, and
-   propose a spanning forest of pairs. A pair is proposed only if it would connect two components.
+4. Tiles of bounded size compare parity bitmaps of the sets, which bound the difference from below, and propose a
+   spanning forest of pairs. A pair is proposed only if it would connect two components. A small group is one tile. In a
+   large one, a few pivots of each size band are first compared with all others, as often as this shrinks what lies
+   outside the group's largest component; then only tiles with a document outside it are left to compare.
 5. Vertical counting: each fragment counts the overlap of the proposed pairs' segments separately; the sum per pair
    decides exactly. Links merge components, failed pairs are barred, and 4. goes on until nothing is left to propose.
 
-So no link that matters for a component is lost, and a group of n near copies costs about n verified pairs, not n * n.
+So no link that matters for a component is lost. A group of n near copies costs about n verified pairs and n times the
+number of pivots in comparisons; only documents that link to none of the others still meet all of their group.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components, local_components
@@ -33,8 +37,15 @@ from .shared import drop_table, lean, shuffle_partitions, write_table
 from .wordhash import Text, chunks, mix, sort_by_doc, window_hashes
 
 BLOCK_BYTES = 2 << 20
-TILE_ROWS = 1024
+TILE_ROWS = 256
+#: So many documents of a size band, in expectation, are compared with all of a large group at a time.
+PIVOTS = 32
 CUTS = 8
+#: A group, or a document in pairs, is heavy beyond this share of all rows: there are fewer heavy ones than its inverse,
+#: which bounds what is broadcast.
+HEAVY = 1 / 1000
+#: The ids of classes that have to share their smallest doc_id with another start here.
+FRESH = 1 << 62
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +89,7 @@ def _segments(batches: Iterator[pa.RecordBatch], k: int, bits: int) -> Iterator[
             n_docs = hi - lo
             sizes = np.bincount(doc, minlength=n_docs)
             cut = np.concatenate([[0], np.cumsum(sizes)])
-            digests = b"".join(hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() for a, b in zip(cut[:-1], cut[1:], strict=True))
+            digests = b"".join(_digests(h, cut))
             key = h >> np.uint64(32 - bits)
             order = np.argsort(key)
             same = np.zeros(len(key), bool)
@@ -214,13 +225,18 @@ def shared_counts(docs: DataFrame, k: int) -> DataFrame:
     return summed.mapInArrow(lean(_blocks), "doc_id long, n_shingles long, n_shared long, digest binary")
 
 
+def _digests(h: np.ndarray, cut: np.ndarray) -> list[bytes]:
+    return [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo, hi, raw, offsets in chunks(batch.column(1)):
+        for lo, hi, raw, offsets in chunks(batch.column(0), BLOCK_BYTES // 4):
             doc, h = shingles(raw, offsets, k)
             sizes = np.bincount(doc, minlength=hi - lo)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(h.view(np.int64)))
-            yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(sizes.astype(np.int64)), lists], ["doc_id", "n", "hashes"])
+            cut = np.concatenate([[0], np.cumsum(sizes)])
+            lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(h.view(np.int64)))
+            yield pa.record_batch([pa.array(_digests(h, cut), pa.binary()), pa.array(sizes.astype(np.int64)), lists], ["digest", "n", "hashes"])
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,8 +293,9 @@ def _prefix_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.record_batch([pa.array(nodes), pa.array(label)], ["u", "v"])
 
 
-def _fold(bitmap: bytes, words: int) -> np.ndarray:
-    return np.bitwise_xor.reduce(np.frombuffer(bitmap, np.uint64).reshape(-1, words), axis=0)
+def _fold(maps: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (a row each) folded to ``words`` words."""
+    return np.bitwise_xor.reduce(maps.reshape(len(maps), -1, words), axis=1)
 
 
 class _Forest:
@@ -296,32 +313,38 @@ class _Forest:
         return x != y
 
 
+#: What a row is in its tile: of its left or right side, of a tile that has only one, or a pair that failed.
+LEFT, RIGHT, OWN, FAILED = range(4)
+
+
 def _propose(table: pa.Table, percent: int, forests: int) -> pa.Table:
     """Pairs of a tile that may link and would connect components, the most alike first, as disjoint spanning forests."""
-    kind, doc, n = (table[c].to_numpy() for c in ("side", "doc_id", "n"))
+    side, doc, n = (table[c].to_numpy() for c in ("side", "doc_id", "n"))
     label, other = table["label"].to_numpy(), table["other"].to_numpy()
-    barred = {(int(a), int(b)) for a, b, s in zip(doc, other, kind, strict=True) if s == 2}
-    out_a, out_b = [], []
-    left, right = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
-    within = not len(right)
-    if within:
-        right = left
-    if len(left) and len(np.unique(label[np.concatenate([left, right])])) > 1:
+    barred = {(int(a), int(b)) for a, b in zip(doc[side == FAILED], other[side == FAILED], strict=True)}
+    out_a, out_b, found = [], [], []
+    own = np.flatnonzero(side == OWN)
+    left, right = (own, own) if len(own) else (np.flatnonzero(side == LEFT), np.flatnonzero(side == RIGHT))
+    if len(left) and len(right) and len(np.unique(label[np.concatenate([left, right])])) > 1:
         maps = table["bitmap"].combine_chunks()
-        words = min(len(maps[int(i)].as_buffer()) for i in (*left, *right)) // 8
-        x = np.stack([_fold(maps[int(i)].as_py(), words) for i in left])
-        y = x if within else np.stack([_fold(maps[int(i)].as_py(), words) for i in right])
-        found = []
-        for i, a in enumerate(left):
-            to = np.arange(i + 1, len(right)) if within else np.arange(len(right))
-            b = right[to]
-            ok = (label[b] != label[a]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
-            to, b = to[ok], b[ok]
-            if len(b):
-                apart = np.bitwise_count(y[to] ^ x[i]).sum(axis=1, dtype=np.int64)
-                total = n[a] + n[b]
-                ok = apart * (100 + percent) <= total * (100 - percent)
-                found += [(d / t, min(doc[a], doc[j]), max(doc[a], doc[j]), label[a], label[j]) for d, t, j in zip(apart[ok], total[ok], b[ok], strict=True)]
+        words = np.zeros(len(doc), np.int64)
+        words[side != FAILED] = [len(maps[int(i)].as_buffer()) // 8 for i in np.flatnonzero(side != FAILED)]
+        stacked = {(id(rows), w): np.stack([np.frombuffer(maps[int(i)].as_buffer(), np.uint64) for i in rows[words[rows] == w]]) for rows in (left, right) for w in np.unique(words[rows]).tolist()}
+        for w1 in np.unique(words[left]).tolist():
+            for w2 in np.unique(words[right]).tolist():
+                if max(w1, w2) * percent > 200 * min(w1, w2):  # sizes that far apart can't link
+                    continue
+                l, r, w = left[words[left] == w1], right[words[right] == w2], min(w1, w2)
+                x, y = _fold(stacked[id(left), w1], w), _fold(stacked[id(right), w2], w)
+                for i, a in enumerate(l):
+                    to = np.flatnonzero((label[r] != label[a]) & (100 * np.minimum(n[a], n[r]) >= percent * np.maximum(n[a], n[r])))
+                    if len(own):
+                        to = to[doc[r[to]] > doc[a]] if w1 == w2 else to if w1 < w2 else to[:0]
+                    if len(to):
+                        apart = np.bitwise_count(y[to] ^ x[i]).sum(axis=1, dtype=np.int64)
+                        b, total = r[to], n[a] + n[r[to]]
+                        ok = apart * (100 + percent) <= total * (100 - percent)
+                        found += [(d / t, min(doc[a], doc[j]), max(doc[a], doc[j]), label[a], label[j]) for d, t, j in zip(apart[ok], total[ok], b[ok], strict=True)]
         found = [e for e in sorted(found) if (int(e[1]), int(e[2])) not in barred]
         for _ in range(forests):
             forest, rest = _Forest(), []
@@ -339,24 +362,58 @@ def _proposer(percent: int, forests: int):
     return lambda table: _propose(table, percent, forests)
 
 
-def _tiles(placed: DataFrame, percent: int, tile_rows: int) -> DataFrame:
-    """The rows of ``placed`` (doc_id, n, grp and others) with tile and side, one for each tile that they belong to.
+def _by_group(rows: DataFrame, info: DataFrame) -> DataFrame:
+    """``rows`` with their group's row of ``info`` (both: grp, heavy); the few heavy groups' rows don't move."""
+    light, heavy = info.where("NOT heavy").drop("heavy"), info.where("heavy").drop("heavy")
+    return rows.where("NOT heavy").join(light, "grp").unionByName(rows.where("heavy").join(F.broadcast(heavy), "grp"))
+
 
-    A band holds sizes within the threshold's ratio, so links stay within a band or between neighbours; a band of more
-    than ``tile_rows`` documents is dealt by hash into cells, and each pair of cells is a tile.
+def _band(percent: int):
+    """Sizes within the threshold's ratio are in one band or in neighbouring ones."""
+    return F.floor(F.log(F.col("n").cast("double")) / (F.log(F.lit(100.0 / percent)) + 1e-9)).cast("int")
+
+
+TILE = "struct<grp: bigint, k1: int, c1: int, k2: int, c2: int>"
+
+
+def _tiles(rows: DataFrame, tile_rows: int) -> DataFrame:
+    """The rows of large groups (doc_id, n, grp, heavy, band, open and others) with tile and side, one for each tile that
+    they belong to: every pair of one band or neighbouring ones of which one at least is open is in a tile.
+
+    The open documents of a band, and the others, are dealt by hash into cells of about ``tile_rows``; a pair of cells is
+    a tile.
     """
-    banded = placed.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int"))
-    counts = banded.groupBy("grp", "band").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("cells"))
-    bands = counts.groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("band", "cells"))).alias("bands"))
-    cells = lambda shift: F.coalesce(F.try_element_at("bands", F.col("band") + shift), F.lit(0))
-    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    tile = lambda side, b1, c1, b2, c2: F.struct(F.lit(side).alias("side"), F.struct("grp", b1.alias("b1"), c1.alias("c1"), b2.alias("b2"), c2.alias("c2")).alias("tile"))
-    band, cell = F.col("band"), F.col("cell")
-    own = F.transform(upto(cells(0)), lambda c: F.when(c < cell, tile(1, band, c, band, cell)).otherwise(tile(0, band, cell, band, c)))
-    above = F.transform(upto(cells(1)), lambda c: tile(0, band, cell, band + 1, c))
-    below = F.transform(upto(cells(-1)), lambda c: tile(1, band - 1, c, band, cell))
-    joined = banded.join(bands, "grp").withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.try_element_at("bands", band)).cast("int"))
-    return joined.withColumn("t", F.explode(F.concat(own, above, below))).select("t.tile", "t.side", *placed.columns)
+    kinds = rows.withColumn("kind", 2 * F.col("band") + F.when(F.col("open"), 0).otherwise(1))
+    counts = kinds.groupBy("grp", "heavy", "kind").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("n_cells"))
+    info = counts.groupBy("grp", "heavy").agg(F.map_from_entries(F.collect_list(F.struct("kind", "n_cells"))).alias("cells"))
+    kind, cell = F.col("kind"), F.col("cell")
+
+    def upto(k):
+        n = F.coalesce(F.try_element_at("cells", k), F.lit(0))
+        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    def tile(side, k1, c1, k2, c2):
+        return F.struct(F.lit(side).alias("side"), F.struct("grp", k1.alias("k1"), c1.alias("c1"), k2.alias("k2"), c2.alias("c2")).cast(TILE).alias("tile"))
+
+    def on(k, left):
+        """The tiles with each cell of kind ``k``."""
+        return F.transform(upto(k), lambda c: tile(LEFT, kind, cell, k, c) if left else tile(RIGHT, k, c, kind, cell))
+
+    own = F.transform(upto(kind), lambda c: F.when(c < cell, tile(RIGHT, kind, c, kind, cell)).when(c > cell, tile(LEFT, kind, cell, kind, c)).otherwise(tile(OWN, kind, cell, kind, c)))
+    of_open = F.concat(own, on(kind + 1, True), on(kind + 2, True), on(kind + 3, True), on(kind - 2, False), on(kind - 1, False))
+    of_rest = F.concat(on(kind - 1, False), on(kind + 1, True), on(kind - 3, False))
+    joined = _by_group(kinds, info).withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.try_element_at("cells", kind)).cast("int"))
+    return joined.withColumn("t", F.explode(F.when(F.col("open"), of_open).otherwise(of_rest))).select("t.tile", "t.side", "doc_id", "n", "bitmap")
+
+
+def _beside(pairs: DataFrame, segments: DataFrame, end: str) -> DataFrame:
+    """``pairs`` with the segments of the documents at one ``end``. A document of many pairs is copied, so that none of
+    its copies meets more than about TILE_ROWS of them."""
+    copies = pairs.groupBy(end).agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("copies"))
+    dealt = pairs.join(copies, end).withColumn("copy", F.pmod(F.xxhash64("a", "b"), "copies").cast("int")).drop("copies")
+    copied = segments.withColumnsRenamed({"doc_id": end, "n": f"n{end}", "seg": f"seg_{end}"}).join(copies, end)
+    copied = copied.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    return dealt.join(copied, [end, "copy", *(["f"] if "f" in pairs.columns else [])]).drop("copy")
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame, cuts: int) -> DataFrame:
@@ -365,12 +422,60 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, cuts: int) -> DataFrame:
     parts = F.transform(F.sequence(F.lit(0), F.lit(cuts - 1)), lambda f: F.struct(f.alias("f"), F.filter("hashes", lambda h: F.shiftrightunsigned(h, 64 - bits) == f).alias("seg")))
     needed = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi")
     segments = needed.select("doc_id", "n", F.explode(parts).alias("p")).select("doc_id", "n", "p.f", "p.seg")
-    left = pairs.join(segments.withColumnsRenamed({"doc_id": "a", "n": "na", "seg": "seg_a"}), "a")
-    both = left.join(segments.withColumnsRenamed({"doc_id": "b", "n": "nb", "seg": "seg_b"}), ["b", "f"])
+    both = _beside(_beside(pairs, segments, "a"), segments, "b")
     overlap = F.sum(F.size(F.array_intersect("seg_a", "seg_b"))).alias("overlap")
     return both.groupBy("a", "b").agg(overlap, F.first("na").alias("na"), F.first("nb").alias("nb"))
 
 
+class _Links:
+    """What is known so far: ``labels`` (id, label), a forest of all links found."""
+
+    def __init__(self, sets: DataFrame, percent: int, cuts: int):
+        self.sets, self.percent, self.cuts, self.labels = sets, percent, cuts, None
+
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the label of each doc_id."""
+        if self.labels is None:
+            return rows.withColumn("label", F.col("doc_id"))
+        return rows.join(self.labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+
+    def settle(self, tiles: DataFrame, forests: int) -> DataFrame:
+        """Propose pairs of the tiles, count their overlaps and merge components: the pairs (a, b) that failed."""
+        judge = 100 * F.col("overlap") >= self.percent * (F.col("na") + F.col("nb") - F.col("overlap"))
+        proposed = write_table(tiles.groupBy("tile").applyInArrow(_proposer(self.percent, forests), "a long, b long").distinct(), "proposed")
+        judged = write_table(_overlaps(proposed, self.sets, self.cuts).select("a", "b", judge.alias("link")), "judged")
+        drop_table(proposed)
+        good = judged.where("link").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        if self.labels is None or not good.isEmpty():
+            before = self.labels
+            self.labels = components(good if before is None else good.union(before))
+            if before is not None:
+                drop_table(before)
+        bad = write_table(judged.where("NOT link").select("a", "b"), "bad")
+        drop_table(judged)
+        return bad
+
+
+def _pivot_rounds(known: _Links, big: DataFrame, tile_rows: int) -> DataFrame:
+    """Compare a few pivots with all of each large group while that merges what is left; ``big`` with ``open`` for the
+    documents outside their group's largest component."""
+    none, before = F.lit(0).cast("long").alias("other"), None
+    while True:
+        rows = known.labelled(big)
+        sizes = rows.groupBy("grp", "heavy", "label").agg(F.count(F.lit(1)).alias("size"))
+        main = sizes.groupBy("grp", "heavy").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
+        marked = _by_group(rows, main).withColumn("open", F.col("label") != F.col("main")).drop("main")
+        opens = marked.where("open").groupBy("grp", "heavy", "band").agg(F.count(F.lit(1)).alias("size"))
+        left = opens.agg(F.sum("size")).first()[0] or 0
+        if not left or before is not None and left > 0.8 * before:
+            return marked
+        before = left
+        per_band = opens.groupBy("grp", "heavy").agg(F.map_from_entries(F.collect_list(F.struct("band", "size"))).alias("sizes"))
+        chance = F.pmod(F.xxhash64("doc_id", F.lit(left)), F.lit(1 << 32)) / float(1 << 32)
+        pivots = _by_group(marked, per_band).withColumn("open", F.col("open") & (chance * F.try_element_at("sizes", "band") < PIVOTS)).drop("sizes")
+        drop_table(known.settle(known.labelled(_tiles(pivots, tile_rows)).withColumn("other", none), 1))
+
+
 def link_components(sets: DataFrame, percent: int, tile_rows: int = TILE_ROWS, cuts: int = CUTS) -> DataFrame:
     """(id, label) of the documents of ``sets`` (doc_id, n, hashes) that link to another."""
     grams = sets.select("doc_id", F.explode("hashes").alias("h"))
@@ -383,33 +488,35 @@ def link_components(sets: DataFrame, percent: int, tile_rows: int = TILE_ROWS, c
     edges = near.repartition(shuffle_partitions(sets.sparkSession), F.coalesce("h", "u")).mapInArrow(lean(_prefix_groups), "u long, v long")
     grouped = components(edges)
     members = sets.join(grouped.select(F.col("id").alias("doc_id"), F.col("label").alias("grp")), "doc_id").select("doc_id", "n", "grp", "hashes")
-    tiles = write_table(_tiles(members.mapInArrow(lean(_bitmaps), "doc_id long, n long, grp long, bitmap binary"), percent, tile_rows), "tiles")
+    placed = write_table(members.mapInArrow(lean(_bitmaps), "doc_id long, n long, grp long, bitmap binary"), "placed")
+    sizes = write_table(grouped.groupBy(F.col("label").alias("grp")).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > tile_rows), "sizes")
     drop_table(grouped)
-    labels, links, barred, forests = None, None, None, 1
-    none = F.lit(0).cast("long")
-    while True:
-        rows = tiles
-        if labels is not None:  # only tiles with a pair that failed can hold more that would connect components
-            failed = tiles.select("tile", F.col("doc_id").alias("a")).join(barred, "a").join(tiles.select("tile", F.col("doc_id").alias("b")), ["tile", "b"]).select("tile", "a", "b").distinct()
-            rows = tiles.join(failed.select("tile").distinct(), "tile", "left_semi").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-        known = F.col("doc_id") if labels is None else F.coalesce("label", "doc_id")
-        rows = rows.select("tile", "side", "doc_id", "n", "bitmap", known.alias("label"), none.alias("other"))
-        if labels is not None:
-            rows = rows.union(failed.select("tile", F.lit(2), "a", none, F.lit(None).cast("binary"), none, "b"))
-        judge = 100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))
-        proposed = write_table(rows.groupBy("tile").applyInArrow(_proposer(percent, forests), "a long, b long").distinct(), "proposed")
-        judged = write_table(_overlaps(proposed, sets, cuts).select("a", "b", judge.alias("link")), "judged")
-        drop_table(proposed)
-        good, bad = judged.where("link").select(F.col("a").alias("u"), F.col("b").alias("v")), judged.where("NOT link").select("a", "b")
-        links = good if links is None else links.union(good)
-        barred = bad if barred is None else barred.union(bad)
-        if labels is None or not good.isEmpty():
-            labels = components(links)
-        if bad.isEmpty():
-            break
-        forests = 8
-    drop_table(tiles)
-    return labels
+    known, none, spare = _Links(sets, percent, cuts), F.lit(0).cast("long"), [placed, sizes]
+    whole = lambda rows: rows.select(F.struct("grp", *(F.lit(0).alias(c) for c in ("k1", "c1", "k2", "c2"))).cast(TILE).alias("tile"), F.lit(OWN).alias("side"), "doc_id", "n", "bitmap")
+    if sizes.isEmpty():
+        tiles = write_table(whole(placed), "tiles")
+    else:
+        limit = placed.count() * HEAVY
+        heavy = F.broadcast(sizes.where(F.col("size") > limit).select("grp"))
+        others = placed.join(heavy, "grp", "left_anti")
+        medium = sizes.where(F.col("size") <= limit).select("grp")
+        large = placed.join(heavy, "grp", "left_semi").withColumn("heavy", F.lit(True)).unionByName(others.join(medium, "grp", "left_semi").withColumn("heavy", F.lit(False)))
+        big = write_table(large.withColumn("band", _band(percent)), "big")
+        tiles = write_table(_tiles(_pivot_rounds(known, big, tile_rows), tile_rows).unionByName(whole(others.join(medium, "grp", "left_anti"))), "tiles")
+        spare.append(big)
+    bad = known.settle(known.labelled(tiles).withColumn("other", none), 1)
+    barred = bad
+    while not bad.isEmpty():  # only tiles with a pair that failed can hold more that would connect components
+        failed = tiles.select("tile", F.col("doc_id").alias("a")).join(barred, "a").join(tiles.select("tile", F.col("doc_id").alias("b")), ["tile", "b"]).select("tile", "a", "b").distinct()
+        rows = known.labelled(tiles.join(failed.select("tile").distinct(), "tile", "left_semi")).select("tile", "side", "doc_id", "n", "bitmap", "label", none.alias("other"))
+        bad = known.settle(rows.union(failed.select("tile", F.lit(FAILED), "a", none, F.lit(None).cast("binary"), none, "b")), 8)
+        together = write_table(barred.union(bad), "barred")
+        drop_table(barred)
+        barred = together
+        spare.append(bad)
+    for table in (*spare, tiles, barred):
+        drop_table(table)
+    return known.labels
 
 
 def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, tile_rows: int = TILE_ROWS, cuts: int = CUTS) -> DataFrame:
@@ -418,22 +525,42 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, tile_rows: int =
     Two documents link when ``100 * intersection >= percent * union`` of their sets of distinct k-word shingles (words
     ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased; with fewer words the whole sequence is the one shingle). class_id is the
     smallest id with an equal set, component_id the smallest that links lead to, both the own id for an empty or null
-    text. Rows with a null id keep null for both. Rows with one id and different texts count as one document for links.
-    Other columns are left aside; an empty table gives no rows.
+    text. Rows with a null id keep null for both. Rows with one id and different texts are one document: what any of
+    them links to is linked to all of them (class_id stays each text's own). Ids are below 2**62. Texts are taken whole,
+    however long. Other columns are left aside; an empty table gives no rows. The result is a table in the shared folder.
     """
     info = write_table(shared_counts(docs, k), "shared")
     may_link = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0) & (100 * F.col("n_shared") >= percent * F.col("n_shingles"))
-    alone = info.where(~may_link).select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     rest = info.where(may_link)
-    classes = write_table(rest.groupBy("digest").agg(F.min("doc_id").alias("class_id")), "classes")
+    # A set goes by its class's smallest id, and by a fresh one where that stands for another set already.
+    classes = rest.groupBy("digest").agg(F.min("doc_id").alias("class_id"))
+    nth = F.row_number().over(W.partitionBy("class_id").orderBy("digest"))
+    classes = classes.withColumn("nth", nth).withColumn("node", F.when(F.col("nth") == 1, F.col("class_id")).otherwise(FRESH + F.monotonically_increasing_id())).drop("nth")
+    classes = write_table(classes, "classes")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = text.join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(lean(lambda it: _sets(it, k)), "doc_id long, n long, hashes array<long>")
-    sets = write_table(sets.dropDuplicates(["doc_id"]), "sets")
+    sets = text.join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text").mapInArrow(lean(lambda it: _sets(it, k)), "digest binary, n long, hashes array<long>")
+    sets = sets.dropDuplicates(["digest"]).join(classes.select("digest", "node"), "digest")
+    sets = write_table(sets.select(F.col("node").alias("doc_id"), "n", "hashes"), "sets")
     labels = link_components(sets, percent, tile_rows, cuts)
     drop_table(sets)
     found = rest.join(classes, "digest")
-    found = found.join(labels.select(F.col("id").alias("class_id"), F.col("label").alias("component_id")), "class_id", "left").withColumn("component_id", F.coalesce("component_id", "class_id"))
-    return alone.unionByName(found.select("doc_id", "n_shingles", "class_id", "component_id"))
+    ends = found.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("hi")).where("v != hi")
+    same = write_table(found.join(ends.select("doc_id", "v"), "doc_id").select(F.col("node").alias("u"), "v").where("u != v").distinct(), "same")
+    if not same.isEmpty():
+        before, labels = labels, components(labels.select(F.col("id").alias("u"), F.col("label").alias("v")).union(same))
+        drop_table(before)
+    drop_table(same)
+    # A row that can't link is still one document with the other rows of its id.
+    own = labels.select(F.col("id").alias("node"), F.col("label").alias("component_id"))
+    found = found.join(own, "node", "left").withColumn("component_id", F.coalesce("component_id", "class_id"))
+    alone = info.where(~may_link).withColumn("class_id", F.col("doc_id"))
+    by_id = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    alone = alone.join(by_id, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    columns = ["doc_id", "n_shingles", "class_id", "component_id"]
+    out = write_table(alone.select(columns).unionByName(found.select(columns)), "joined")
+    for used in (info, classes, labels):
+        drop_table(used)
+    return out
 
 
 #: The same rows (four words, 85 percent) in DuckDB's SQL.

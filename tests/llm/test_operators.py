@@ -105,6 +105,34 @@ def test_ngram_join_large_group_of_near_copies(spark):
     assert [got[i] for i in range(250)] == labels
 
 
+def test_ngram_join_rows_that_share_an_id(spark):
+    rng = random.Random(11)
+    texts = [" ".join(f"t{t}w{i}" for i in range(100)) for t in range(5)]
+    near = lambda t: f"{texts[t]} {rng.random()}"
+    rows = [(5, texts[0]), (5, texts[1]), (7, near(0)), (8, near(1)), (9, "stands alone"), (9, near(2)), (3, texts[2]), (12, texts[3]), (12, texts[3]), (13, near(3)), (14, None), (14, texts[4]), (15, near(4)), (16, "")]
+    got = sorted((r.doc_id, r.component_id) for r in ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    assert got == [(3, 3), (5, 5), (5, 5), (7, 5), (8, 5), (9, 3), (9, 3), (12, 12), (12, 12), (13, 12), (14, 14), (14, 14), (15, 14), (16, 16)]
+
+
+@pytest.mark.parametrize("shape", ["star", "chain", "apart"])
+def test_ngram_join_pivots(spark, shape):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for i in range(120):
+        words = list(base)
+        if shape == "star":  # near copies of one text, near each other or not
+            words[rng.randrange(100)] = f"x{i}"
+        elif shape == "chain":  # neighbours link, ends don't
+            words[:i] = [f"y{j}" for j in range(i)]
+        else:  # a shared half, so that few or none link
+            words[50:] = [f"z{i // 2}_{j}" for j in range(50)]
+        texts.append(" ".join(words[: rng.choice([100, 97])]))
+    _, labels = brute_components(texts, 4, 85)
+    got = {r.doc_id: r.component_id for r in ngram_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), tile_rows=20).collect()}
+    assert [got[i] for i in range(120)] == labels
+
+
 def test_ngram_join_odd_rows(odd, none):
     rows = ngram_join(odd).collect()
     assert len(rows) == len(ODD)
