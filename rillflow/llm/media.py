@@ -1,8 +1,9 @@
 """Content-addressed payloads in tar shards, with metadata columns filled by header-only range reads.
 
-Each task stores its rows' payloads as losslessly compressed 8-bit grey images (PNG) in tar shards of its own; equal
-payloads of a task are stored once. Rows carry digest, shard, offset and length. A second pass reads a fixed number of
-header bytes at each offset to fill the metadata columns, a third reads the payloads back.
+Payloads are losslessly compressed 8-bit grey images (PNG) in tar shards, each payload once overall: a task encodes what
+it has not met yet, an exchange by the text's digest brings equal ones together, and there one of them is written. Rows
+carry digest, shard, offset and length. A second pass reads a fixed number of header bytes at each place to fill the
+metadata columns, a third reads the payloads back; both read a place once, however many rows have it.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lean, new_path, shuffle_partitions, write_table
+from .shared import drop_table, lean, new_path, shuffle_partitions, write_table
 
 WIDTH = 64
 SHARD_BYTES = 128 << 20
+FLUSH_BYTES = 4 << 20
 #: Signature, header chunk, and the chunk of our own with the unpadded length: what a header-only read fetches.
 HEADER_BYTES = 8 + 25 + 20
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -81,49 +83,82 @@ class _Shards:
     def __init__(self, folder: str, shard_bytes: int):
         self.files, self.root = fs.FileSystem.from_uri(folder)
         self.files.create_dir(self.root, recursive=True)
-        self.folder, self.limit, self.out, self.size, self.seen = folder, shard_bytes, None, 0, {}
+        self.limit, self.out, self.size = shard_bytes, None, 0
 
     def put(self, media: bytes) -> tuple[str, str, int, int]:
+        """(digest, shard, offset, length) of a new member."""
         digest = hashlib.sha256(media).hexdigest()
-        if (known := self.seen.get(digest)) is not None:
-            return digest, *known
         if self.out is None:
             self.name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tar"
             self.out, self.size = self.files.open_output_stream(f"{self.root}/{self.name}"), 0
         info = tarfile.TarInfo(f"{digest}.png")
         info.size = len(media)
         head = info.tobuf(tarfile.PAX_FORMAT)
-        place = (self.name, self.size + len(head), len(media))
+        place = digest, self.name, self.size + len(head), len(media)
         block = head + media + bytes(-len(media) % 512)
         self.out.write(block)
         self.size += len(block)
-        self.seen[digest] = place
         if self.size >= self.limit:
             self.close()
-        return digest, *place
+        return place
 
     def close(self) -> None:
         if self.out is not None:
             self.out.write(bytes(1024))
             self.out.close()
-            self.out, self.seen = None, {}
+            self.out = None
+
+
+def _new_media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, media) of the texts whose key the task has not met before."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        keys, media, size = [], [], 0
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if key in seen:
+                continue
+            seen.add(key)
+            keys.append(key)
+            media.append(encode(text.as_py().encode()))
+            size += len(media[-1])
+            if size > FLUSH_BYTES:
+                yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(media, pa.binary())], ["key", "media"])
+                keys, media, size = [], [], 0
+        if keys:
+            yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(media, pa.binary())], ["key", "media"])
+
+
+PLACE = "key binary, digest string, shard string, offset long, length long"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, key (the digest of the text) and text; a null text is an empty one."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("key"), text.alias("text"))
 
 
 def store_payloads(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(doc_id, digest, shard, offset, length) for each row of ``docs``; a null text is an empty payload.
+    """(key, digest, shard, offset, length), a row for each different text of ``docs``; a null text is an empty payload.
 
-    The rows must be kept with ``write_table`` before they are used: computing them again writes other shards.
+    The rows must be kept with ``write_table`` before they are used: computing them again writes other shards. Shards of
+    attempts that failed stay in the folder; no row points to them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards = _Shards(folder, shard_bytes)
+        shards, seen = _Shards(folder, shard_bytes), set()
         for batch in batches:
-            rows = [shards.put(encode((t.as_py() or "").encode())) for t in batch.column(1)]
-            cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-            yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True))], ["doc_id", "digest", "shard", "offset", "length"])
+            rows = []
+            for key, media in zip(*batch.columns, strict=True):
+                if (k := key.as_py()) not in seen:
+                    seen.add(k)
+                    rows.append((k, *shards.put(media.as_py())))
+            types = (pa.binary(), pa.string(), pa.string(), pa.int64(), pa.int64())
+            cols = list(zip(*rows, strict=True)) if rows else [[] for _ in types]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["key", "digest", "shard", "offset", "length"])
         shards.close()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, digest string, shard string, offset long, length long")
+    media = keyed(docs).select("key", "text").mapInArrow(lean(_new_media), "key binary, media binary")
+    return media.repartition(shuffle_partitions(docs.sparkSession), "key").mapInArrow(lean(run), PLACE)
 
 
 def _ranged(rows: DataFrame, folder: str, schema: str, whole: bool, read) -> DataFrame:
@@ -171,8 +206,9 @@ def read_payloads(rows: DataFrame, folder: str) -> DataFrame:
 def media_columns(docs: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, digest, shard, offset, length, the metadata and the digests.
 
-    A null or empty text is 64 bytes 0. Null ids and repeated rows are stored like any other; other columns are left
-    aside; an empty table gives no rows. ``folder`` (a URI) defaults to a new one in the shared folder.
+    A null or empty text is 64 bytes 0. Rows of equal texts get the same place and values. Null ids and repeated rows are
+    stored like any other; a text of any length is one member; other columns are left aside; an empty table gives no rows.
+    ``folder`` (a URI) defaults to a new one in the shared folder; it holds the payloads and stays.
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "media")
@@ -180,4 +216,11 @@ def media_columns(docs: DataFrame, folder: str | None = None, shard_bytes: int =
         folder = f"file://{folder}"
     places = write_table(store_payloads(docs, folder, shard_bytes), "places")
     sorted_rows = places.repartition(shuffle_partitions(spark), "shard").sortWithinPartitions("shard", "offset")
-    return read_payloads(read_headers(sorted_rows, folder), folder)
+    stored = write_table(read_payloads(read_headers(sorted_rows, folder), folder), "stored")
+    drop_table(places)
+    rows = keyed(docs).select("doc_id", "key")
+    # A text of more than a thousandth of all rows is looked up without moving its rows; there are fewer than 1000 such.
+    heavy = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(1000, docs.count() / 1000)).select("key")
+    heavy = F.broadcast(write_table(stored.join(F.broadcast(heavy), "key", "left_semi"), "heavy"))
+    out = rows.join(heavy, "key").unionByName(rows.join(heavy.select("key"), "key", "left_anti").join(stored, "key"))
+    return out.drop("key")

@@ -440,20 +440,22 @@ class _Links:
         return rows.join(self.labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
 
     def settle(self, tiles: DataFrame, forests: int) -> DataFrame:
-        """Propose pairs of the tiles, count their overlaps and merge components: the pairs (a, b) that failed."""
+        """Propose pairs of the tiles, count their overlaps and merge components: the pairs (a, b) that failed, a table, or
+        None if none did."""
         judge = 100 * F.col("overlap") >= self.percent * (F.col("na") + F.col("nb") - F.col("overlap"))
         proposed = write_table(tiles.groupBy("tile").applyInArrow(_proposer(self.percent, forests), "a long, b long").distinct(), "proposed")
         judged = write_table(_overlaps(proposed, self.sets, self.cuts).select("a", "b", judge.alias("link")), "judged")
         drop_table(proposed)
-        good = judged.where("link").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        if self.labels is None or not good.isEmpty():
-            before = self.labels
+        n = judged.agg(F.count_if("link").alias("good"), F.count_if(~F.col("link")).alias("bad")).first()
+        if self.labels is None or n.good:
+            before, good = self.labels, judged.where("link").select(F.col("a").alias("u"), F.col("b").alias("v"))
             self.labels = components(good if before is None else good.union(before))
             if before is not None:
                 drop_table(before)
-        bad = write_table(judged.where("NOT link").select("a", "b"), "bad")
+        if n.bad:
+            return judged
         drop_table(judged)
-        return bad
+        return None
 
 
 def _pivot_rounds(known: _Links, big: DataFrame, tile_rows: int) -> DataFrame:
@@ -461,10 +463,13 @@ def _pivot_rounds(known: _Links, big: DataFrame, tile_rows: int) -> DataFrame:
     documents outside their group's largest component."""
     none, before = F.lit(0).cast("long").alias("other"), None
     while True:
-        rows = known.labelled(big)
-        sizes = rows.groupBy("grp", "heavy", "label").agg(F.count(F.lit(1)).alias("size"))
-        main = sizes.groupBy("grp", "heavy").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
-        marked = _by_group(rows, main).withColumn("open", F.col("label") != F.col("main")).drop("main")
+        if known.labels is None:
+            marked = known.labelled(big).withColumn("open", F.lit(True))
+        else:
+            rows = known.labelled(big)
+            sizes = rows.groupBy("grp", "heavy", "label").agg(F.count(F.lit(1)).alias("size"))
+            main = sizes.groupBy("grp", "heavy").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
+            marked = _by_group(rows, main).withColumn("open", F.col("label") != F.col("main")).drop("main")
         opens = marked.where("open").groupBy("grp", "heavy", "band").agg(F.count(F.lit(1)).alias("size"))
         left = opens.agg(F.sum("size")).first()[0] or 0
         if not left or before is not None and left > 0.8 * before:
@@ -473,7 +478,9 @@ def _pivot_rounds(known: _Links, big: DataFrame, tile_rows: int) -> DataFrame:
         per_band = opens.groupBy("grp", "heavy").agg(F.map_from_entries(F.collect_list(F.struct("band", "size"))).alias("sizes"))
         chance = F.pmod(F.xxhash64("doc_id", F.lit(left)), F.lit(1 << 32)) / float(1 << 32)
         pivots = _by_group(marked, per_band).withColumn("open", F.col("open") & (chance * F.try_element_at("sizes", "band") < PIVOTS)).drop("sizes")
-        drop_table(known.settle(known.labelled(_tiles(pivots, tile_rows)).withColumn("other", none), 1))
+        bad = known.settle(known.labelled(_tiles(pivots, tile_rows)).withColumn("other", none), 1)
+        if bad is not None:
+            drop_table(bad)
 
 
 def link_components(sets: DataFrame, percent: int, tile_rows: int = TILE_ROWS, cuts: int = CUTS) -> DataFrame:
@@ -505,16 +512,14 @@ def link_components(sets: DataFrame, percent: int, tile_rows: int = TILE_ROWS, c
         tiles = write_table(_tiles(_pivot_rounds(known, big, tile_rows), tile_rows).unionByName(whole(others.join(medium, "grp", "left_anti"))), "tiles")
         spare.append(big)
     bad = known.settle(known.labelled(tiles).withColumn("other", none), 1)
-    barred = bad
-    while not bad.isEmpty():  # only tiles with a pair that failed can hold more that would connect components
+    barred = None
+    while bad is not None:  # only tiles with a pair that failed can hold more that would connect components
+        spare.append(bad)
+        barred = bad.where("NOT link").select("a", "b") if barred is None else barred.union(bad.where("NOT link").select("a", "b"))
         failed = tiles.select("tile", F.col("doc_id").alias("a")).join(barred, "a").join(tiles.select("tile", F.col("doc_id").alias("b")), ["tile", "b"]).select("tile", "a", "b").distinct()
         rows = known.labelled(tiles.join(failed.select("tile").distinct(), "tile", "left_semi")).select("tile", "side", "doc_id", "n", "bitmap", "label", none.alias("other"))
         bad = known.settle(rows.union(failed.select("tile", F.lit(FAILED), "a", none, F.lit(None).cast("binary"), none, "b")), 8)
-        together = write_table(barred.union(bad), "barred")
-        drop_table(barred)
-        barred = together
-        spare.append(bad)
-    for table in (*spare, tiles, barred):
+    for table in (*spare, tiles):
         drop_table(table)
     return known.labels
 
@@ -533,17 +538,20 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, tile_rows: int =
     may_link = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0) & (100 * F.col("n_shared") >= percent * F.col("n_shingles"))
     rest = info.where(may_link)
     # A set goes by its class's smallest id, and by a fresh one where that stands for another set already.
-    classes = rest.groupBy("digest").agg(F.min("doc_id").alias("class_id"))
+    classes = rest.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("size"))
     nth = F.row_number().over(W.partitionBy("class_id").orderBy("digest"))
     classes = classes.withColumn("nth", nth).withColumn("node", F.when(F.col("nth") == 1, F.col("class_id")).otherwise(FRESH + F.monotonically_increasing_id())).drop("nth")
     classes = write_table(classes, "classes")
+    total = classes.agg(F.sum("size")).first()[0] or 0
+    heavy = F.broadcast(classes.where(F.col("size") > HEAVY * total))
+    found = rest.join(heavy, "digest").unionByName(rest.join(heavy, "digest", "left_anti").join(classes.where(F.col("size") <= HEAVY * total), "digest"))
+    found = write_table(found.select("doc_id", "n_shingles", "class_id", "node", (F.col("size") > HEAVY * total).alias("heavy")), "found")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = text.join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text").mapInArrow(lean(lambda it: _sets(it, k)), "digest binary, n long, hashes array<long>")
     sets = sets.dropDuplicates(["digest"]).join(classes.select("digest", "node"), "digest")
     sets = write_table(sets.select(F.col("node").alias("doc_id"), "n", "hashes"), "sets")
     labels = link_components(sets, percent, tile_rows, cuts)
     drop_table(sets)
-    found = rest.join(classes, "digest")
     ends = found.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("hi")).where("v != hi")
     same = write_table(found.join(ends.select("doc_id", "v"), "doc_id").select(F.col("node").alias("u"), "v").where("u != v").distinct(), "same")
     if not same.isEmpty():
@@ -552,13 +560,14 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, tile_rows: int =
     drop_table(same)
     # A row that can't link is still one document with the other rows of its id.
     own = labels.select(F.col("id").alias("node"), F.col("label").alias("component_id"))
-    found = found.join(own, "node", "left").withColumn("component_id", F.coalesce("component_id", "class_id"))
+    of_heavy = F.broadcast(own.join(heavy.select("node"), "node", "left_semi"))
+    final = found.where("heavy").join(of_heavy, "node", "left").unionByName(found.where("NOT heavy").join(own, "node", "left")).withColumn("component_id", F.coalesce("component_id", "class_id"))
     alone = info.where(~may_link).withColumn("class_id", F.col("doc_id"))
-    by_id = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    by_id = final.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     alone = alone.join(by_id, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     columns = ["doc_id", "n_shingles", "class_id", "component_id"]
-    out = write_table(alone.select(columns).unionByName(found.select(columns)), "joined")
-    for used in (info, classes, labels):
+    out = write_table(alone.select(columns).unionByName(final.select(columns)), "joined")
+    for used in (info, classes, found, labels):
         drop_table(used)
     return out
 

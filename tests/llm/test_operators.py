@@ -114,23 +114,23 @@ def test_ngram_join_rows_that_share_an_id(spark):
     assert got == [(3, 3), (5, 5), (5, 5), (7, 5), (8, 5), (9, 3), (9, 3), (12, 12), (12, 12), (13, 12), (14, 14), (14, 14), (15, 14), (16, 16)]
 
 
-@pytest.mark.parametrize("shape", ["star", "chain", "apart"])
-def test_ngram_join_pivots(spark, shape):
+def test_ngram_join_pivots(spark):
     rng = random.Random(6)
-    base = [f"w{i}" for i in range(100)]
     texts = []
-    for i in range(120):
-        words = list(base)
-        if shape == "star":  # near copies of one text, near each other or not
-            words[rng.randrange(100)] = f"x{i}"
-        elif shape == "chain":  # neighbours link, ends don't
-            words[:i] = [f"y{j}" for j in range(i)]
-        else:  # a shared half, so that few or none link
-            words[50:] = [f"z{i // 2}_{j}" for j in range(50)]
-        texts.append(" ".join(words[: rng.choice([100, 97])]))
+    for shape in ("star", "chain", "apart"):
+        base = [f"{shape}{i}" for i in range(100)]
+        for i in range(70):
+            words = list(base)
+            if shape == "star":  # near copies of one text, near each other or not
+                words[rng.randrange(100)] = f"x{i}"
+            elif shape == "chain":  # neighbours link, ends don't
+                words[:i] = [f"y{j}" for j in range(i)]
+            else:  # a shared half, so that few or none link
+                words[50:] = [f"z{i // 2}_{j}" for j in range(50)]
+            texts.append(" ".join(words[: rng.choice([100, 97])]))
     _, labels = brute_components(texts, 4, 85)
     got = {r.doc_id: r.component_id for r in ngram_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), tile_rows=20).collect()}
-    assert [got[i] for i in range(120)] == labels
+    assert [got[i] for i in range(len(texts))] == labels
 
 
 def test_ngram_join_odd_rows(odd, none):
@@ -581,6 +581,24 @@ def test_media_round_trip(spark, odd, none, tmp_path):
             stored = tar.extractfile(member).read()
         assert (member.offset_data, member.size) == (r.offset, r.length) and media.decode(stored) == padded
     assert media.media_columns(none, f"file://{tmp_path}/empty").count() == 0
+    payloads = {r.payload_sha256 for r in rows}
+    members = [m.name for f in os.listdir(f"{tmp_path}/shards") if f.endswith(".tar") for m in tarfile.open(f"{tmp_path}/shards/{f}").getmembers()]
+    assert len(members) == len(set(members)) == len(payloads)  # one stored copy overall
+    assert len({(r.payload_sha256, r.digest, r.shard, r.offset) for r in rows}) == len(payloads)
+
+
+def test_op6_features_and_places(spark):
+    from rillflow.llm.queries import op6_media
+
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = op6_media(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        padded = list(texts[r.doc_id] + bytes(-len(texts[r.doc_id]) % 64 or (0 if texts[r.doc_id] else 64)))
+        shares = [sum(b // 16 == i for b in padded) * 255 // len(padded) for i in range(16)]
+        columns = [sum(b for j, b in enumerate(padded) if j % 64 // 8 == i) // (len(padded) // 8) for i in range(8)]
+        assert r.feature == bytes(shares + columns).hex() and r.n_bytes == len(texts[r.doc_id])
+        assert r.payload_sha256 == hashlib.sha256(bytes(padded)).hexdigest() and r.tail_crc32 == zlib.crc32(bytes(padded[-64:])) and r.payload_bytes == len(padded)
 
 
 def test_media_detects_damage():
