@@ -1,9 +1,9 @@
 """Content-addressed payloads in tar shards, with metadata columns filled by header-only range reads.
 
-Payloads are losslessly compressed 8-bit grey images (PNG) in tar shards, each payload once overall: a task encodes what
-it has not met yet, an exchange by the text's digest brings equal ones together, and there one of them is written. Rows
-carry digest, shard, offset and length. A second pass reads a fixed number of header bytes at each place to fill the
-metadata columns, a third reads the payloads back; both read a place once, however many rows have it.
+Payloads are losslessly compressed 8-bit grey images (PNG) in tar shards, each payload once overall: digests alone decide
+which task stores a text that several have, and texts are never exchanged. Rows carry digest, shard, offset and length. A
+second pass reads a fixed number of header bytes at each place to fill the metadata columns, a third reads the payloads
+back; both read a place once, however many rows have it.
 """
 
 from __future__ import annotations
@@ -18,16 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import drop_table, lean, new_path, shuffle_partitions, write_table
+from .shared import drop_path, drop_table, lean, new_path, shuffle_partitions, write_table
 
 WIDTH = 64
 SHARD_BYTES = 128 << 20
-FLUSH_BYTES = 4 << 20
 #: Signature, header chunk, and the chunk of our own with the unpadded length: what a header-only read fetches.
 HEADER_BYTES = 8 + 25 + 20
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -44,7 +45,7 @@ def encode(payload: bytes) -> bytes:
     lines = np.zeros((rows, WIDTH + 1), np.uint8)  # a filter byte (0: none) before each line
     lines[:, 1:] = np.frombuffer(padded, np.uint8).reshape(rows, WIDTH)
     head = struct.pack(">IIBBBBB", WIDTH, rows, 8, 0, 0, 0, 0)
-    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"nbYt", struct.pack(">Q", len(payload))) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 1)) + _chunk(b"IEND", b"")
+    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"nbYt", struct.pack(">Q", len(payload))) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
 def parse_header(head: bytes) -> dict[str, int]:
@@ -109,25 +110,6 @@ class _Shards:
             self.out = None
 
 
-def _new_media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, media) of the texts whose key the task has not met before."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        keys, media, size = [], [], 0
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if key in seen:
-                continue
-            seen.add(key)
-            keys.append(key)
-            media.append(encode(text.as_py().encode()))
-            size += len(media[-1])
-            if size > FLUSH_BYTES:
-                yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(media, pa.binary())], ["key", "media"])
-                keys, media, size = [], [], 0
-        if keys:
-            yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(media, pa.binary())], ["key", "media"])
-
-
 PLACE = "key binary, digest string, shard string, offset long, length long"
 
 
@@ -137,28 +119,61 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("key"), text.alias("text"))
 
 
-def store_payloads(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(key, digest, shard, offset, length), a row for each different text of ``docs``; a null text is an empty payload.
+def _elsewhere(files: fs.FileSystem, root: str) -> set[bytes]:
+    """The keys that another task stores."""
+    if files.get_file_info(root).type == fs.FileType.NotFound:
+        return set()
+    found = [f.path for f in files.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet")]
+    return {k for f in found for k in pq.read_table(files.open_input_file(f), columns=["key"])["key"].to_pylist()}
 
-    The rows must be kept with ``write_table`` before they are used: computing them again writes other shards. Shards of
-    attempts that failed stay in the folder; no row points to them.
-    """
+
+def _store(texts: DataFrame, folder: str, shard_bytes: int, elsewhere: str | None) -> DataFrame:
+    """Store each task's different texts (key, text), but those that ``elsewhere`` names for the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards, seen = _Shards(folder, shard_bytes), set()
+        if elsewhere:
+            files, root = fs.FileSystem.from_uri(elsewhere)
+            seen = _elsewhere(files, f"{root}/pid={TaskContext.get().partitionId()}")
+        types = (pa.binary(), pa.string(), pa.string(), pa.int64(), pa.int64())
         for batch in batches:
             rows = []
-            for key, media in zip(*batch.columns, strict=True):
-                if (k := key.as_py()) not in seen:
-                    seen.add(k)
-                    rows.append((k, *shards.put(media.as_py())))
-            types = (pa.binary(), pa.string(), pa.string(), pa.int64(), pa.int64())
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if key not in seen:
+                    seen.add(key)
+                    rows.append((key, *shards.put(encode(text.as_py().encode()))))
             cols = list(zip(*rows, strict=True)) if rows else [[] for _ in types]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["key", "digest", "shard", "offset", "length"])
         shards.close()
 
-    media = keyed(docs).select("key", "text").mapInArrow(lean(_new_media), "key binary, media binary")
-    return media.repartition(shuffle_partitions(docs.sparkSession), "key").mapInArrow(lean(run), PLACE)
+    return texts.mapInArrow(lean(run), PLACE)
+
+
+def store_payloads(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(key, digest, shard, offset, length), a row for each different text of ``docs``, as a table in the shared folder.
+
+    A first pass notes which texts several tasks have, and the first of these stores them. Should the second pass deal
+    rows to tasks in another way (a table that isn't read from files), texts that no task stored are found by their keys
+    and stored then; of a text that two stored one place counts. Shards of attempts that failed, and such second copies,
+    stay in the folder without a row.
+    """
+    spark, texts = docs.sparkSession, keyed(docs).select("key", "text")
+    parts = shuffle_partitions(spark)
+    claims = texts.select("key", F.spark_partition_id().alias("pid")).distinct()
+    others = claims.withColumn("first", F.min("pid").over(W.partitionBy("key"))).where("pid != first").select("key", "pid")
+    elsewhere = new_path(spark, "elsewhere")
+    others.repartition(parts, "pid").sortWithinPartitions("pid").write.partitionBy("pid").parquet(elsewhere)
+    first = write_table(_store(texts, folder, shard_bytes, elsewhere), "places")
+    missing = write_table(texts.select("key").distinct().join(first, "key", "left_anti"), "missing")
+    places = first
+    if not missing.isEmpty():
+        rest = _store(texts.join(missing, "key", "left_semi").repartition(parts, "key"), folder, shard_bytes, None)
+        places = first.unionByName(rest)
+    places = write_table(places.groupBy("key").agg(F.min(F.struct("shard", "offset", "length", "digest")).alias("p")).select("key", "p.digest", "p.shard", "p.offset", "p.length"), "places")
+    for used in (first, missing):
+        drop_table(used)
+    drop_path(spark, elsewhere)
+    return places
 
 
 def _ranged(rows: DataFrame, folder: str, schema: str, whole: bool, read) -> DataFrame:
@@ -203,6 +218,10 @@ def read_payloads(rows: DataFrame, folder: str) -> DataFrame:
     return _ranged(rows, folder, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", True, _whole)
 
 
+#: Columns that go through joins as bytes.
+HEX = ("digest", "payload_sha256", "feature")
+
+
 def media_columns(docs: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, digest, shard, offset, length, the metadata and the digests.
 
@@ -214,13 +233,15 @@ def media_columns(docs: DataFrame, folder: str | None = None, shard_bytes: int =
     folder = folder or new_path(spark, "media")
     if "://" not in folder:
         folder = f"file://{folder}"
-    places = write_table(store_payloads(docs, folder, shard_bytes), "places")
+    places = store_payloads(docs, folder, shard_bytes)
     sorted_rows = places.repartition(shuffle_partitions(spark), "shard").sortWithinPartitions("shard", "offset")
-    stored = write_table(read_payloads(read_headers(sorted_rows, folder), folder), "stored")
+    stored = read_payloads(read_headers(sorted_rows, folder), folder).drop("media_sha256").withColumns({c: F.unhex(c) for c in HEX})
+    stored = write_table(stored, "stored")
     drop_table(places)
     rows = keyed(docs).select("doc_id", "key")
     # A text of more than a thousandth of all rows is looked up without moving its rows; there are fewer than 1000 such.
     heavy = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(1000, docs.count() / 1000)).select("key")
-    heavy = F.broadcast(write_table(stored.join(F.broadcast(heavy), "key", "left_semi"), "heavy"))
-    out = rows.join(heavy, "key").unionByName(rows.join(heavy.select("key"), "key", "left_anti").join(stored, "key"))
-    return out.drop("key")
+    heavy = write_table(heavy, "heavy")
+    of_heavy = F.broadcast(stored.join(F.broadcast(heavy), "key", "left_semi"))
+    out = rows.join(of_heavy, "key").unionByName(rows.join(F.broadcast(heavy), "key", "left_anti").join(stored, "key"))
+    return out.drop("key").withColumns({c: F.lower(F.hex(c)) for c in HEX}).withColumn("media_sha256", F.col("digest"))

@@ -34,13 +34,16 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def drop_table(df: DataFrame) -> None:
     """Remove a table made by ``write_table`` once nothing will read it again."""
     path = getattr(df, "_shared_path", None)
     if path:
-        spark = df.sparkSession
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+        drop_path(df.sparkSession, path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -601,6 +601,15 @@ def test_op6_features_and_places(spark):
         assert r.payload_sha256 == hashlib.sha256(bytes(padded)).hexdigest() and r.tail_crc32 == zlib.crc32(bytes(padded[-64:])) and r.payload_bytes == len(padded)
 
 
+def test_media_of_rows_that_move(spark, tmp_path):
+    """Rows that reach other tasks in the second pass are stored all the same."""
+    docs = spark.createDataFrame([(i, f"text {i % 40}") for i in range(400)], "doc_id long, text string")
+    moving = docs.repartition(6, F.rand() + F.col("doc_id"))
+    rows = media.media_columns(moving, f"file://{tmp_path}/shards").collect()
+    assert sorted(r.doc_id for r in rows) == list(range(400)) and len({(r.shard, r.offset) for r in rows}) == 40
+    assert all(r.payload_sha256 == hashlib.sha256(f"text {r.doc_id % 40}".encode().ljust(64, b"\0")).hexdigest() for r in rows)
+
+
 def test_media_detects_damage():
     stored = bytearray(media.encode(b"some text"))
     stored[70] ^= 1
