@@ -13,6 +13,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 from pathlib import Path
 
 import pyarrow as pa
@@ -50,8 +51,9 @@ OPENINGS = {"MIT-text", "BSD", "ISC", "Unlicense"}
 TEXTS = {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
 #: So many paragraphs in a row that are in no whole license may stand between paragraphs of one.
 GAP = 5
-#: A line with one of these starts a candidate block; every template has one.
-CUES = r"(?i)licen[sc]e|permission (?:is hereby granted|to use)|redistribution and use|public domain|all rights reserved|free software"
+#: A line with one of these starts a candidate block. Every template and whole license here has one, and a notice of one
+#: sentence has more than the words that may differ in it; so only of the longer templates a variant may lack all of them.
+CUES = r"(?i)licen[sc]e|permission (?:is hereby granted|to use)|redistribution and use|public domain|all rights reserved|free software|released (?:into|under)|under cc|\bcc0\b|\bgnu\b"
 MAX_DIFFERENCE = 0.25
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
@@ -60,6 +62,24 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def cues_of(templates: dict[str, str], max_difference: float = MAX_DIFFERENCE) -> str:
+    """A regular expression that finds something in every text with one of ``templates`` within ``max_difference``.
+
+    A differing word breaks at most two pairs of neighbours. So of a template that may differ in d words it takes the
+    2 d + 1 longest pairs, one of which must be left, or the d + 1 longest words where it has fewer pairs.
+    """
+    found = set()
+    for text in templates.values():
+        w = words(text)
+        allowed = int(max_difference * len(w))
+        pairs = list(zip(w, w[1:], strict=False))
+        if len(pairs) > 2 * allowed:
+            found |= {r"[^a-z0-9]+".join(map(re.escape, p)) for p in sorted(pairs, key=lambda p: (-len(p[0] + p[1]), p))[: 2 * allowed + 1]}
+        else:
+            found |= {re.escape(x) for x in sorted(w, key=lambda x: (-len(x), x))[: allowed + 1]}
+    return "(?i)" + "|".join(sorted(found, key=lambda x: (-len(x), x))) if found else r"(?!)"
+
+
 @cache
 def _templates(items: tuple[tuple[str, str], ...]):
     import zstandard
@@ -113,14 +133,18 @@ def extended(lines: list[str], start: int, first: int, after: int, triples: set)
     return reach(first, start, -1), reach(after, len(lines), 1)
 
 
-def candidate_blocks(text: str, known: set[str], triples: set = frozenset()) -> Iterator[tuple[int, int, str]]:
+def candidate_blocks(text: str, known: set[str], triples: set = frozenset(), cues: str = CUES) -> Iterator[tuple[int, int, str]]:
     """(first line, line after the last, block): a cue's line with the lines around it of license words, a third at least,
     and the paragraphs around these that are of whole licenses."""
-    cue = re.compile(CUES)
+    cue = re.compile(cues)
     if not cue.search(text):
         return
     lines = text.split("\n")
-    cued = [bool(cue.search(line)) for line in lines]
+    cued = [False] * len(lines)
+    starts = list(accumulate((len(line) + 1 for line in lines), initial=0))
+    for m in cue.finditer(text):  # a cue of several words may run over a line's end
+        for i in range(bisect_right(starts, m.start()) - 1, bisect_right(starts, max(m.start(), m.end() - 1))):
+            cued[i] = True
 
     def alike(line: str) -> bool:
         w = words(line)
@@ -177,33 +201,42 @@ def differences(block: list[str], template: list[str]) -> tuple[list[str], list[
     return align(block, template)[:2]
 
 
-def cue_places(block: str) -> list[int]:
+def cue_places(block: str, cues: str = CUES) -> list[int]:
     """The number of the word that each cue of a block is in."""
     starts = [m.start() for m in _WORD.finditer(block.lower())]
-    return sorted({max(0, bisect_right(starts, m.start()) - 1) for m in re.finditer(CUES, block)})
+    return sorted({max(0, bisect_right(starts, m.start()) - 1) for m in re.finditer(cues, block)})
 
 
-def confirmed(own: list[str], places: list[int], items: tuple[tuple[str, str], ...], max_difference: float) -> list[tuple]:
+def confirmed(own: list[str], places: list[int], items: tuple[tuple[str, str], ...], max_difference: float, top: int | None = None) -> list[tuple]:
     """(differing words, -reduction, name, size alone, size given, missing, added, span) of each template within
     ``max_difference`` that stands in the words ``own`` around one of ``places``; of overlapping ones the best, in order.
 
-    A template is left out only where more of its words are absent around the cue than may differ.
+    The words around a place are compressed with each template of which enough words are there, the templates ranked by
+    size reduction, and confirmed by their differences in that order: all of them, or the first ``top``. A template is
+    left out before only where more of its words are absent around the cue than may differ.
     """
     templates, plain, _ = _templates(items)
-    seen, found = {}, []
+    have: dict = {}
+    alone_of: dict = {}
+    by_window: dict = {}
     for name, template, packer in templates:
         allowed, wanted = int(max_difference * len(template)), Counter(template)
         reach = len(template) + allowed
         for lo, hi in sorted({(max(0, p - reach), min(len(own), p + reach + 1)) for p in places}):
-            have = seen.get((lo, hi))
-            if have is None:
-                have = seen[lo, hi] = Counter(own[lo:hi])
-            if sum(max(0, n - have[w]) for w, n in wanted.items()) > allowed:
-                continue
-            missing, added, first, after = align(own[lo:hi], template)
-            n = len(missing) + len(added)
-            if n > allowed:
-                continue
+            if (lo, hi) not in have:
+                have[lo, hi] = Counter(own[lo:hi])
+            if sum(max(0, n - have[lo, hi][w]) for w, n in wanted.items()) <= allowed:
+                by_window.setdefault((lo, hi), []).append((name, template, packer, allowed))
+    ranked = []
+    for (lo, hi), near in by_window.items():
+        data = " ".join(own[lo:hi]).encode() + b"\n"
+        alone_of[lo, hi] = len(plain.compress(data))
+        ranked += [((alone_of[lo, hi] - len(packer.compress(data))) / alone_of[lo, hi], name, lo, hi, template, packer, allowed) for name, template, packer, allowed in near]
+    found = []
+    for _, name, lo, hi, template, packer, allowed in sorted(ranked, key=lambda r: (-r[0], *r[1:4]))[:top]:
+        missing, added, first, after = align(own[lo:hi], template)
+        n = len(missing) + len(added)
+        if n <= allowed:
             data = " ".join(own[lo + first : lo + after]).encode() + b"\n"
             alone, given = len(plain.compress(data)), len(packer.compress(data))
             found.append((n, (given - alone) / alone, name, alone, given, missing, added, lo + first, lo + after))
@@ -214,6 +247,20 @@ def confirmed(own: list[str], places: list[int], items: tuple[tuple[str, str], .
     return sorted(out, key=lambda f: f[7])
 
 
+def _shift(own: list[str], text: list[str]) -> int | None:
+    """How many words of ``own`` stand before the part that has most of the text's word triples in their places, about."""
+    at: dict = {}
+    for i, t in enumerate(_triples(text)):
+        at.setdefault(t, []).append(i)
+    width = max(1, len(text) // 8)
+    votes: Counter = Counter()
+    for j, t in enumerate(_triples(own)):
+        for b in {(j - i) // width for i in at.get(t, ())}:
+            votes[b] += 1
+    best = max(votes, key=lambda b: (votes[b] + max(votes[b - 1], votes[b + 1]), -b), default=None)
+    return None if best is None else best * width
+
+
 def _variant(own: list[str], texts: tuple[tuple[str, str], ...], max_difference: float) -> tuple | None:
     """(differing words, name, missing, added, span) of the whole license that differs least from words of ``own``."""
     have, best = Counter(own), None
@@ -221,9 +268,11 @@ def _variant(own: list[str], texts: tuple[tuple[str, str], ...], max_difference:
         allowed = int(max_difference * len(text))
         if sum(max(0, n - have[w]) for w, n in wanted.items()) > allowed:
             continue
-        anchor = difflib.SequenceMatcher(None, text, own, autojunk=False).find_longest_match()
-        at = max(0, anchor.b - anchor.a - allowed)
-        missing, added, first, after = align(own[at : anchor.b - anchor.a + len(text) + allowed], text)
+        shift = _shift(own, text)
+        if shift is None:
+            continue
+        at = max(0, shift - allowed)
+        missing, added, first, after = align(own[at : max(at, shift + len(text) + allowed)], text)
         n = len(missing) + len(added)
         if n <= allowed and (best is None or n < best[0]):
             best = n, name, missing, added, at + first, at + after
@@ -262,7 +311,7 @@ SCHEMA = "doc_id long, block_no int, first_line int, n_lines int, license string
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
-def scan_text(text: str, items: tuple[tuple[str, str], ...], max_difference: float = MAX_DIFFERENCE, top: int = 3, texts: tuple[tuple[str, str], ...] = ()) -> list[tuple]:
+def scan_text(text: str, items: tuple[tuple[str, str], ...], max_difference: float = MAX_DIFFERENCE, top: int | None = None, texts: tuple[tuple[str, str], ...] = (), cues: str = CUES) -> list[tuple]:
     """A tuple (NAMES without doc_id) for each license of each candidate block of a text, one at least for a block; where
     a block has several, each with its own part of the block.
 
@@ -271,16 +320,17 @@ def scan_text(text: str, items: tuple[tuple[str, str], ...], max_difference: flo
     opening. verdict: exact (no difference to a whole license or notice), opening (none to a license's first sentences,
     whose rest isn't there as the license words it), variant (differences of at most ``max_difference`` of the
     template's words) or unknown (then license and kind are null, and the differences are the fewest to one of the
-    ``top`` templates by size reduction of the block).
+    templates; of equally many the first by size reduction of the block). ``top`` confirms only so many templates of a
+    block, first by size reduction; None, the default, all.
     """
     templates, _, known = _templates(items)
     by_name = {name: w for name, w, _ in templates}
     out = []
-    for first, after, block in candidate_blocks(text, known, _texts(texts)[1] if texts else frozenset()):
+    for first, after, block in candidate_blocks(text, known, _texts(texts)[1] if texts else frozenset(), cues):
         own = words(block)
         found = [(*f, "text") for f in whole(own, texts, max_difference)]
         taken = [f[7:9] for f in found]
-        found += [(*f, "opening" if f[2] in OPENINGS else "notice") for f in confirmed(own, cue_places(block), items, max_difference) if all(f[8] <= lo or f[7] >= hi for lo, hi in taken)]
+        found += [(*f, "opening" if f[2] in OPENINGS else "notice") for f in confirmed(own, cue_places(block, cues), items, max_difference, top) if all(f[8] <= lo or f[7] >= hi for lo, hi in taken)]
         shown = [(first, after - first, block)] * len(found)
         if len(found) > 1:
             source = block if len(block) == len(low := block.lower()) else low
@@ -300,20 +350,24 @@ def scan_text(text: str, items: tuple[tuple[str, str], ...], max_difference: flo
     return out
 
 
-def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, max_difference: float = MAX_DIFFERENCE) -> DataFrame:
+def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, max_difference: float = MAX_DIFFERENCE, top: int | None = None) -> DataFrame:
     """A row per license, or unknown candidate block, of ``docs`` (doc_id, text), of the whole texts.
 
-    Whole licenses (TEXTS) are looked for too, unless ``templates`` are given. A null or empty text, or one without a cue, gives no row; so does an empty table. Null ids are carried; repeated
-    rows give their blocks again; other columns are left aside.
+    Whole licenses (TEXTS) are looked for too, unless ``templates`` are given; then cues are made from these (``cues_of``),
+    so that none is missed. ``top`` and the verdicts: see ``scan_text``. A text of any length is scanned whole; around a
+    cue only windows of a template's length are aligned. Ties between templates go to the first by name. A null or empty
+    text, or one without a cue, gives no row; so does an empty table. Null ids are carried; repeated rows give their
+    blocks again; other columns are left aside.
     """
     items, texts = tuple((templates or TEMPLATES).items()), () if templates else tuple(TEXTS.items())
+    cues = cues_of(templates, max_difference) if templates else CUES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [{"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}[c.split()[1]] for c in SCHEMA.split(", ")]
         for batch in batches:
-            rows = [(doc_id.as_py(), *r) for doc_id, text in zip(*batch.columns, strict=True) for r in scan_text(text.as_py(), items, max_difference, texts=texts)]
+            rows = [(doc_id.as_py(), *r) for doc_id, text in zip(*batch.columns, strict=True) for r in scan_text(text.as_py(), items, max_difference, top, texts, cues)]
             cols = list(zip(*rows, strict=True)) if rows else [[] for _ in NAMES]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], NAMES)
 
-    cued = docs.where(F.col("text").rlike(CUES)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    cued = docs.where(F.col("text").rlike(cues)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return cued.mapInArrow(lean(run), SCHEMA)

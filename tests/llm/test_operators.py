@@ -792,9 +792,85 @@ def test_whole_licenses():
 
 
 def test_license_ranking_is_that_of_full_compression():
+    import zstandard
+
     items = tuple(license_scan.TEMPLATES.items())
     for name, text in items:
-        assert license_scan.rank(text, items)[0][1] == name
+        data = " ".join(license_scan.words(text)).encode() + b"\n"
+        alone = len(zstandard.ZstdCompressor(level=19, write_content_size=False).compress(data))
+        plain = []
+        for other, t in items:
+            d = zstandard.ZstdCompressionDict(" ".join(license_scan.words(t)).encode() + b"\n", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            plain.append((other, (alone - len(zstandard.ZstdCompressor(level=19, dict_data=d, write_content_size=False).compress(data))) / alone))
+        got = license_scan.rank(text, items)
+        assert got[0][1] == name and {(n, r) for r, n, _, _ in got} == set(plain)
+
+
+def brute_licenses(text, templates, limit=license_scan.MAX_DIFFERENCE):
+    """(license, exact) of the best template at every place of the text's words, best first, no two overlapping."""
+    own, found = license_scan.words(text), []
+    for name, template in templates.items():
+        t = license_scan.words(template)
+        allowed = int(limit * len(t))
+        for size in range(max(1, len(t) - allowed), len(t) + allowed + 1):
+            for at in range(len(own) - size + 1):
+                part = own[at : at + size]
+                if part[0] not in t or part[-1] not in t:
+                    continue
+                same = sum(m.size for m in __import__("difflib").SequenceMatcher(None, t, part, autojunk=False).get_matching_blocks())
+                if (d := len(t) - same + size - same) <= allowed:
+                    found.append((d, -size, name, at, at + size))
+    out = []
+    for d, _, name, lo, hi in sorted(found):
+        if all(hi <= a or lo >= b for _, _, a, b in out):
+            out.append((name, d == 0, lo, hi))
+    return [x[:2] for x in sorted(out, key=lambda x: x[2])]
+
+
+def test_licenses_equal_brute_force():
+    rng = random.Random(13)
+    small = {k: v for k, v in license_scan.TEMPLATES.items() if len(license_scan.words(v)) < 16}
+    own = {"house": "You may copy, bend and sell these words in any country for ever.", "short": "Free as in beer"}
+    for templates, cues in ((small, license_scan.CUES), (own, license_scan.cues_of(own))):
+        items = tuple(templates.items())
+        for _ in range(25):
+            parts = []
+            for _ in range(rng.randint(0, 3)):
+                w = rng.choice(items)[1].split()
+                if rng.random() < 0.5:
+                    i = rng.randrange(1, len(w) - 1)
+                    w[i : i + rng.choice([0, 1])] = [rng.choice(["zebra", "quokka"])]
+                parts.append(" ".join(w))
+            text = "\n".join(" ".join(rng.choices(["plover", "gannet", "heron", "egret"], k=rng.randint(0, 12))) + "\n" + p for p in [*parts, ""])
+            got = [(r[3], r[4] in ("exact", "opening")) for r in license_scan.scan_text(text, items, cues=cues) if r[3]]
+            assert got == brute_licenses(text, templates)
+
+
+def test_templates_of_ones_own(spark):
+    own = {"house": "You may copy, bend and sell these words in any country for ever."}
+    texts = [f"{LONG}\nyou may COPY bend and\n* sell these words in any country for ever!\n{LONG}", own["house"].replace("bend and", "bend or"), LONG, "Released under the MIT License."]
+    rows = license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), own).collect()
+    assert {(r.doc_id, r.license, r.verdict) for r in rows} == {(0, "house", "exact"), (1, "house", "variant")}
+
+
+def test_long_license_blocks():
+    import time
+
+    items, texts = tuple(license_scan.TEMPLATES.items()), tuple(license_scan.TEXTS.items())
+    gpl = license_scan.TEXTS["GPL-2.0"].replace("free software", "libre software")
+    began = time.process_time()
+    rows = license_scan.scan_text("\n\n".join([gpl, license_scan.TEXTS["MIT"], gpl, " ".join(["license and software"] * 20_000), "Released under the MIT License."]), items, texts=texts)
+    assert [r[3:5] for r in rows if r[13] == "text"] == [("GPL-2.0", "variant"), ("MIT", "exact"), ("GPL-2.0", "variant")]
+    assert time.process_time() - began < 120
+
+
+def test_op1_finds_every_planted_notice(spark):
+    from rillflow.llm.queries import op1_license_scan
+
+    texts = {r.doc_id: license_scan.words(r.text or "") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    want = {(i, name) for i, w in texts.items() for name, t in license_scan.TEMPLATES.items() if f" {' '.join(license_scan.words(t))} " in f" {' '.join(w)} " and name not in license_scan.OPENINGS}
+    rows = op1_license_scan(spark, "/root/testdata/sf0.001").collect()
+    assert want and {(r.doc_id, r.license) for r in rows if r.verdict == "exact" and r.kind == "notice"} == want
 
 
 MODEL = P.path("piece_bpe_32k.model")
