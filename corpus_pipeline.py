@@ -6,7 +6,8 @@
 4. ngram_join: of each group of near duplicates (five words, similarity of 0.8 or more) the smallest doc_id stays.
 5. packing: what is left is packed into sequences of 1024 tokens.
 
-Rows with a null doc_id pass every stage but are never near duplicates. Repeated rows of one doc_id leave stage 4 once.
+Rows with a null doc_id pass every stage but are never near duplicates. Repeated rows of one doc_id leave stage 4 once: the
+one whose text, then whole row, has the least hash.
 A null text counts as empty and is scored like any other.
 """
 
@@ -20,7 +21,7 @@ from rillflow.llm.ngram_join import ngram_join
 from rillflow.llm.packing import pack
 from rillflow.llm.quality_gbdt import score_quality, train_quality
 from rillflow.llm.queries import table, tokenizer_file
-from rillflow.llm.shared import write_table
+from rillflow.llm.shared import drop_table, write_table
 from rillflow.llm.toxicity import score_toxicity, train_toxicity
 
 
@@ -41,7 +42,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = ngram_join(docs, k=5, percent=80).where("doc_id = component_id").select("doc_id")
-    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    row = F.struct(*docs.columns)
+    first = F.min_by(row, F.struct(F.xxhash64("text"), F.xxhash64(F.to_json(row))))
+    once = docs.join(kept, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("_id")).agg(first.alias("_row")).select("_row.*")
     return once.select(*docs.columns).union(docs.where("doc_id IS NULL"))
 
 
@@ -65,5 +68,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the whole ``documents`` table."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = write_table(stage(spark, docs, sf_dir), name)
+        before, docs = docs, write_table(stage(spark, docs, sf_dir), name)
+        drop_table(before)
     return STAGES[-1][1](spark, docs, sf_dir)
