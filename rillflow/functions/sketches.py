@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 class Bloom:
@@ -32,6 +35,15 @@ class Bloom:
         np.bitwise_or.at(self.bits, at >> 3, mask)
         return new
 
+    def add_all(self, h1: np.ndarray, h2: np.ndarray) -> int:
+        """Add values by two 64-bit hashes each; how many different ones were certainly new before."""
+        both = np.unique(np.stack([h1, h2 | np.uint64(1)], axis=1), axis=0)
+        at = ((both[:, :1] + np.arange(self.hashes, dtype=np.uint64) * both[:, 1:]) % np.uint64(self.size)).astype(np.int64)
+        mask = (1 << (at & 7)).astype(np.uint8)
+        new = int(((self.bits[at >> 3] & mask) == 0).any(axis=1).sum())
+        np.bitwise_or.at(self.bits, at >> 3, mask)
+        return new
+
     def __contains__(self, item: str) -> bool:
         at = self._places(item)
         return bool(((self.bits[at >> 3] & (1 << (at & 7)).astype(np.uint8)) != 0).all())
@@ -45,15 +57,38 @@ class Bloom:
         return self.bits.tobytes()
 
 
-def bloom_distinct(expected: int = 100_000, fpp: float = 0.01):
-    """A grouped aggregate that counts a value only if the filter has certainly not seen it: never more than are there."""
-
-    @F.pandas_udf("bigint")
-    def count(values: pd.Series) -> int:
-        seen = Bloom(expected, fpp)
-        return sum(seen.add(str(v)) for v in values.dropna().unique())
-
-    return count
+def bloom_counts(df: DataFrame, keys: list[str], column: str, name: str = "uv", expected: int = 100_000, fpp: float = 0.01, buckets: int = 16) -> DataFrame:
+    """Distinct values per key, counting a value only if the key's filter has certainly not seen it: never too many.
+
+    A key's values are dealt by hash into ``buckets``, each with a filter of its own, so that no task takes a whole key;
+    equal values meet in one bucket, and the buckets' counts add up. A task holds one filter at a time.
+    """
+    per_bucket = max(64, expected // buckets)
+    rows = df.where(F.col(column).isNotNull()).select(*keys, F.pmod(F.hash(column), F.lit(buckets)).alias("_b"), F.xxhash64(F.lit(1), column).alias("_h1"), F.xxhash64(F.lit(2), column).alias("_h2"))
+    schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("_n", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, bloom, n = None, None, 0
+        for batch in batches:
+            own = list(zip(*(batch.column(c).to_pylist() for c in [*keys, "_b"]), strict=True))
+            h1, h2 = (batch.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("_h1", "_h2"))
+            lo = 0
+            while lo < len(own):
+                hi = lo + 1
+                while hi < len(own) and own[hi] == own[lo]:
+                    hi += 1
+                if own[lo] != key:
+                    if key is not None:
+                        yield pa.record_batch([pa.array([v], f.type) for v, f in zip((*key[:-1], n), arrow, strict=True)], schema=arrow)
+                    key, bloom, n = own[lo], Bloom(per_bucket, fpp), 0
+                n += bloom.add_all(h1[lo:hi], h2[lo:hi])
+                lo = hi
+        if key is not None:
+            yield pa.record_batch([pa.array([v], f.type) for v, f in zip((*key[:-1], n), arrow, strict=True)], schema=arrow)
+
+    counted = rows.repartition(*keys, "_b").sortWithinPartitions(*keys, "_b").mapInArrow(run, schema)
+    return counted.groupBy(*keys).agg(F.sum("_n").alias(name))
 
 
 def approx_distinct(column: Column, rsd: float = 0.01) -> Column:

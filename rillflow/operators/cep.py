@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .folds import fold
 
 
 @dataclass(frozen=True)
@@ -15,13 +17,15 @@ class Step:
     name: str
     condition: Column | None = None
     times: int = 1
+    strict: bool = False
 
 
 @dataclass(frozen=True)
 class Pattern:
     """``Pattern.begin("a").where(...).times(3).consecutive().next("b").where(...).within(5)``.
 
-    Steps are strictly contiguous within a key: next and times both mean the very next row.
+    ``next`` means the very next row of the key. ``times(n)`` alone skips rows that its step's condition doesn't hold for;
+    with ``consecutive`` the n rows follow each other.
     """
 
     steps: tuple[Step, ...] = field(default=())
@@ -43,7 +47,7 @@ class Pattern:
         return self._last(times=n)
 
     def consecutive(self) -> Pattern:
-        return self
+        return self._last(strict=True)
 
     def next(self, name: str) -> Pattern:
         return replace(self, steps=(*self.steps, Step(name)))
@@ -63,6 +67,11 @@ def _micros(column) -> Column:
 
 def match(df: DataFrame, pattern: Pattern, keys: list[str], ts: str, order: list[str] | None = None) -> DataFrame:
     """A row per match (overlapping ones included): the keys and <step>_ts of each step's row. One sort per key."""
+    if any(s.times > 1 and not s.strict for s in pattern.steps):
+        if len(pattern.steps) > 1:
+            raise ValueError("times() without consecutive() is for patterns of one step")
+        if (condition := pattern.steps[0].condition) is not None:
+            df = df.where(condition)
     w = W.partitionBy(*keys).orderBy(*(order or [ts]))
     steps = pattern.flat
     n = len(steps)
@@ -89,26 +98,28 @@ def match_or_timeout(df: DataFrame, pattern: Pattern, keys: list[str], ts: str,
     return out.select(*keys, F.col(ts).alias(f"{first}_ts"), F.when(F.col("status") == "matched", F.col("_t")).alias(f"{second}_ts"), "status")
 
 
-def state_machine(df: DataFrame, transitions: dict[tuple[str, str], str], start: str, emits: dict[str, tuple[str, str]], keys: list[str], event: str, ts: str, order: str) -> DataFrame:
+def state_machine(df: DataFrame, transitions: dict[tuple[str, str], str], start: str, emits: dict[str, tuple[str, str]], keys: list[str], event: str, ts: str, order: list[str]) -> DataFrame:
     """Fold each key's events, in order, through a transition table; unknown events leave the state as it is.
 
     ``emits`` maps a state to (output, state to go on from). Columns: keys, ts, output.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys, ts).schema.fields) + ", output string"
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        state, out = start, []
-        rows = rows.sort_values(order)
-        for i, e in enumerate(rows[event]):
-            state = transitions.get((state, e), state)
-            if state in emits:
-                output, state = emits[state]
-                out.append((i, output))
-        picked = rows.iloc[[i for i, _ in out]][[*keys, ts]].copy()
-        picked["output"] = [o for _, o in out]
-        return picked
-
-    return df.select(*dict.fromkeys([*keys, event, ts, order])).groupBy(*keys).applyInPandas(fold, schema)
+    schema = T.StructType([*(df.schema[k] for k in keys), df.schema[ts], T.StructField("output", T.StringType())])
+
+    class Machine:
+        def __init__(self, key):
+            self.key, self.state = key, start
+
+        def row(self, event, at):
+            self.state = transitions.get((self.state, event), self.state)
+            if self.state not in emits:
+                return ()
+            output, self.state = emits[self.state]
+            return [(*self.key, at, output)]
+
+        def end(self):
+            return ()
+
+    return fold(df, keys, order, [event, ts], schema, Machine)
 
 
 def rising_alerts(df: DataFrame, keys: list[str], ts: str, order: list[str], value: str, for_ms: int) -> DataFrame:

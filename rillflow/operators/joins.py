@@ -38,11 +38,11 @@ def window_join(left: DataFrame, right: DataFrame, keys: list[str], ts: str, siz
     return out.select(*left.columns, *(c for c in renamed.columns if c not in keys), F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"))
 
 
-def interval_join(left: DataFrame, right: DataFrame, keys: list[str], ts: str, lower_s: int, upper_s: int, bucketed: bool = False) -> DataFrame:
+def interval_join(left: DataFrame, right: DataFrame, keys: list[str], ts: str, lower_s: int, upper_s: int, bucketed: bool = True) -> DataFrame:
     """Pairs of equal keys with right.ts in [left.ts + lower, left.ts + upper], bounds included.
 
-    ``bucketed`` adds the time bucket to the join key, for keys with long histories: left rows are copied to the
-    buckets their interval meets, so a hot key is spread over time and no task compares its whole history.
+    The time bucket is part of the join key (unless not ``bucketed``, for keys with few rows): left rows are copied to
+    the buckets their interval meets, so a hot key is spread over time and no task compares its whole history.
     """
     renamed = right.select(*(F.col(c) if c in keys else F.col(c).alias(f"{c}_r") for c in right.columns))
     low, high = F.col(ts) + F.expr(f"INTERVAL '{lower_s}' SECOND"), F.col(ts) + F.expr(f"INTERVAL '{upper_s}' SECOND")
@@ -56,14 +56,20 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], ts: str, l
     return l.join(r, [*keys, "_bucket"]).where(inside).drop("_bucket")
 
 
-def filter_by_latest(rows: DataFrame, queries: DataFrame, seq: str, value: str, query: str) -> DataFrame:
+def filter_by_latest(rows: DataFrame, queries: DataFrame, seq: str, value: str, query: str, span: int = 100_000) -> DataFrame:
     """Rows whose ``value`` equals the latest ``query`` before them in ``seq``; before the first query nothing matches.
 
-    The queries are a control stream, seen by all keys: their history is turned into [from, to) spans of ``seq``.
+    The queries are a control stream, seen by all keys. Each span of ``seq`` finds its own latest query; only the last one
+    of each span, a row per span, is carried over the whole. A query at a row's own ``seq`` comes after the row.
     """
-    spans = queries.select(F.col(query).alias("_q"), F.col(seq).alias("_from"), F.lead(seq).over(W.orderBy(seq)).alias("_to"))
-    hit = (F.col(value) == F.col("_q")) & (F.col(seq) > F.col("_from")) & (F.col("_to").isNull() | (F.col(seq) < F.col("_to")))
-    return rows.join(spans, hit).drop("_q", "_from", "_to")
+    both = rows.withColumn("_q", F.lit(None).cast("string")).unionByName(queries.select(seq, F.col(query).cast("string").alias("_q")), allowMissingColumns=True)
+    both = both.withColumn("_r", F.floor(F.col(seq) / span).cast("bigint"))
+    last = both.where("_q IS NOT NULL").groupBy("_r").agg(F.max_by("_q", seq).alias("_l"))
+    spans = both.select("_r").distinct().join(last, "_r", "left")
+    carried = spans.select("_r", F.last("_l", True).over(W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)).alias("_c"))
+    own = F.last("_q", True).over(W.partitionBy("_r").orderBy(seq).rangeBetween(W.unboundedPreceding, -1))
+    found = both.withColumn("_o", own).where("_q IS NULL").join(carried, "_r")
+    return found.where(F.col(value) == F.coalesce("_o", "_c")).select(*rows.columns)
 
 
 def reconcile(left: DataFrame, right: DataFrame, keys: list[str], ts: str, within_s: int) -> DataFrame:

@@ -25,6 +25,8 @@ def hop(df: DataFrame, ts: str, size: str, slide: str, keys: list[str], **aggreg
 
 def hop_in_panes(df: DataFrame, ts: str, size_s: int, slide_s: int, keys: list[str], count: str = "cnt") -> DataFrame:
     """Sliding counts from tumbling panes of one slide: rows are counted once, and only panes are copied."""
+    if size_s % slide_s:
+        raise ValueError(f"a window of {size_s} s is no whole number of slides of {slide_s} s")
     panes = df.groupBy(*keys, F.window(ts, f"{slide_s} seconds").alias("_pane")).agg(F.count(F.lit(1)).alias("_n"))
     shift = F.explode(F.sequence(F.lit(0), F.lit(size_s // slide_s - 1))).alias("_shift")
     spread = panes.select(*keys, "_n", F.col("_pane.end").alias("_end"), shift).withColumn("window_end", F.expr(f"_end + _shift * INTERVAL '{slide_s}' SECOND"))

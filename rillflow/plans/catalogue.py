@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import tokens
@@ -288,10 +287,28 @@ def uv_approx_hourly(spark, d):
 
 @query()
 def uv_bloom_hourly(spark, d):
-    from ..functions.sketches import bloom_distinct
+    from ..functions.sketches import bloom_counts
 
-    views = of_type(events(spark, d), "view").select(F.window("ts", "1 hour").alias("window"), "user_id").distinct()
-    return views.groupBy("window").agg(bloom_distinct()(F.col("user_id")).alias("uv")).select("uv", F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"))
+    views = of_type(events(spark, d), "view").select(F.window("ts", "1 hour").alias("w"), "user_id")
+    return bloom_counts(views.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "user_id"), ["window_start", "window_end"], "user_id")
+
+
+UV_BOUNDS = f"SELECT b AS window_start, true AS close FROM (SELECT DISTINCT time_bucket(INTERVAL '1 hour', ts, {EPOCH}) AS b FROM events WHERE event_type = 'view')"
+
+
+@query(UV_BOUNDS)
+def uv_approx_bounds(spark, d):
+    """Each window, with whether the sketch's count is within 5 % of the exact one."""
+    both = uv_approx_hourly(spark, d).join(uv_exact_hourly(spark, d).select("window_start", F.col("uv").alias("exact")), "window_start", "full_outer")
+    return both.select("window_start", F.coalesce(F.abs(F.col("uv") - F.col("exact")) <= F.greatest(F.lit(1), 0.05 * F.col("exact")), F.lit(False)).alias("close"))
+
+
+@query(UV_BOUNDS)
+def uv_bloom_bounds(spark, d):
+    """Each window, with whether the filters' count is at most the exact one, and at most 5 % below it."""
+    both = uv_bloom_hourly(spark, d).join(uv_exact_hourly(spark, d).select("window_start", F.col("uv").alias("exact")), "window_start", "full_outer")
+    close = (F.col("uv") <= F.col("exact")) & (F.col("uv") >= F.floor(0.95 * F.col("exact")) - 1)
+    return both.select("window_start", F.coalesce(close, F.lit(False)).alias("close"))
 
 
 @query(f"SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id, b ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS cnt, b AS window_start, b + INTERVAL '1 day' AS window_end FROM (SELECT *, time_bucket(INTERVAL '1 day', ts, {EPOCH}) AS b FROM events)")
@@ -451,12 +468,23 @@ WHERE event_type = 'signup' OR nth >= 3
 """)
 def state_machine(spark, d):
     table = {("s0", "error"): "s1", ("s1", "error"): "s2", ("s2", "error"): "bad", ("s0", "signup"): "ok", ("s1", "signup"): "ok", ("s2", "signup"): "ok"}
-    rows = events(spark, d).where("event_type IN ('error', 'signup')").withColumn("pos", F.struct("ts", "event_id"))
-    rows = rows.withColumn("pos", F.row_number().over(W.partitionBy("user_id").orderBy("pos")))
-    return cep.state_machine(rows, table, "s0", {"bad": ("fail", "s2"), "ok": ("success", "s0")}, ["user_id"], "event_type", "ts", "pos")
+    rows = events(spark, d).where("event_type IN ('error', 'signup')")
+    return cep.state_machine(rows, table, "s0", {"bad": ("fail", "s2"), "ok": ("success", "s0")}, ["user_id"], "event_type", "ts", ["ts", "event_id"])
+
+
+RISING = """
+WITH RECURSIVE e AS (
+  SELECT user_id, epoch_us(ts) // 1000 AS ms, value > lag(value) OVER w AS rise, sum(CASE WHEN fall THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run
+  FROM (SELECT *, value < lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS fall FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+u AS (SELECT user_id, run, lead(min(ms)) OVER (PARTITION BY user_id ORDER BY run) AS until FROM e GROUP BY user_id, run),
+a(user_id, run, alert_ms) AS (
+  SELECT user_id, run, min(ms) + 3600000 FROM e WHERE rise GROUP BY user_id, run
+  UNION ALL SELECT a.user_id, a.run, min(e.ms) + 3600000 FROM a JOIN e ON e.user_id = a.user_id AND e.run = a.run AND e.rise AND e.ms >= a.alert_ms GROUP BY a.user_id, a.run)
+SELECT a.user_id, alert_ms FROM a JOIN u ON u.user_id = a.user_id AND u.run = a.run WHERE until IS NULL OR alert_ms <= until
+"""
 
 
-@query()
+@query(RISING)
 def rising_value_alert(spark, d):
     return cep.rising_alerts(events(spark, d), ["user_id"], "ts", ["ts", "event_id"], "value", 3_600_000)
 
@@ -484,3 +512,109 @@ def exchange_conserves(spark, d):
     for step in (lambda r: partitioning.shuffle(r, 4), lambda r: partitioning.rebalance(r, 2), lambda r: partitioning.rescale(r, 2, 4), lambda r: partitioning.key_by(r, "event_id")):
         rows = step(rows)
     return rows.agg(F.count(F.lit(1)).alias("cnt"), F.sum("event_id").alias("total"))
+
+
+@query(f"SELECT event_id, CASE WHEN ms < max(CASE WHEN event_type = 'signup' THEN ms END) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1 THEN 'late' ELSE 'main' END AS tag FROM {JITTER}")
+def late_split_punctuated(spark, d):
+    """Only sign-ups move the watermark."""
+    return lateness.late_split(jittered(spark, d), "seq", "ts", 0, emits=F.col("event_type") == "signup").select("event_id", "tag")
+
+
+@query(f"""
+SELECT event_id, CASE WHEN ms < wm THEN 'late' ELSE 'main' END AS tag FROM {JITTER} JOIN (
+  SELECT r, max(m) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {{bound}} - 1 AS wm FROM (SELECT seq // 100 AS r, max(ms) AS m FROM {JITTER} GROUP BY 1)) ON r = seq // 100
+""".format(bound=1000))
+def late_split_periodic(spark, d):
+    """The watermark moves every 100 steps of ``seq``."""
+    return lateness.late_split(jittered(spark, d), "seq", "ts", 1000, every=100).select("event_id", "tag")
+
+
+@query(CEP3.replace("FROM events WINDOW", "FROM events WHERE event_type = 'error' WINDOW"))
+def cep_three_fails_relaxed(spark, d):
+    pattern = cep.Pattern.begin("fail").where(F.col("event_type") == "error").times(3)
+    return cep.match(events(spark, d), pattern, ["user_id"], "ts", ["ts", "event_id"])
+
+
+@query("""
+SELECT user_id, t1 AS login_ts, t2 AS order_ts, ts AS pay_ts FROM (
+  SELECT user_id, ts, event_type AS e3, lag(event_type, 1) OVER w AS e2, lag(event_type, 2) OVER w AS e1, lag(ts, 1) OVER w AS t2, lag(ts, 2) OVER w AS t1
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE e1 = 'signup' AND e2 = 'click' AND e3 = 'purchase'
+""")
+def cep_login_order_pay(spark, d):
+    kind = lambda k: F.col("event_type") == k
+    pattern = cep.Pattern.begin("login").where(kind("signup")).next("order").where(kind("click")).next("pay").where(kind("purchase"))
+    return cep.match(events(spark, d), pattern, ["user_id"], "ts", ["ts", "event_id"])
+
+
+@query("""
+SELECT user_id, t1 AS small_ts, ts AS large_ts FROM (
+  SELECT user_id, ts, value, lag(value) OVER w AS v1, lag(ts) OVER w AS t1 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+WHERE v1 < 50 AND value > 100 AND epoch_us(ts) - epoch_us(t1) < 86400000000
+""")
+def cep_fraud(spark, d):
+    """A small amount, and the very next one large, within a day."""
+    pattern = cep.Pattern.begin("small").where(F.col("value") < 50).next("large").where(F.col("value") > 100).within(86_400)
+    return cep.match(events(spark, d), pattern, ["user_id"], "ts", ["ts", "event_id"])
+
+
+@query("SELECT user_id, CAST(sum(v) AS BIGINT) // count(*) AS avg FROM (SELECT user_id, CAST(floor(value) AS BIGINT) AS v FROM events) GROUP BY user_id")
+def user_accumulator(spark, d):
+    """A user's own aggregate (integer average), with its own partial states and merge."""
+    from pyspark.sql import types as T
+
+    from ..operators.folds import Accumulator, accumulate
+
+    class Average(Accumulator):
+        def create(self):
+            return (0, 0)
+
+        def add(self, state, v):
+            return (state[0] + v, state[1] + 1)
+
+        def merge(self, a, b):
+            return (a[0] + b[0], a[1] + b[1])
+
+        def result(self, state):
+            return state[0] // state[1]
+
+    return accumulate(events(spark, d).select("user_id", long_value().alias("v")), ["user_id"], ["v"], Average(), T.StructField("avg", T.LongType()))
+
+
+@query("SELECT event_id, CASE WHEN value > 100 THEN 'large' WHEN event_type = 'error' THEN 'failed' ELSE 'main' END AS tag FROM events")
+def side_outputs(spark, d):
+    e = events(spark, d)
+    large = F.col("value") > 100
+    outputs = transforms.process(e, large=large, failed=~large & (F.col("event_type") == "error"))
+    return joins.union_all(*(df.select("event_id", F.lit(t).alias("tag")) for t, df in outputs.items()))
+
+
+@query("SELECT event_id, event_id * event_id AS square FROM events")
+def map_lifecycle(spark, d):
+    def make(partition):
+        return (lambda batch: batch.assign(square=batch["event_id"] ** 2)), lambda: None
+
+    return transforms.map_with_lifecycle(events(spark, d).select("event_id"), make, "event_id bigint, square bigint")
+
+
+@query("SELECT event_id, user_id, CAST(CAST(value AS DECIMAL(18, 2)) AS DECIMAL(18, 2)) AS amount FROM events WHERE event_type = 'purchase'")
+def ddl_insert(spark, d):
+    """CREATE TABLE of a file sink and source, INSERT INTO, and a query of what was written."""
+    from ..streaming.harness import work_path
+    from .dialect import Dialect
+
+    engine, path = Dialect(spark), work_path(spark, "ddl")
+    engine.view("clicks", events(spark, d))
+    engine.execute(f"CREATE TABLE result_table (event_id BIGINT, user_id BIGINT, amount DECIMAL(18, 2)) WITH ('connector' = 'filesystem', 'path' = '{path}', 'format' = 'csv')")
+    engine.execute("INSERT INTO result_table SELECT event_id, user_id, CAST(value AS DECIMAL(18, 2)) FROM clicks WHERE event_type = 'purchase'")
+    return engine.query("SELECT event_id, user_id, amount FROM result_table")
+
+
+@query("SELECT user_id, count(*)::BIGINT AS cnt FROM events GROUP BY user_id")
+def proctime_sql(spark, d):
+    """A processing-time column in SQL: whatever the clock says, its windows hold each row once."""
+    from .dialect import Dialect
+
+    engine = Dialect(spark)
+    engine.view("clicks", events(spark, d), proctime="pt")
+    engine.view("windows", engine.query("SELECT user_id, COUNT(user_id) AS cnt, TUMBLE_END(pt, INTERVAL '1' HOURS) AS end_time FROM clicks GROUP BY user_id, TUMBLE(pt, INTERVAL '1' HOURS)"))
+    return engine.query("SELECT user_id, SUM(cnt) AS cnt FROM windows GROUP BY user_id")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,8 +72,9 @@ def parse_table(ddl: str) -> Table:
             watermark = (w[1], duration(w[2], w[3]) if w[2] else "0 seconds")
             continue
         name, kind = item.split(None, 1)
-        kind = re.sub(r"\(.*\)", "", kind).strip().upper()
-        fields.append(f"`{name.strip('`')}` {_TYPES.get(kind, kind.lower())}")
+        kind, arguments = re.fullmatch(r"\s*(\w+)\s*(\(.*\))?.*", kind, re.S).groups()
+        plain = _TYPES.get(kind.upper())  # of TIMESTAMP(3) and the like the argument is dropped, of DECIMAL(18, 2) it stays
+        fields.append(f"`{name.strip('`')}` {plain or kind.lower() + (arguments or '').replace(' ', '')}")
     options = dict(re.findall(r"'([^']*)'\s*=\s*'([^']*)'", m[3]))
     return Table(m[1], ", ".join(fields), watermark, options)
 
@@ -81,13 +83,20 @@ class Dialect:
     """A session of the SQL layer. ``streaming`` makes file and Kafka sources unbounded."""
 
     def __init__(self, spark: SparkSession, streaming: bool = False):
-        self.spark, self.streaming, self.tables = spark, streaming, {}
+        self.spark, self.streaming, self.tables, self.absent = spark, streaming, {}, {}
 
-    def view(self, name: str, df: DataFrame, rowtime: str | None = None, delay: str = "0 seconds") -> None:
-        """A DataFrame as a table; ``rowtime`` is its event-time column."""
+    def view(self, name: str, df: DataFrame, rowtime: str | None = None, delay: str = "0 seconds", proctime: str | None = None) -> None:
+        """A DataFrame as a table; ``rowtime`` is its event-time column, ``proctime`` a new column of processing time."""
+        df = df.withColumn(proctime, F.current_timestamp()) if proctime else df
         (df.withWatermark(rowtime, delay) if rowtime and df.isStreaming else df).createOrReplaceTempView(name)
 
     def query(self, sql: str) -> DataFrame:
+        for name, why in self.absent.items():  # a table that was declared before its files were there
+            if re.search(rf"\b{name}\b", sql):
+                try:
+                    self._source(self.tables[name]).createOrReplaceTempView(name)
+                except AnalysisException:
+                    raise why from None
         return self.spark.sql(translate(sql))
 
     def _source(self, t: Table) -> DataFrame:
@@ -111,13 +120,14 @@ class Dialect:
         if table.options.get("connector") != "print":
             try:
                 self._source(table).createOrReplaceTempView(table.name)
-            except Exception as e:
-                if "PATH_NOT_FOUND" not in str(e):  # a sink's folder need not exist yet
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_NOT_FOUND":
                     raise
+                self.absent[table.name] = e  # a sink's folder need not exist yet; a query that reads it says so
         return table
 
     def _insert(self, sink: Table, df: DataFrame):
-        names = [f.split()[0].strip("`") for f in sink.schema.split(", ")]
+        names = re.findall(r"`([^`]*)`", sink.schema)
         df = df.toDF(*names)
         kind = sink.options.get("connector")
         if not df.isStreaming:

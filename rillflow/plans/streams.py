@@ -158,3 +158,156 @@ def stream_static_join(spark: SparkSession, d: str) -> DataFrame:
     rows = replay(events(spark, d).select("event_id"), "event_id", BATCHES)
     orders = c.parquet(spark, d, "orders").select("o_orderkey")
     return collect(rows.join(orders, F.col("event_id") == F.col("o_orderkey"))).drop("_batch")
+
+
+def keyed_ms(spark: SparkSession, d: str, *more) -> DataFrame:
+    """Events as key, seq, ms (and other columns) with their time."""
+    e = events(spark, d)
+    return e.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), *more, F.col("ts").cast("timestamp").alias("ts"))
+
+
+def event_time(rows: DataFrame, **values) -> DataFrame:
+    """Replayed with a watermark, and flushed by a row of key -1 at the end of time."""
+    end = {"key": F.lit(-1), "seq": F.lit(1 << 60), "ts": F.lit(END).cast("timestamp"), "ms": F.unix_millis(F.lit(END).cast("timestamp"))} | {k: F.lit(v) for k, v in values.items()}
+    last = rows.sparkSession.range(1).select(*(end.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema.fields))
+    return replay(rows, "seq", BATCHES, [last]).withWatermark("ts", "0 seconds")
+
+
+def at_ms(name: str) -> F.Column:
+    return F.timestamp_millis(F.col(name)).cast("timestamp_ntz")
+
+
+@query(c.SQL["rising_value_alert"])
+def stream_rising_alert(spark: SparkSession, d: str) -> DataFrame:
+    rows = event_time(keyed_ms(spark, d, F.col("value").alias("v")).withColumn("key", F.col("key").cast("string")), v=0.0)
+    out = collect(processors.run(rows.groupBy("key"), processors.RisingAlert(3_600_000), time="eventtime"))
+    return out.select(F.col("key").cast("bigint").alias("user_id"), "alert_ms")
+
+
+@query("SELECT DISTINCT user_id, epoch_us(ts) // 1000 + 9999 AS fire_ms FROM events")
+def stream_event_timers(spark: SparkSession, d: str) -> DataFrame:
+    rows = event_time(keyed_ms(spark, d).withColumn("key", F.col("key").cast("string")))
+    out = collect(processors.run(rows.groupBy("key"), processors.Timers((9999,)), time="eventtime"))
+    return out.where("kind = 'timer' AND key != '-1'").select(F.col("key").cast("bigint").alias("user_id"), F.col("at").alias("fire_ms"))
+
+
+@query(c.SQL["trigger_each_element"])
+def stream_trigger_each_element(spark: SparkSession, d: str) -> DataFrame:
+    rows = replay(keyed_ms(spark, d).drop("ts"), "seq", BATCHES)
+    out = collect(processors.run(rows.groupBy("key"), processors.EachElement(86_400_000)))
+    return out.select(F.col("seq").alias("event_id"), F.col("key").alias("user_id"), "cnt", F.timestamp_millis(F.col("end_ms") - 86_400_000).cast("timestamp_ntz").alias("window_start"), at_ms("end_ms").alias("window_end"))
+
+
+@query("SELECT event_id, 1::BIGINT AS cnt FROM events")
+def stream_trigger_purging(spark: SparkSession, d: str) -> DataFrame:
+    rows = replay(keyed_ms(spark, d).drop("ts"), "seq", BATCHES)
+    return collect(processors.run(rows.groupBy("key"), processors.EachElement(86_400_000, purge=True))).select(F.col("seq").alias("event_id"), "cnt")
+
+
+@query(c.SQL["trigger_every_hour"])
+def stream_trigger_every_hour(spark: SparkSession, d: str) -> DataFrame:
+    out = collect(processors.run(event_time(keyed_ms(spark, d)).groupBy("key"), processors.Periodically(86_400_000, 3_600_000), time="eventtime"))
+    return out.where("key >= 0").select(F.col("key").alias("user_id"), at_ms("fire_ms").alias("fire_time"), "cnt", F.timestamp_millis(F.col("end_ms") - 86_400_000).cast("timestamp_ntz").alias("window_start"), at_ms("end_ms").alias("window_end"))
+
+
+@query(c.SQL["count_window_sliding"])
+def stream_count_slide(spark: SparkSession, d: str) -> DataFrame:
+    rows = replay(keyed_ms(spark, d, F.col("event_id").alias("v")).drop("ts", "ms"), "seq", BATCHES)
+    out = collect(processors.run(rows.groupBy("key"), processors.CountSlide(5, 2)))
+    return out.select(F.col("key").alias("user_id"), F.col("seq").alias("event_id"), "window_no", "total")
+
+
+@query("SELECT user_id, (epoch_us(ts) // 3600000000 + 1) * 3600000 AS end_ms, CAST(median(event_id) AS BIGINT) AS middle FROM events GROUP BY ALL")
+def stream_window_list_buffer(spark: SparkSession, d: str) -> DataFrame:
+    """A function of a window's whole list of values: the middle one, or the mean of both middle ones, cut off."""
+
+    def middle(values: list) -> int:
+        v = sorted(values)
+        return round((v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2)
+
+    rows = event_time(keyed_ms(spark, d, F.col("event_id").alias("v")), v=0)
+    out = collect(processors.run(rows.groupBy("key"), processors.ListBufferWindow(3_600_000, middle), time="eventtime"))
+    return out.where("key >= 0").select(F.col("key").alias("user_id"), "end_ms", F.col("value").alias("middle"))
+
+
+CEP_MS = {n: f"SELECT user_id, {', '.join(f'epoch_us({x}) // 1000 AS {x}' for x in cols)}{more} FROM ({c.SQL[n]})" for n, cols, more in (
+    ("cep_three_fails", ("fail_1_ts", "fail_2_ts", "fail_3_ts"), ""), ("cep_next_within_timeout", ("create_ts", "pay_ts"), ", status"))}
+
+
+@query(CEP_MS["cep_three_fails"])
+def stream_cep_three_fails(spark: SparkSession, d: str) -> DataFrame:
+    fail = F.col("event_type") == "error"
+    rows = replay(keyed_ms(spark, d, F.array(fail, fail, fail).alias("hits")).drop("ts"), "seq", BATCHES)
+    out = collect(processors.run(rows.groupBy("key"), processors.Contiguous(3)))
+    return out.select(F.col("key").alias("user_id"), *(F.col("at")[i].alias(f"fail_{i + 1}_ts") for i in range(3)))
+
+
+@query(CEP_MS["cep_next_within_timeout"])
+def stream_cep_next_within_timeout(spark: SparkSession, d: str) -> DataFrame:
+    rows = event_time(keyed_ms(spark, d, (F.col("event_type") == "click").alias("begins"), (F.col("event_type") == "purchase").alias("completes")), begins=False, completes=False)
+    out = collect(processors.run(rows.groupBy("key"), processors.NextWithin(6 * 3_600_000), time="eventtime"))
+    return out.select(F.col("key").alias("user_id"), F.col("first_ms").alias("create_ts"), F.col("second_ms").alias("pay_ts"), "status")
+
+
+@query(c.SQL["incremental_top3"])
+def stream_incremental_top3(spark: SparkSession, d: str) -> DataFrame:
+    counts = of_type(events(spark, d), "error").groupBy(F.window("ts", "1 day").start.alias("key"), F.col("user_id").alias("item")).agg(F.count(F.lit(1)).alias("cnt")).withColumn("seq", F.col("item"))
+    out = collect(processors.run(replay(counts.select("key", "seq", "item", "cnt"), "seq", BATCHES).groupBy("key"), processors.TopN(3)))
+    return out.select(F.col("key").alias("day"), F.col("seq").alias("arrival"), "row_num", F.col("item").alias("user_id"), "cnt")
+
+
+@query(c.SQL["late_split_punctuated"])
+def stream_late_split_punctuated(spark: SparkSession, d: str) -> DataFrame:
+    rows = c.jittered(spark, d).select("event_id", "seq", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), (F.col("event_type") == "signup").alias("mark"), F.lit(False).alias("flush"), F.lit(0).alias("bucket"))
+    out = collect(processors.run(replay(rows, "seq", BATCHES).groupBy("bucket"), processors.LateSplitter(processors.Punctuated("mark"))))
+    return out.select("seq", "tag").join(rows.select("seq", "event_id"), "seq").select("event_id", "tag")
+
+
+@query("SELECT user_id, count(*)::BIGINT AS cnt FROM events GROUP BY user_id")
+def stream_proctime_tumble(spark: SparkSession, d: str) -> DataFrame:
+    """Windows by processing time; whatever the clock says, they hold each row once."""
+    out = collect(pipelines.proctime_counts(replay(events(spark, d).select("event_id", "user_id"), "event_id", BATCHES), "1 hour", ["user_id"]), "update")
+    return latest(out, ["user_id", "window_start", "window_end"]).groupBy("user_id").agg(F.sum("cnt").alias("cnt"))
+
+
+@query(f"""
+WITH s AS (SELECT min(event_id) AS lo, (max(event_id) - min(event_id)) / {BATCHES} AS step FROM events),
+p AS (SELECT user_id, least(CAST(floor((event_id - lo) / step) AS BIGINT), {BATCHES - 1}) AS batch, count(*) AS n FROM events, s GROUP BY ALL),
+r AS (SELECT user_id, batch, CAST(sum(n) OVER w AS BIGINT) AS cnt, CAST(sum(n) OVER w AS BIGINT) - n AS before FROM p WINDOW w AS (PARTITION BY user_id ORDER BY batch ROWS UNBOUNDED PRECEDING))
+SELECT user_id, batch, cnt, CASE WHEN before = 0 THEN '+I' ELSE '+U' END AS op FROM r UNION ALL SELECT user_id, batch, before, '-U' FROM r WHERE before > 0
+""")
+def stream_changelog(spark: SparkSession, d: str) -> DataFrame:
+    """The changelog of a running count, batch by batch."""
+    from ..sinks.changelog import changelog
+
+    updates = collect(pipelines.running_counts(replay(events(spark, d).select("event_id", "user_id"), "event_id", BATCHES), ["user_id"]), "update")
+    return changelog(updates.withColumnRenamed("_batch", "batch"), ["user_id"], "batch")
+
+
+def generated(spark: SparkSession, name: str, **options: str) -> DataFrame:
+    from ..sources import generators
+
+    generators.register(spark)
+    return collect(spark.readStream.format(name).options(rows="100", batch="100", seed="7", **options).load()).drop("_batch")
+
+
+@query("SELECT range AS value FROM range(100)")
+def source_counter(spark: SparkSession, d: str) -> DataFrame:
+    return generated(spark, "counter", partitions="2").select("value")
+
+
+@query("SELECT 'sensor_' || (range % 3 + 1) AS sensorId, range // 3 * 300 AS ts FROM range(100)")
+def source_sensors(spark: SparkSession, d: str) -> DataFrame:
+    return generated(spark, "sensors").select("sensorId", "ts")
+
+
+@query("SELECT range * 1000 AS ts, true AS known FROM range(100)")
+def source_clicks(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources.generators import URLS, USERS
+
+    return generated(spark, "clicks").select("ts", (F.col("key").isin(*USERS) & F.col("value").isin(*URLS)).alias("known"))
+
+
+@query("SELECT range * 100 AS ts, true AS known FROM range(100)")
+def source_ints(spark: SparkSession, d: str) -> DataFrame:
+    return generated(spark, "ints").select("ts", F.col("value").between(0, 9999).alias("known"))

@@ -5,6 +5,7 @@ Final names hold the batch and the partition, so a commit that is repeated after
 
 from __future__ import annotations
 
+import csv
 import os
 import uuid
 from collections.abc import Iterator
@@ -29,9 +30,8 @@ class TwoPhaseWriter(DataSourceStreamWriter):
         """begin, invoke and pre-commit: a file of this attempt's own, flushed to disk."""
         os.makedirs(f"{self.folder}/.staged", exist_ok=True)
         path, partition = f"{self.folder}/.staged/{uuid.uuid4().hex}", TaskContext.get().partitionId()
-        with open(path, "w") as out:
-            for row in rows:
-                out.write(",".join("" if v is None else str(v) for v in row) + "\n")
+        with open(path, "w", newline="", encoding="utf-8") as out:
+            csv.writer(out, lineterminator="\n").writerows(["" if v is None else v for v in row] for row in rows)
             out.flush()
             os.fsync(out.fileno())
         return Staged(path, partition)

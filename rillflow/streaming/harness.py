@@ -15,8 +15,12 @@ END = "2100-01-01 00:00:00"
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new folder in the cluster's shared folder (a temporary one where none is set, as in tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
+    """A new folder in the cluster's shared folder; only a local session (tests) may do without one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file:///tmp/checkpoints"
     return f"{base.rstrip('/')}/rillflow/{name}-{uuid.uuid4().hex}"
 
 

@@ -39,3 +39,8 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, ts: str, lower: s
 def running_counts(stream: DataFrame, keys: list[str]) -> DataFrame:
     """For update mode: the counts that changed in a micro-batch."""
     return stream.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def proctime_counts(stream: DataFrame, size: str, keys: list[str]) -> DataFrame:
+    """For update mode: tumbling counts by processing time, the time of the micro-batch that a row comes with."""
+    return stream.groupBy(*keys, F.window(F.current_timestamp(), size).alias("w")).agg(F.count(F.lit(1)).alias("cnt")).select(*keys, "cnt", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"))

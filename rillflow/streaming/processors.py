@@ -6,7 +6,7 @@ the timers that the batch has made due, so processors with deadlines check them
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -66,8 +66,29 @@ class CountPerValue(StatefulProcessor):
             yield Row(key=key[0], seq=r.seq, value=r.value, cnt=n)
 
 
+class Bounded:
+    """A watermark generator: each row's time less a bound and 1 ms."""
+
+    def __init__(self, bound: int = 0):
+        self.bound = bound
+
+    def __call__(self, row: Row) -> int | None:
+        return row.ms - self.bound - 1
+
+
+class Punctuated:
+    """A watermark generator that only marked rows move, to their time less 1 ms, or to the end of time."""
+
+    def __init__(self, column: str, to_end: bool = False):
+        self.column, self.to_end = column, to_end
+
+    def __call__(self, row: Row) -> int | None:
+        return None if not row[self.column] else MAX if self.to_end else row.ms - 1
+
+
 class LateSplitter(StatefulProcessor):
-    """An own watermark, for all rows under one key: largest time less ``bound`` less 1 ms after each row.
+    """An own watermark, for all rows under one key: the largest that the generator has given after each row (``Bounded``,
+    ``Punctuated`` or any function of a row; None: no change).
 
     Rows below it are tagged late. A row whose ``flush`` is true moves the watermark to the end of time. Runs with
     timeMode none: under event time Spark would drop late rows before they get here. Input: bucket, seq, ms, flush.
@@ -75,8 +96,8 @@ class LateSplitter(StatefulProcessor):
 
     OUTPUT = "seq bigint, ms bigint, wm_before bigint, tag string"
 
-    def __init__(self, bound: int):
-        self.bound = bound
+    def __init__(self, generator: int | Callable[[Row], int | None]):
+        self.generator = Bounded(generator) if isinstance(generator, int) else generator
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.wm = handle.getValueState("wm", "ms bigint")
@@ -85,8 +106,9 @@ class LateSplitter(StatefulProcessor):
         wm = self.wm.get()[0] if self.wm.exists() else None
         for r in _sorted(rows):
             yield Row(seq=r.seq, ms=r.ms, wm_before=wm, tag="late" if wm is not None and r.ms < wm else "main")
-            new = MAX if r.flush else r.ms - self.bound - 1
-            wm = new if wm is None else max(wm, new)
+            new = MAX if r.flush else self.generator(r)
+            if new is not None:
+                wm = new if wm is None else max(wm, new)
         if wm is not None:
             self.wm.update((wm,))
 
@@ -305,6 +327,231 @@ class CountWindow(StatefulProcessor):
         self.acc.update((no, n, total))
 
 
+class CountSlide(StatefulProcessor):
+    """After each ``slide`` rows of a key the sum of the last ``size`` (fewer at first). Input: key, seq, v."""
+
+    OUTPUT = "key bigint, seq bigint, window_no bigint, total bigint"
+
+    def __init__(self, size: int, slide: int):
+        self.size, self.slide = size, slide
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "n bigint, v array<bigint>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        n, last = self.last.get() if self.last.exists() else (0, [])
+        last = list(last)
+        for r in _sorted(rows):
+            n, last = n + 1, [*last, r.v][-self.size :]
+            if n % self.slide == 0:
+                yield Row(key=key[0], seq=r.seq, window_no=n // self.slide, total=sum(last))
+        self.last.update((n, last))
+
+
+class ListBufferWindow(StatefulProcessor):
+    """Tumbling windows that keep their rows' values in a list until an event-time timer at the window's end less 1 ms, and
+    hand it to ``function`` then. Input: key, seq, ms, v."""
+
+    OUTPUT = "key bigint, end_ms bigint, value bigint"
+
+    def __init__(self, size: int, function: Callable[[list], int]):
+        self.size, self.function = size, function
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.buffers = handle.getMapState("buffers", "end_ms bigint", "v array<bigint>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        new: dict = {}
+        for r in _sorted(rows):
+            new.setdefault(r.ms // self.size * self.size + self.size, []).append(r.v)
+        for end, values in new.items():
+            held = list(self.buffers.getValue((end,))[0]) if self.buffers.containsKey((end,)) else []
+            self.buffers.updateValue((end,), (held + values,))
+            self.handle.registerTimer(end - 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        end = expiredTimerInfo.getExpiryTimeInMs() + 1
+        if self.buffers.containsKey((end,)):
+            values = list(self.buffers.getValue((end,))[0])
+            self.buffers.removeKey((end,))
+            yield Row(key=key[0], end_ms=end, value=self.function(values))
+
+
+class EachElement(StatefulProcessor):
+    """A tumbling window's count after each row: a trigger that fires on every element. ``purge`` empties the window as it
+    fires. Input: key, seq, ms."""
+
+    OUTPUT = "key bigint, seq bigint, end_ms bigint, cnt bigint"
+
+    def __init__(self, size: int, purge: bool = False):
+        self.size, self.purge = size, purge
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.counts = handle.getMapState("counts", "end_ms bigint", "cnt bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        for r in _sorted(rows):
+            end = r.ms // self.size * self.size + self.size
+            n = 1 + (self.counts.getValue((end,))[0] if self.counts.containsKey((end,)) else 0)
+            self.counts.updateValue((end,), (0 if self.purge else n,))
+            yield Row(key=key[0], seq=r.seq, end_ms=end, cnt=n)
+
+
+class Periodically(StatefulProcessor):
+    """A tumbling window's count so far at each multiple of ``every`` ms from its first row's to its last row's: a trigger
+    on event-time timers, with the next firing in state. Rows of a key come in the order of their times. Input: key, seq,
+    ms."""
+
+    OUTPUT = "key bigint, end_ms bigint, fire_ms bigint, cnt bigint"
+
+    def __init__(self, size: int, every: int, purge: bool = False):
+        self.size, self.every, self.purge = size, every, purge
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.window = handle.getValueState("window", "end_ms bigint, cnt bigint, next_ms bigint, due boolean")
+
+    def _fire(self, key, end, cnt, at) -> Row:
+        return Row(key=key[0], end_ms=end, fire_ms=at, cnt=cnt)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        end, cnt, at, due = self.window.get() if self.window.exists() else (None, 0, None, False)
+        before = at if due else None
+        for r in _sorted(rows):
+            own = r.ms // self.size * self.size + self.size
+            if end is not None and due and (own != end or at <= r.ms):
+                yield self._fire(key, end, cnt, at)
+                cnt, at, due = 0 if self.purge else cnt, at + self.every, False
+            if own != end:
+                end, cnt, at = own, 0, r.ms // self.every * self.every + self.every
+            while at <= r.ms:
+                yield self._fire(key, end, cnt, at)
+                at += self.every
+            cnt, due = cnt + 1, True
+        if before is not None and before != at:
+            self.handle.deleteTimer(before)
+        if due and before != at:
+            self.handle.registerTimer(at)
+        self.window.update((end, cnt, at, due))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        end, cnt, at, due = self.window.get()
+        if due and at == expiredTimerInfo.getExpiryTimeInMs():
+            yield self._fire(key, end, cnt, at)
+            self.window.update((end, 0 if self.purge else cnt, at + self.every, False))
+
+
+class ProcessingSession(StatefulProcessor):
+    """Session counts by arrival: a session ends when for ``gap`` ms of processing time nothing comes. Input: key, seq."""
+
+    OUTPUT = "key string, cnt bigint"
+
+    def __init__(self, gap: int):
+        self.gap = gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "cnt bigint, until bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        now, n = timerValues.getCurrentProcessingTimeInMs(), sum(1 for _ in rows)
+        if self.open.exists():
+            cnt, until = self.open.get()
+            self.handle.deleteTimer(until)
+            if until <= now:  # due before these rows
+                yield Row(key=key[0], cnt=cnt)
+            else:
+                n += cnt
+        self.open.update((n, now + self.gap))
+        self.handle.registerTimer(now + self.gap)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.open.exists() and self.open.get()[1] == expiredTimerInfo.getExpiryTimeInMs():
+            yield Row(key=key[0], cnt=self.open.get()[0])
+            self.open.clear()
+
+
+class Contiguous(StatefulProcessor):
+    """A pattern of strictly contiguous steps: the rows' times whenever the last ``n`` rows of a key fit it; overlapping
+    matches all count. Input: key, seq, ms, hits (whether the row fits each step)."""
+
+    OUTPUT = "key bigint, at array<bigint>"
+
+    def __init__(self, n: int, within: int | None = None):
+        self.n, self.within = n, within
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "ms array<bigint>, hits array<array<boolean>>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        at, hits = map(list, self.last.get()) if self.last.exists() else ([], [])
+        for r in _sorted(rows):
+            at, hits = [*at, r.ms][-self.n :], [*hits, list(r.hits)][-self.n :]
+            if len(at) == self.n and all(h[i] for i, h in enumerate(hits)) and (self.within is None or at[-1] - at[0] < self.within):
+                yield Row(key=key[0], at=at)
+        self.last.update((at, hits))
+
+
+class NextWithin(StatefulProcessor):
+    """A two-step pattern with a timeout: the row that begins it is matched if the very next row of the key completes it
+    within ``within`` ms, times out if that is late or never comes, and is dropped if it is another. Event-time timers.
+    Input: key, seq, ms, begins, completes."""
+
+    OUTPUT = "key bigint, first_ms bigint, second_ms bigint, status string"
+
+    def __init__(self, within: int):
+        self.within = within
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getValueState("pending", "ms bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        stored = self.pending.get()[0] if self.pending.exists() else None
+        first = stored
+        for r in _sorted(rows):
+            if first is not None:
+                if r.ms - first >= self.within:
+                    yield Row(key=key[0], first_ms=first, second_ms=None, status="timeout")
+                elif r.completes:
+                    yield Row(key=key[0], first_ms=first, second_ms=r.ms, status="matched")
+            first = r.ms if r.begins else None
+        if stored is not None and stored != first:
+            self.handle.deleteTimer(stored + self.within)
+        if first is None:
+            self.pending.clear()
+        elif first != stored:
+            self.pending.update((first,))
+            self.handle.registerTimer(first + self.within)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.pending.exists() and self.pending.get()[0] + self.within == expiredTimerInfo.getExpiryTimeInMs():
+            yield Row(key=key[0], first_ms=self.pending.get()[0], second_ms=None, status="timeout")
+            self.pending.clear()
+
+
+class TopN(StatefulProcessor):
+    """The ``n`` items with the largest counts after each arrival; ties go to the smaller item. Input: key, seq, item, cnt."""
+
+    OUTPUT = "key timestamp_ntz, seq bigint, row_num int, item bigint, cnt bigint"
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.best = handle.getValueState("best", "items array<bigint>, counts array<bigint>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        best = [(-c, i) for i, c in zip(*self.best.get(), strict=True)] if self.best.exists() else []
+        for r in _sorted(rows):
+            best = sorted([*best, (-r.cnt, r.item)])[: self.n]
+            for k, (c, i) in enumerate(best, 1):
+                yield Row(key=key[0], seq=r.seq, row_num=k, item=i, cnt=-c)
+        self.best.update(([i for _, i in best], [-c for c, _ in best]))
+
+
 def run(grouped, processor: StatefulProcessor, mode: str = "append", time: str = "none"):
     """``df.groupBy(key)`` through a processor."""
     return grouped.transformWithState(processor, type(processor).OUTPUT, mode, time)

@@ -182,7 +182,7 @@ def test_patterns(spark):
     paid = cep.Pattern.begin("create").where(F.col("e") == "create").next("pay").where(F.col("e") == "pay").within(5)
     assert rows(cep.match_or_timeout(orders, paid, ["o"], "ts"), "o", "status") == [("o1", "matched"), ("o2", "timeout")]
     table = {("s0", "fail"): "s1", ("s1", "fail"): "s2", ("s2", "fail"): "bad", ("s0", "success"): "ok", ("s1", "success"): "ok", ("s2", "success"): "ok"}
-    machine = cep.state_machine(df.withColumn("o", F.unix_millis("ts")), table, "s0", {"bad": ("fail", "s2"), "ok": ("success", "s0")}, ["u"], "e", "ts", "o")
+    machine = cep.state_machine(df.withColumn("o", F.unix_millis("ts")), table, "s0", {"bad": ("fail", "s2"), "ok": ("success", "s0")}, ["u"], "e", "ts", ["o"])
     assert rows(machine.select("u", F.unix_millis("ts").alias("t"), "output"), "*") == [("user-1", 4000, "fail"), ("user-1", 5000, "fail"), ("user-2", 3000, "success")]
 
 
@@ -257,3 +257,54 @@ def test_parsing_helpers(spark):
     k, t = key_seconds(F.col("line"))
     assert elements(spark, [("a 3",)], "line string").select(k, t).collect() == [("a", 3000)]
     assert kafka_options("s:1", "t")["startingOffsets"] == "latest"
+
+
+def test_ddl_types_keep_their_arguments():
+    from rillflow.plans.dialect import parse_table
+
+    t = parse_table("CREATE TABLE t (a DECIMAL(18, 2), b VARCHAR(20), c TIMESTAMP(3), d BIGINT, WATERMARK FOR c AS c) WITH ('connector' = 'filesystem')")
+    assert t.schema == "`a` decimal(18,2), `b` varchar(20), `c` timestamp, `d` bigint"
+
+
+def test_query_of_a_table_without_files_says_so(spark, tmp_path):
+    from rillflow.plans.dialect import Dialect
+
+    engine = Dialect(spark)
+    engine.execute(f"CREATE TABLE nothing_there (a BIGINT) WITH ('connector' = 'filesystem', 'path' = '{tmp_path}/no', 'format' = 'csv')")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        engine.query("SELECT * FROM nothing_there")
+
+
+def test_times_without_consecutive():
+    pattern = cep.Pattern.begin("a").where(F.lit(True)).times(2).next("b").where(F.lit(True))
+    with pytest.raises(ValueError, match="one step"):
+        cep.match(None, pattern, ["k"], "ts")
+
+
+def test_windows_that_are_no_multiple_of_the_slide():
+    with pytest.raises(ValueError, match="whole number"):
+        windows.hop_in_panes(None, "ts", 3600, 700, [])
+
+
+def test_accumulator_merges_partial_states(spark):
+    from pyspark.sql import types as T
+
+    from rillflow.operators.folds import Accumulator, accumulate
+
+    class Longest(Accumulator):
+        def create(self):
+            return ""
+
+        def add(self, state, v):
+            return max(state, v or "", key=lambda x: (len(x), x))
+
+        def merge(self, a, b):
+            return self.add(a, b)
+
+        def result(self, state):
+            return state
+
+    df = spark.createDataFrame([(i % 3, "x" * (i % 17)) for i in range(200)] + [(None, "y"), (5, None)], "k long, v string").repartition(6)
+    out = accumulate(df, ["k"], ["v"], Longest(), T.StructField("v", T.StringType()), held=1)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(0, "x" * 16), (1, "x" * 16), (2, "x" * 16), (None, "y"), (5, "")], key=str)
+    assert accumulate(df.limit(0), ["k"], ["v"], Longest(), T.StructField("v", T.StringType())).count() == 0

@@ -68,6 +68,35 @@ def test_processing_time_timers(spark, tmp_path):
     assert ("a", "timer") in seen
 
 
+def test_processing_time_sessions(spark, tmp_path):
+    import time
+
+    s = batches(spark, [[("a", 1), ("a", 2)], [("b", 3)], [("c", 4)]], "key string, seq long")
+    seen = []
+    out = processors.run(s.groupBy("key"), processors.ProcessingSession(1), time="processingtime")
+    q = out.writeStream.foreachBatch(lambda df, i: seen.extend(map(tuple, df.select("key", "cnt").collect()))).option("checkpointLocation", f"{tmp_path}/cp").start()
+    try:
+        until = time.time() + 60
+        while len(seen) < 3 and time.time() < until:
+            time.sleep(0.2)
+    finally:
+        q.stop()
+    assert sorted(seen) == [("a", 2), ("b", 1), ("c", 1)]
+
+
+def test_punctuated_watermark_to_the_end(spark):
+    s = batches(spark, [[(0, 1, 1000, False, False), (0, 2, 500, False, False), (0, 3, 700, True, False), (0, 4, 9000, False, False)]], "bucket int, seq long, ms long, mark boolean, flush boolean")
+    out = collect(processors.run(s.groupBy("bucket"), processors.LateSplitter(processors.Punctuated("mark", to_end=True))))
+    assert rows(out, "seq", "tag") == [(1, "main"), (2, "main"), (3, "main"), (4, "late")]
+
+
+def test_periodic_trigger_purges(spark):
+    part = [("k", i, t) for i, t in enumerate((100, 200, 1500, 1600, 3100))]
+    s = event_time(batches(spark, [[(1, i, t) for _, i, t in part], [(-1, 99, 10**9)]], "key long, seq long, ms long"))
+    out = collect(processors.run(s.groupBy("key"), processors.Periodically(10_000, 1000, purge=True), time="eventtime")).where("key = 1")
+    assert rows(out, "fire_ms", "cnt") == [(1000, 2), (2000, 2), (3000, 0), (4000, 1)]
+
+
 def test_reconciler_times_out_before_matching(spark):
     schema = "key string, seq long, side string, ms long"
     parts = [[("k1", 1, "left", 1000), ("k2", 2, "left", 2000)], [("k1", 3, "right", 3000), ("k3", 4, "right", 4000)], [("zz", 5, "left", 7001)], [("k2", 6, "right", 20_000)], [("zz", 7, "right", 90_000)], [("zz", 8, "left", 190_000)]]
@@ -137,6 +166,14 @@ def test_counter_resumes_into_the_two_phase_sink(spark, tmp_path):
     assert not glob.glob(f"{tmp_path}/out/.staged/*")
 
 
+def writer_rows(writer, rows):
+    from unittest import mock
+
+    with mock.patch.object(two_phase, "TaskContext") as context:
+        context.get.return_value.partitionId.return_value = 0
+        return writer.write(iter(rows))
+
+
 def test_two_phase_commit_is_idempotent_and_abort_cleans(tmp_path):
     writer = two_phase.TwoPhaseWriter(str(tmp_path))
     (tmp_path / ".staged").mkdir()
@@ -146,6 +183,11 @@ def test_two_phase_commit_is_idempotent_and_abort_cleans(tmp_path):
     writer.commit([message, None], 3)
     assert (tmp_path / "batch-00000003-00000.csv").read_text() == "1\n"
     (tmp_path / ".staged/b").write_text("2\n")
+    message = writer_rows(two_phase.TwoPhaseWriter(str(tmp_path / "quoted")), [(1, 'a,"b"\nc', None)])
+    import csv
+
+    with open(message.path, newline="") as f:
+        assert list(csv.reader(f)) == [["1", 'a,"b"\nc', ""]]
     writer.abort([two_phase.Staged(f"{tmp_path}/.staged/b", 1)], 4)
     assert not list((tmp_path / ".staged").iterdir())
 
