@@ -125,24 +125,26 @@ def state_machine(df: DataFrame, transitions: dict[tuple[str, str], str], start:
 def rising_alerts(df: DataFrame, keys: list[str], ts: str, order: list[str], value: str, for_ms: int) -> DataFrame:
     """An alert where values have not fallen for ``for_ms`` since their first rise.
 
-    A rise arms a timer unless one runs, a fall disarms it, an equal value does neither. After an alert the next rise
-    arms again. The alerts of one run of non-falling values are found by a fold over its rises (a run is bounded by the
-    next fall). Columns: keys, alert_ms.
+    A rise arms a timer unless one runs, a fall disarms it, an equal value does neither; a timer due at the time of a row
+    fires before the row. After an alert the next rise arms again. ``order`` begins with ``ts``. A fold that holds the
+    last value and the timer of one key. Columns: keys, alert_ms.
     """
-    w = W.partitionBy(*keys).orderBy(*order)
-    ms = F.unix_millis(F.col(ts).cast("timestamp"))
-    rows = df.select(*keys, *order, ms.alias("_ms"), F.col(value).alias("_v"), F.lag(value).over(w).alias("_p"))
-    rows = rows.withColumn("_fall", (F.coalesce(F.col("_v") < F.col("_p"), F.lit(False))).cast("int"))
-    rows = rows.withColumn("_run", F.sum("_fall").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    runs = rows.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.when(F.col("_v") > F.col("_p"), F.col("_ms")))).alias("_rises"), F.min("_ms").alias("_start"))
-    runs = runs.withColumn("_until", F.lead("_start").over(W.partitionBy(*keys).orderBy("_run")))
-    fold = F.aggregate(
-        "_rises",
-        F.struct(F.lit(None).cast("bigint").alias("armed"), F.array().cast("array<bigint>").alias("alerts")),
-        lambda acc, r: F.when(acc["armed"].isNull(), F.struct((r + for_ms).alias("armed"), acc["alerts"].alias("alerts")))
-        .when(r >= acc["armed"], F.struct((r + for_ms).alias("armed"), F.concat(acc["alerts"], F.array(acc["armed"])).alias("alerts")))
-        .otherwise(acc),
-        lambda acc: F.when(acc["armed"].isNotNull(), F.concat(acc["alerts"], F.array(acc["armed"]))).otherwise(acc["alerts"]),
-    )
-    out = runs.select(*keys, "_until", F.explode(fold).alias("alert_ms"))
-    return out.where(F.col("_until").isNull() | (F.col("alert_ms") <= F.col("_until"))).select(*keys, "alert_ms")
+    rows = df.select(*keys, *order, F.unix_millis(F.col(ts).cast("timestamp")).alias("_ms"), F.col(value).alias("_v"))
+    schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("alert_ms", T.LongType())])
+
+    class Alerts:
+        def __init__(self, key):
+            self.key, self.last, self.armed = key, None, None
+
+        def row(self, ms, v):
+            before, self.last = self.last, v
+            if before is None or v is None or v == before or v > before and self.armed is not None and ms < self.armed:
+                return ()
+            out = self.end() if self.armed is not None and self.armed <= ms else ()
+            self.armed = ms + for_ms if v > before else None
+            return out
+
+        def end(self):
+            return [(*self.key, self.armed)] if self.armed is not None else ()
+
+    return fold(rows, keys, order, ["_ms", "_v"], schema, Alerts)

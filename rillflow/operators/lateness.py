@@ -11,11 +11,12 @@ def millis(ts: str) -> Column:
     return F.unix_millis(F.col(ts).cast("timestamp"))
 
 
-def with_watermark(df: DataFrame, seq: str, ts: str, bound_ms: int, emits: Column | None = None, every: int | None = None) -> DataFrame:
+def with_watermark(df: DataFrame, seq: str, ts: str, bound_ms: int, emits: Column | None = None, every: int | None = None, since: int | None = None) -> DataFrame:
     """Adds ``wm_before``: the largest time of all rows before this one, less the bound and 1 ms (null at first).
 
     ``emits`` makes it a punctuated watermark: only rows for which it holds move it. ``every`` makes it a periodic one: it
-    moves only as ``seq`` passes a multiple of ``every``, to what the rows before that have brought.
+    moves only as ``seq`` passes a multiple of ``every``, to what the rows before that have brought. ``since`` is the
+    largest time, in ms, of rows that came before all of ``df``.
 
     A watermark is one value for all keys, so the order is global. Each range of ``seq`` finds its own largest time;
     only those maxima, a row per range, are accumulated over the whole.
@@ -26,12 +27,12 @@ def with_watermark(df: DataFrame, seq: str, ts: str, bound_ms: int, emits: Colum
     carried = maxima.select("_r", F.max("_m").over(W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)).alias("_c"))
     own = F.max("_ms").over(W.partitionBy("_r").orderBy(seq).rowsBetween(W.unboundedPreceding, -1))
     out = spark_range.withColumn("_o", F.lit(None).cast("bigint") if every else own).join(carried, "_r")
-    return out.withColumn("wm_before", F.greatest("_o", "_c") - bound_ms - 1).drop("_r", "_ms", "_o", "_c")
+    return out.withColumn("wm_before", F.greatest("_o", "_c", F.lit(since).cast("bigint")) - bound_ms - 1).drop("_r", "_ms", "_o", "_c")
 
 
-def late_split(df: DataFrame, seq: str, ts: str, bound_ms: int, emits: Column | None = None, every: int | None = None) -> DataFrame:
+def late_split(df: DataFrame, seq: str, ts: str, bound_ms: int, emits: Column | None = None, every: int | None = None, since: int | None = None) -> DataFrame:
     """Adds ``tag``: late if the time is below the watermark before the row, else main."""
-    out = with_watermark(df, seq, ts, bound_ms, emits, every)
+    out = with_watermark(df, seq, ts, bound_ms, emits, every, since)
     return out.withColumn("tag", F.when(millis(ts) < F.col("wm_before"), "late").otherwise("main"))
 
 

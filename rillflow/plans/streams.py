@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sinks.upsert import write_ahead
 from ..streaming import pipelines, processors
-from ..streaming.harness import END, collect, latest, replay
+from ..streaming.harness import END, collect, latest, replay, work_path
 from . import catalogue as c
 from .catalogue import events, of_type, query
 
@@ -114,6 +115,17 @@ def stream_late_split(spark: SparkSession, d: str) -> DataFrame:
     return out.select("seq", "tag").join(rows.select("seq", "event_id"), "seq").select("event_id", "tag")
 
 
+@query(c.SQL["late_split"])
+def stream_late_split_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The same by all tasks, with one value carried between micro-batches."""
+    rows = timed(c.jittered(spark, d).select("event_id", "seq", "ts"))
+    out = work_path(spark, "late")
+    split = pipelines.late_split_batches(work_path(spark, "watermarks"), write_ahead(out), "seq", "ts", c.BOUND)
+    writer = replay(rows, "seq", BATCHES).writeStream.foreachBatch(split).option("checkpointLocation", work_path(spark, "checkpoint"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("event_id bigint, tag string").parquet(f"{out}/batch=*")
+
+
 @query(c.SQL["allowed_lateness"])
 def stream_allowed_lateness(spark: SparkSession, d: str) -> DataFrame:
     rows = jittered_ms(spark, d).drop("event_id")

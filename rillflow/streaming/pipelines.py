@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.lateness import late_split, millis
+
 
 def tumble_counts(stream: DataFrame, ts: str, size: str, keys: list[str], delay: str = "0 seconds") -> DataFrame:
     return stream.withWatermark(ts, delay).groupBy(*keys, F.window(ts, size)).agg(F.count(F.lit(1)).alias("cnt")).select(*keys, "cnt", F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"))
@@ -44,3 +49,27 @@ def running_counts(stream: DataFrame, keys: list[str]) -> DataFrame:
 def proctime_counts(stream: DataFrame, size: str, keys: list[str]) -> DataFrame:
     """For update mode: tumbling counts by processing time, the time of the micro-batch that a row comes with."""
     return stream.groupBy(*keys, F.window(F.current_timestamp(), size).alias("w")).agg(F.count(F.lit(1)).alias("cnt")).select(*keys, "cnt", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"))
+
+
+def late_split_batches(folder: str, write: Callable[[DataFrame, int], None], seq: str, ts: str, bound_ms: int) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: every row with ``tag`` (main or late) and ``wm_before`` to ``write``, by a watermark that
+    follows each row in the order of ``seq``; micro-batches come in that order.
+
+    All tasks share the work of a micro-batch. From one to the next goes a single value, the largest time so far, written
+    to ``folder`` under the batch's number before the rows are: a batch that is run again finds what it found before.
+    """
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        since = None
+        if batch_id:
+            try:
+                since = spark.read.schema("m long").parquet(f"{folder}/{batch_id - 1}").first().m
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_NOT_FOUND":
+                    raise
+                raise ValueError(f"no watermark of batch {batch_id - 1} in {folder}: it must live as long as the checkpoint") from e
+        batch.agg(F.greatest(F.max(millis(ts)), F.lit(since).cast("bigint")).alias("m")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{batch_id}")
+        write(late_split(batch, seq, ts, bound_ms, since=since), batch_id)
+
+    return one

@@ -202,6 +202,69 @@ def test_upserts_and_restart(spark, tmp_path):
     assert sqlite3.connect(path).execute("SELECT * FROM clicks ORDER BY 1").fetchall() == [("Bob", "./cart"), ("Mary", "./buy")]
 
 
+def test_upserts_into_any_database(spark, tmp_path):
+    import duckdb
+
+    path = f"{tmp_path}/clicks.duckdb"
+    with duckdb.connect(path) as db:
+        db.execute("CREATE TABLE clicks (username VARCHAR PRIMARY KEY, url VARCHAR)")
+    write = upsert.database_writer(lambda: duckdb.connect(path), "clicks", rows=2)
+    for _ in range(2):
+        write(iter([("Mary", "./home"), ("Bob", "./cart"), ("Eve", None)]), ["username", "url"])
+        write(iter([("Mary", "./buy")]), ["username", "url"])
+    with duckdb.connect(path) as db:
+        assert db.execute("SELECT * FROM clicks ORDER BY 1").fetchall() == [("Bob", "./cart"), ("Eve", None), ("Mary", "./buy")]
+    seen = []
+
+    class Connection:
+        cursor, commit, close = (lambda self: self), (lambda self: None), (lambda self: None)
+        executemany = lambda self, sql, rows: seen.append(sql)
+
+    upsert.database_writer(Connection, "t", "%s", "ON DUPLICATE KEY UPDATE {sets}", "VALUES({0})")([(1, 2)], ["k", "v"])
+    assert seen == ["INSERT INTO t (k, v) VALUES (%s, %s) ON DUPLICATE KEY UPDATE v = VALUES(v)"]
+
+
+def test_late_split_in_batches(spark, tmp_path):
+    schema = "seq long, ms long"
+    parts = [[(1, 1000)], [(2, 3000), (3, 1500)], [(4, 2500), (5, None)], [(6, 2998), (7, 2999)]]
+    s = batches(spark, parts, schema).withColumn("ts", F.timestamp_millis("ms"))
+    split = pipelines.late_split_batches(f"{tmp_path}/wm", upsert.write_ahead(f"{tmp_path}/out"), "seq", "ts", 0)
+    for _ in range(2):
+        s.writeStream.foreachBatch(split).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    split(spark.createDataFrame(parts[1], schema).withColumn("ts", F.timestamp_millis("ms")), 1)  # a batch that is run again
+    want = [(1, "main", None), (2, "main", 999), (3, "late", 2999), (4, "late", 2999), (5, "main", 2999), (6, "late", 2999), (7, "main", 2999)]
+    assert rows(spark.read.parquet(f"{tmp_path}/out"), "seq", "tag", "wm_before") == want
+    with pytest.raises(ValueError, match="as long as the checkpoint"):
+        split(spark.createDataFrame(parts[1], schema).withColumn("ts", F.timestamp_millis("ms")), 9)
+
+
+def test_socket_with_labels(spark, tmp_path):
+    import socket
+    import threading
+    import time
+
+    from rillflow.sinks.changelog import labelled
+    from rillflow.sources.tables import socket_lines
+
+    with socket.create_server(("localhost", 0)) as server:
+        def serve():
+            connection, _ = server.accept()
+            with connection:
+                connection.sendall("to be or\nnot to be\n".encode())
+                time.sleep(15)
+
+        threading.Thread(target=serve, daemon=True).start()
+        lines = socket_lines(spark, "localhost", server.getsockname()[1])
+        words = lines.select(F.explode(F.split("text", " ")).alias("word")).groupBy("word").count()
+        q = labelled(words, "words").writeStream.outputMode("update").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{tmp_path}/{i}")).start()
+        until = time.time() + 15
+        while not (q.lastProgress or {}).get("numInputRows") and not any((p["numInputRows"] for p in q.recentProgress)) and time.time() < until:
+            time.sleep(0.2)
+        q.stop()
+    found = spark.read.parquet(*glob.glob(f"{tmp_path}/[0-9]*"))
+    assert rows(found.groupBy("label", "word").agg(F.max("count").alias("n")), "label", "word", "n") == [("words", "be", 2), ("words", "not", 1), ("words", "or", 1), ("words", "to", 2)]
+
+
 def test_side_outputs_of_one_query(spark, tmp_path):
     s = batches(spark, [[(1, "main"), (2, "late")], [(3, "main")]], "v long, tag string")
     write = split_by_tag(["main", "late"], lambda tag, df, i: df.write.mode("overwrite").parquet(f"{tmp_path}/{tag}/batch={i}"))
