@@ -36,10 +36,10 @@ def late_split(df: DataFrame, seq: str, ts: str, bound_ms: int, emits: Column |
     return out.withColumn("tag", F.when(millis(ts) < F.col("wm_before"), "late").otherwise("main"))
 
 
-def window_late_split(df: DataFrame, seq: str, ts: str, bound_ms: int, size_ms: int, lateness_ms: int = 0) -> DataFrame:
+def window_late_split(df: DataFrame, seq: str, ts: str, bound_ms: int, size_ms: int, lateness_ms: int = 0, since: int | None = None) -> DataFrame:
     """Adds the window's ``end_ms`` and ``tag``: late once the watermark has passed its end - 1 ms plus the lateness."""
     end = F.floor(millis(ts) / size_ms) * size_ms + size_ms
-    out = with_watermark(df, seq, ts, bound_ms).withColumn("end_ms", end)
+    out = with_watermark(df, seq, ts, bound_ms, since=since).withColumn("end_ms", end)
     return out.withColumn("tag", F.when(F.col("wm_before") >= F.col("end_ms") - 1 + lateness_ms, "late").otherwise("main"))
 
 

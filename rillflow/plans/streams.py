@@ -137,6 +137,18 @@ def stream_allowed_lateness(spark: SparkSession, d: str) -> DataFrame:
     return fired.withColumn("firing", F.row_number().over(W.partitionBy("user_id", "end_ms").orderBy("cnt")).cast("bigint"))
 
 
+@query(c.SQL["allowed_lateness"])
+def stream_allowed_lateness_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The same by all tasks, with the open windows carried between micro-batches."""
+    rows = timed(c.jittered(spark, d).select("user_id", "seq", "ts"))
+    out = work_path(spark, "windows")
+    windows = pipelines.late_windows_batches(work_path(spark, "open"), write_ahead(out), "seq", "ts", ["user_id"], c.BOUND, c.SIZE, c.LATENESS)
+    replayed = replay(rows, "seq", BATCHES, [sentinel(rows, seq=1 << 60)])
+    replayed.writeStream.foreachBatch(windows).option("checkpointLocation", work_path(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    fired = spark.read.schema("tag string, user_id bigint, end_ms bigint, firing bigint, cnt bigint").parquet(f"{out}/batch=*")
+    return fired.where("tag = 'main'").select("user_id", "end_ms", "cnt", "firing")
+
+
 @query(c.SQL["broadcast_filter"])
 def stream_broadcast_filter(spark: SparkSession, d: str) -> DataFrame:
     kind = (F.col("event_id") / 97).cast("bigint") % 3

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.lateness import late_split, millis
+from ..operators.lateness import late_split, millis, window_late_split
 
 
 def tumble_counts(stream: DataFrame, ts: str, size: str, keys: list[str], delay: str = "0 seconds") -> DataFrame:
@@ -59,17 +60,73 @@ def late_split_batches(folder: str, write: Callable[[DataFrame, int], None], seq
     to ``folder`` under the batch's number before the rows are: a batch that is run again finds what it found before.
     """
 
+    def one(batch: DataFrame, batch_id: int) -> None:
+        since = _largest_before(batch.sparkSession, folder, batch_id)
+        _keep_largest(batch, ts, since, f"{folder}/{batch_id}")
+        write(late_split(batch, seq, ts, bound_ms, since=since), batch_id)
+
+    return one
+
+
+def _keep_largest(batch: DataFrame, ts: str, since: int | None, path: str) -> None:
+    batch.agg(F.greatest(F.max(millis(ts)), F.lit(since).cast("bigint")).alias("m")).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def _largest_before(spark: SparkSession, folder: str, batch_id: int) -> int | None:
+    """The largest time, in ms, of all batches before one; null at first."""
+    if not batch_id:
+        return None
+    try:
+        return spark.read.schema("m long").parquet(f"{folder}/{batch_id - 1}").first().m
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise ValueError(f"no watermark of batch {batch_id - 1} in {folder}: it must live as long as the checkpoint") from e
+
+
+def late_windows_batches(folder: str, write: Callable[[DataFrame, int], None], seq: str, ts: str, keys: list[str], bound_ms: int, size_ms: int, lateness_ms: int) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: tumbling counts with allowed lateness, by a watermark that follows each row in the order of
+    ``seq``; micro-batches come in that order.
+
+    To ``write`` go tag, keys, end_ms, firing, cnt and seq. A window fires (tag main) when the watermark reaches its end
+    - 1 ms, with its rows until then, and again for each row that comes later but within the lateness (then with that row's
+    seq). Rows that come after that are tagged late (firing and cnt are null). Rows without a time are in no window.
+
+    All tasks share a micro-batch. What came in time is counted by partial sums; only rows within the lateness are ordered
+    by key. From one batch to the next go the largest time and the table of open windows, both written to ``folder`` under
+    the batch's number before the rows are: a batch that is run again finds what it found before.
+    """
+    window = [*keys, "end_ms"]
+
     def one(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        since = None
+        since = _largest_before(spark, f"{folder}/time", batch_id)
+        _keep_largest(batch, ts, since, f"{folder}/time/{batch_id}")
+        largest = _largest_before(spark, f"{folder}/time", batch_id + 1)
+        passed = lambda ms: F.lit(None if largest is None else largest - bound_ms - 1).cast("bigint") >= ms
+        rows = window_late_split(batch, seq, ts, bound_ms, size_ms, lateness_ms, since).where("end_ms IS NOT NULL")
+        again = F.coalesce(F.col("wm_before") >= F.col("end_ms") - 1, F.lit(False))
+        rows = rows.withColumn("again", again).select(*window, "tag", "again", F.col(seq).alias("seq")).persist()
+        main, none = rows.where("tag = 'main'"), F.lit(0).cast("bigint")
+        new = main.groupBy(*window).agg(F.count_if(~F.col("again")).alias("cnt"), none.alias("firings"), F.count_if("again").alias("more"))
         if batch_id:
-            try:
-                since = spark.read.schema("m long").parquet(f"{folder}/{batch_id - 1}").first().m
-            except AnalysisException as e:
-                if e.getCondition() != "PATH_NOT_FOUND":
-                    raise
-                raise ValueError(f"no watermark of batch {batch_id - 1} in {folder}: it must live as long as the checkpoint") from e
-        batch.agg(F.greatest(F.max(millis(ts)), F.lit(since).cast("bigint")).alias("m")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{batch_id}")
-        write(late_split(batch, seq, ts, bound_ms, since=since), batch_id)
+            new = spark.read.schema(new.drop("more").schema).parquet(f"{folder}/open/{batch_id - 1}").withColumn("more", none).unionByName(new)
+        sums = new.groupBy(*window).agg(*(F.sum(c).alias(c) for c in ("cnt", "firings", "more")))
+        first = (F.col("firings") == 0) & (F.col("cnt") > 0) & F.coalesce(passed(F.col("end_ms") - 1), F.lit(False))
+        sums = sums.withColumn("first", first).withColumn("firings", F.col("firings") + F.col("first").cast("bigint"))
+        held = sums.where(~F.coalesce(passed(F.col("end_ms") - 1 + lateness_ms), F.lit(False)))
+        held = held.select(*window, (F.col("cnt") + F.col("more")).alias("cnt"), (F.col("firings") + F.col("more")).alias("firings"))
+        held.write.mode("overwrite").parquet(f"{folder}/open/{batch_id}")
+        nth = F.row_number().over(W.partitionBy(*window).orderBy("seq"))
+        late_ones = main.where("again").withColumn("nth", nth)
+        same = [late_ones[c].eqNullSafe(sums[c]) for c in window]
+        later = late_ones.join(sums.where("more > 0"), same).select(*(late_ones[c] for c in window), (F.col("firings") + F.col("nth")).alias("firing"), (F.col("cnt") + F.col("nth")).alias("cnt"), "seq")
+        fired = sums.where("first").select(*window, F.col("firings").alias("firing"), "cnt", F.lit(None).cast(rows.schema["seq"].dataType).alias("seq"))
+        late = rows.where("tag = 'late'").select(F.lit("late").alias("tag"), *window, F.lit(None).cast("bigint").alias("firing"), F.lit(None).cast("bigint").alias("cnt"), "seq")
+        write(fired.unionByName(later).select(F.lit("main").alias("tag"), "*").unionByName(late), batch_id)
+        rows.unpersist()
+        if batch_id > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/open/{batch_id - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return one

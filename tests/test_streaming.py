@@ -238,6 +238,20 @@ def test_late_split_in_batches(spark, tmp_path):
         split(spark.createDataFrame(parts[1], schema).withColumn("ts", F.timestamp_millis("ms")), 9)
 
 
+def test_allowed_lateness_in_batches(spark, tmp_path):
+    times = (1000, 10_000, 2000, 16_000, 3000, None, 2500, 60_000)
+    want = [("late", 5000, None, None, 4), ("late", 5000, None, None, 6), ("main", 5000, 1, 1, None), ("main", 5000, 2, 2, 2), ("main", 15_000, 1, 1, None), ("main", 20_000, 1, 1, None)]
+    for size in (1, 3, 8):
+        parts = [[(i, t, None) for i, t in enumerate(times)][at : at + size] for at in range(0, len(times), size)]
+        dfs = [spark.createDataFrame(p, "seq long, ms long, k long").withColumn("ts", F.timestamp_millis("ms")) for p in parts]
+        out = f"{tmp_path}/{size}"
+        one = pipelines.late_windows_batches(f"{out}/held", upsert.write_ahead(f"{out}/rows"), "seq", "ts", ["k"], 5000, 5000, 5000)
+        for i, df in enumerate(dfs):
+            one(df, i)
+            one(df, i)  # a batch that is run again
+        assert rows(spark.read.parquet(f"{out}/rows"), "tag", "end_ms", "firing", "cnt", "seq") == sorted(want, key=str)
+
+
 def test_socket_with_labels(spark, tmp_path):
     import socket
     import threading
