@@ -51,8 +51,8 @@ OPENINGS = {"MIT-text", "BSD", "ISC", "Unlicense"}
 TEXTS = {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
 #: So many paragraphs in a row that are in no whole license may stand between paragraphs of one.
 GAP = 5
-#: A line with one of these starts a candidate block. Every template and whole license here has one, and a notice of one
-#: sentence has more than the words that may differ in it; so only of the longer templates a variant may lack all of them.
+#: A line with one of these starts a candidate block. Every template and whole license here has one; of templates that a
+#: variant may strip of all of them the scan looks for pairs of neighbouring words too (``wider_cues``).
 CUES = r"(?i)licen[sc]e|permission (?:is hereby granted|to use)|redistribution and use|public domain|all rights reserved|free software|released (?:into|under)|under cc|\bcc0\b|\bgnu\b"
 MAX_DIFFERENCE = 0.25
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
@@ -77,7 +77,28 @@ def cues_of(templates: dict[str, str], max_difference: float = MAX_DIFFERENCE) -
             found |= {r"[^a-z0-9]+".join(map(re.escape, p)) for p in sorted(pairs, key=lambda p: (-len(p[0] + p[1]), p))[: 2 * allowed + 1]}
         else:
             found |= {re.escape(x) for x in sorted(w, key=lambda x: (-len(x), x))[: allowed + 1]}
-    return "(?i)" + "|".join(sorted(found, key=lambda x: (-len(x), x))) if found else r"(?!)"
+    by_first: dict = {}
+    for x in sorted(found, key=lambda x: (-len(x), x)):
+        by_first.setdefault(x[0], []).append(x[1:])
+    return r"(?i)(?<![a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(by_first.items())) + ")" if found else r"(?!)"
+
+
+def wider_cues(templates: dict[str, str], cues: str = CUES, max_difference: float = MAX_DIFFERENCE) -> str | None:
+    """``cues_of`` those templates that a variant within ``max_difference`` may strip of all ``cues``; None if there are none.
+
+    A differing word breaks one at most of the cues that have no word in common.
+    """
+    lost = {}
+    for name, text in templates.items():
+        seen: set = set()
+        disjoint = 0
+        for m in re.finditer(cues, text):
+            own = {w.start() for w in _WORD.finditer(text.lower()) if w.start() < m.end() and m.start() < w.end()}
+            if not own & seen:
+                disjoint, seen = disjoint + 1, seen | own
+        if disjoint <= int(max_difference * len(words(text))):
+            lost[name] = text
+    return cues_of(lost, max_difference) if lost else None
 
 
 @cache
@@ -133,37 +154,58 @@ def extended(lines: list[str], start: int, first: int, after: int, triples: set)
     return reach(first, start, -1), reach(after, len(lines), 1)
 
 
-def candidate_blocks(text: str, known: set[str], triples: set = frozenset(), cues: str = CUES) -> Iterator[tuple[int, int, str]]:
-    """(first line, line after the last, block): a cue's line with the lines around it of license words, a third at least,
-    and the paragraphs around these that are of whole licenses."""
-    cue = re.compile(cues)
-    if not cue.search(text):
+def either(cues: str, wider: str | None) -> str:
+    """One expression for both; each starts with (?i)."""
+    return f"{cues}|{wider.removeprefix('(?i)')}" if wider else cues
+
+
+def candidate_blocks(text: str, known: set[str], triples: set = frozenset(), cues: str = CUES, wider: str | None = None) -> Iterator[tuple[int, int, str]]:
+    """(first line, line after the last, block), in order: a cue's line with the lines around it of license words, a third
+    at least, and the paragraphs around these that are of whole licenses. Then, in lines that are in none of these blocks,
+    the same around ``wider`` cues."""
+    if not re.search(either(cues, wider), text):
         return
     lines = text.split("\n")
-    cued = [False] * len(lines)
     starts = list(accumulate((len(line) + 1 for line in lines), initial=0))
-    for m in cue.finditer(text):  # a cue of several words may run over a line's end
-        for i in range(bisect_right(starts, m.start()) - 1, bisect_right(starts, max(m.start(), m.end() - 1))):
-            cued[i] = True
+
+    def lines_with(pattern: str) -> list[bool]:
+        found = [False] * len(lines)
+        for m in re.finditer(pattern, text):  # a cue of several words may run over a line's end
+            for i in range(bisect_right(starts, m.start()) - 1, bisect_right(starts, max(m.start(), m.end() - 1))):
+                found[i] = True
+        return found
+
+    cued = lines_with(cues)
 
     def alike(line: str) -> bool:
         w = words(line)
         return bool(w) and 3 * sum(x in known for x in w) >= len(w)
 
-    i = start = 0
-    while i < len(lines):
-        if not cued[i]:
-            i += 1
-            continue
-        first, after = i, i + 1
-        while first > 0 and alike(lines[first - 1]) and not cued[first - 1]:
-            first -= 1
-        while after < len(lines) and alike(lines[after]) and not (cued[after] and lines[after - 1].rstrip().endswith(".")):
-            after += 1
-        if triples:
-            first, after = extended(lines, start, first, after, triples)
+    def around(seeds: list[bool], start: int, stop: int, low: int) -> Iterator[tuple[int, int]]:
+        i = start
+        while i < stop:
+            if not seeds[i]:
+                i += 1
+                continue
+            first, after = i, i + 1
+            while first > low and alike(lines[first - 1]) and not cued[first - 1]:
+                first -= 1
+            while after < stop and alike(lines[after]) and not (cued[after] and lines[after - 1].rstrip().endswith(".")):
+                after += 1
+            if triples:
+                first, after = extended(lines[:stop], start, first, after, triples)
+            yield first, after
+            i = start = after
+
+    blocks = list(around(cued, 0, len(lines), 0))
+    if wider:
+        seeds, at, free = lines_with(wider), 0, []
+        for first, after in [*blocks, (len(lines), len(lines))]:
+            free += around(seeds, at, first, at)
+            at = max(at, after)
+        blocks = sorted(blocks + free)
+    for first, after in blocks:
         yield first, after, "\n".join(lines[first:after])
-        i = start = after
 
 
 def rank(block: str, items: tuple[tuple[str, str], ...]) -> list[tuple[float, str, int, int]]:
@@ -311,9 +353,10 @@ SCHEMA = "doc_id long, block_no int, first_line int, n_lines int, license string
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
-def scan_text(text: str, items: tuple[tuple[str, str], ...], max_difference: float = MAX_DIFFERENCE, top: int | None = None, texts: tuple[tuple[str, str], ...] = (), cues: str = CUES) -> list[tuple]:
-    """A tuple (NAMES without doc_id) for each license of each candidate block of a text, one at least for a block; where
-    a block has several, each with its own part of the block.
+def scan_text(text: str, items: tuple[tuple[str, str], ...], max_difference: float = MAX_DIFFERENCE, top: int | None = None, texts: tuple[tuple[str, str], ...] = (), cues: str = CUES, wider: str | None = None) -> list[tuple]:
+    """A tuple (NAMES without doc_id) for each license of each candidate block of a text, one at least for a block with
+    one of ``cues`` (one around ``wider`` cues alone has a row only for a license); where a block has several, each with its
+    own part of the block.
 
     Of templates that overlap the one with the fewest differing words wins (ties: the longer match, then the larger
     reduction), but a whole license of ``texts`` wins over what it contains. kind: text (a whole license), notice or
@@ -326,11 +369,11 @@ def scan_text(text: str, items: tuple[tuple[str, str], ...], max_difference: flo
     templates, _, known = _templates(items)
     by_name = {name: w for name, w, _ in templates}
     out = []
-    for first, after, block in candidate_blocks(text, known, _texts(texts)[1] if texts else frozenset(), cues):
+    for first, after, block in candidate_blocks(text, known, _texts(texts)[1] if texts else frozenset(), cues, wider):
         own = words(block)
         found = [(*f, "text") for f in whole(own, texts, max_difference)]
         taken = [f[7:9] for f in found]
-        found += [(*f, "opening" if f[2] in OPENINGS else "notice") for f in confirmed(own, cue_places(block, cues), items, max_difference, top) if all(f[8] <= lo or f[7] >= hi for lo, hi in taken)]
+        found += [(*f, "opening" if f[2] in OPENINGS else "notice") for f in confirmed(own, cue_places(block, either(cues, wider)), items, max_difference, top) if all(f[8] <= lo or f[7] >= hi for lo, hi in taken)]
         shown = [(first, after - first, block)] * len(found)
         if len(found) > 1:
             source = block if len(block) == len(low := block.lower()) else low
@@ -343,7 +386,7 @@ def scan_text(text: str, items: tuple[tuple[str, str], ...], max_difference: flo
         for (n, gain, name, alone, given, missing, added, _, _, kind), (line, n_lines, part) in zip(sorted(found, key=lambda f: f[7]), shown, strict=True):
             verdict = "variant" if n else "opening" if kind == "opening" else "exact"
             out.append((len(out), line, n_lines, name, verdict, alone, given, round(-gain, 6), len(missing), len(added), " ".join(missing), " ".join(added), part, kind))
-        if not found:
+        if not found and re.search(cues, block):
             near = [(*differences(own, by_name[name]), gain, alone, given) for gain, name, alone, given in rank(block, items)[:top]]
             missing, added, gain, alone, given = min(near, key=lambda x: (len(x[0]) + len(x[1]), -x[2]))
             out.append((len(out), first, after - first, None, "unknown", alone, given, round(gain, 6), len(missing), len(added), " ".join(missing), " ".join(added), block, None))
@@ -353,21 +396,23 @@ def scan_text(text: str, items: tuple[tuple[str, str], ...], max_difference: flo
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, max_difference: float = MAX_DIFFERENCE, top: int | None = None) -> DataFrame:
     """A row per license, or unknown candidate block, of ``docs`` (doc_id, text), of the whole texts.
 
-    Whole licenses (TEXTS) are looked for too, unless ``templates`` are given; then cues are made from these (``cues_of``),
-    so that none is missed. ``top`` and the verdicts: see ``scan_text``. A text of any length is scanned whole; around a
+    Whole licenses (TEXTS) are looked for too, unless ``templates`` are given. Cues are made from the templates where the
+    fixed ones don't do (``wider_cues``; all of them where ``templates`` are given), so that none within ``max_difference``
+    is missed. ``top`` and the verdicts: see ``scan_text``. A text of any length is scanned whole; around a
     cue only windows of a template's length are aligned. Ties between templates go to the first by name. A null or empty
     text, or one without a cue, gives no row; so does an empty table. Null ids are carried; repeated rows give their
     blocks again; other columns are left aside.
     """
     items, texts = tuple((templates or TEMPLATES).items()), () if templates else tuple(TEXTS.items())
     cues = cues_of(templates, max_difference) if templates else CUES
+    wider = None if templates else wider_cues(TEMPLATES, CUES, max_difference)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [{"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}[c.split()[1]] for c in SCHEMA.split(", ")]
         for batch in batches:
-            rows = [(doc_id.as_py(), *r) for doc_id, text in zip(*batch.columns, strict=True) for r in scan_text(text.as_py(), items, max_difference, top, texts, cues)]
+            rows = [(doc_id.as_py(), *r) for doc_id, text in zip(*batch.columns, strict=True) for r in scan_text(text.as_py(), items, max_difference, top, texts, cues, wider)]
             cols = list(zip(*rows, strict=True)) if rows else [[] for _ in NAMES]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], NAMES)
 
-    cued = docs.where(F.col("text").rlike(cues)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    cued = docs.where(F.col("text").rlike(either(cues, wider))).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return cued.mapInArrow(lean(run), SCHEMA)

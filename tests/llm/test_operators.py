@@ -846,6 +846,23 @@ def test_licenses_equal_brute_force():
             assert got == brute_licenses(text, templates)
 
 
+def test_variants_that_lack_every_fixed_cue(spark):
+    t, prose = license_scan.TEMPLATES, "We walked the long way home again that day."
+    gone = {
+        "BSD": t["BSD"].replace("Redistribution and", "Copying and"),
+        "ISC": t["ISC"].replace("Permission to", "You are free to"),
+        "GPL-3.0": "This work is under the General Public, version 3.",
+        "Unlicense": "This is free and unencumbered software into the public.",
+    }
+    assert not any(re.search(license_scan.CUES, x) for x in gone.values())
+    texts = [x for text in gone.values() for x in (text, f"{prose}\n{prose} {text}\n# {prose}", f"{prose}\n\n# {text.replace(' is ', ' is' + chr(10) + '# ', 1)}\n\n{t['MIT']}")]
+    rows = license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    names = [name for name in gone for _ in range(3)]
+    got = {i: [(r.license, r.verdict) for r in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.block_no)] for i in range(len(texts))}
+    assert got == {i: [(name, "variant")] + [("MIT", "exact")] * (i % 3 == 2) for i, name in enumerate(names)}
+    assert license_scan.scan_text(f"This work\n{prose}\nthe following conditions", tuple(t.items()), wider=license_scan.wider_cues(t)) == []
+
+
 def test_templates_of_ones_own(spark):
     own = {"house": "You may copy, bend and sell these words in any country for ever."}
     texts = [f"{LONG}\nyou may COPY bend and\n* sell these words in any country for ever!\n{LONG}", own["house"].replace("bend and", "bend or"), LONG, "Released under the MIT License."]
