@@ -183,3 +183,42 @@ def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_words:
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(judge), "doc_id long, " + ", ".join(f"{k} long" for k in BASE) + ", base_failed boolean, kept boolean, rejected_by string")
+
+
+#: The same rows (built-in rules) in DuckDB's SQL.
+SQL = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+),
+word AS (SELECT r, count(*) AS c FROM (SELECT r, unnest(ws) AS w FROM t) GROUP BY r, w),
+words AS (SELECT r, count(*) AS n_distinct, max(c) AS top FROM word GROUP BY r),
+win AS (SELECT r, p, ws[p] || ' ' || ws[p + 1] || ' ' || ws[p + 2] AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS p FROM t)),
+again AS (SELECT r, p FROM win QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+covered AS (SELECT r, count(DISTINCT p + k) AS n FROM again, range(3) x(k) GROUP BY r),
+line AS (SELECT r, unnest(string_split(text, chr(10))) AS s FROM t),
+lines AS (
+  SELECT r, count(*) FILTER (WHERE regexp_matches(s, '[^\x20\x09-\x0D]')) - count(DISTINCT s) FILTER (WHERE regexp_matches(s, '[^\x20\x09-\x0D]')) AS n_dup_lines,
+         count(*) FILTER (WHERE s <> '') AS n, count(DISTINCT s) FILTER (WHERE s <> '') AS n_distinct
+  FROM line GROUP BY r
+),
+base AS (
+  SELECT t.r, doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         lines.n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+         greatest(len(ws), 1)::DOUBLE AS n, greatest(length(text), 1)::DOUBLE AS chars,
+         length(regexp_replace(text, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(text, '[^A-Za-z\x{C0}-\x{10FFFF}]', '', 'g')) AS letters,
+         length(regexp_replace(text, '[^!?]', '', 'g')) AS exclaims, length(regexp_replace(text, '[^0-9]', '', 'g')) AS digits,
+         lines.n AS n_lines, lines.n_distinct AS lines_distinct, coalesce(words.n_distinct, 0) AS words_distinct, coalesce(words.top, 0) AS top
+  FROM t JOIN lines USING (r) LEFT JOIN words USING (r) LEFT JOIN covered USING (r)
+),
+judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         n_symbols > 0.1::DOUBLE * n OR upper > 0.5::DOUBLE * greatest(letters, 1) OR exclaims > 0.5::DOUBLE * n
+         OR word_chars / n < 2.5::DOUBLE OR word_chars / n > 12 OR letters < 0.5::DOUBLE * chars OR digits > 0.3::DOUBLE * chars
+         OR n_lines - lines_distinct > 0.4::DOUBLE * greatest(n_lines, 1) OR words_distinct < 0.08::DOUBLE * n OR top > 0.3::DOUBLE * n AS rejected
+  FROM base
+)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
+FROM judged
+"""

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .cascade import SQL as CASCADE_SQL
 from .cascade import quality_cascade
 from .license_scan import license_scan
 from .line_dedup import SQL as LINE_DEDUP_SQL
@@ -77,4 +78,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_license_scan, op2_line_dedup, op3_warc, op4_toxicity, op5_ngram_join, op6_media, op7_quality, op8_packing, op9_quality_rules, op10_segmentations)
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": LINE_DEDUP_SQL, "op5_ngram_join": NGRAM_JOIN_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": LINE_DEDUP_SQL, "op5_ngram_join": NGRAM_JOIN_SQL, "op9_quality_rules": CASCADE_SQL}

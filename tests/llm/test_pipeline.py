@@ -56,7 +56,7 @@ def test_odd_documents_pass_every_stage(spark, tmp_path):
             df.count()
 
 
-@pytest.mark.parametrize("name", ["op2_line_dedup", "op5_ngram_join"])
+@pytest.mark.parametrize("name", ["op2_line_dedup", "op5_ngram_join", "op9_quality_rules"])
 def test_sql_gives_the_same_rows(spark, name):
     import duckdb
 
@@ -68,6 +68,31 @@ def test_sql_gives_the_same_rows(spark, name):
     assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want)
 
 
+def test_sql_of_the_rules_on_odd_texts(spark):
+    import random
+
+    import duckdb
+    import pyarrow as pa
+
+    from rillflow.llm import cascade
+
+    rng = random.Random(5)
+    signs = ["abcdefgh", "ABCDEFGH", "0123456789", "!?", "#*$%&|<>", "éàüß漢字", "µª°·", ".,;:-_", "aeiou"]
+    texts = [None, "", " \r\n\x0b", "\n\n\n", "word " * 60, "a\x00b c\u0301 " * 30]
+    for _ in range(300):
+        sets = rng.sample(signs, rng.choice([1, 2, 2, 3])) + rng.choice([[], ["abcdefgh"] * 3])
+        words = ["".join(rng.choices(rng.choice(sets), k=rng.randint(1, rng.choice([3, 8, 20])))) for _ in range(rng.choice([40, 50, 60, 120]))]
+        texts.append("".join(w + rng.choice([" ", " ", "  ", "\n", "\t", " \r\n"]) for w in words) + rng.choice(["", "\nsame line here" * 25]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = cascade.quality_cascade(docs).drop("rejected_by")
+    db = duckdb.connect()
+    db.register("documents", pa.table({"doc_id": list(range(len(texts))), "text": pa.array(texts, pa.string())}))
+    want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({cascade.SQL})").fetchall()
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(want)
+    assert 20 < sum(r[-1] for r in rows) < sum(not r[-2] for r in rows) - 20
+
+
 def test_all_queries_registered():
     names = set(entry.queries())
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
