@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lateness import millis
 from ..sinks.upsert import write_ahead
 from ..streaming import pipelines, processors
 from ..streaming.harness import END, collect, latest, replay, work_path
@@ -104,7 +105,7 @@ def stream_count_window(spark: SparkSession, d: str) -> DataFrame:
 
 
 def jittered_ms(spark: SparkSession, d: str) -> DataFrame:
-    rows = c.jittered(spark, d).select("event_id", F.col("user_id").alias("k"), "seq", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    rows = c.jittered(spark, d).select("event_id", F.col("user_id").alias("k"), "seq", millis("ts").alias("ms"))
     return rows.withColumn("flush", F.lit(False)).withColumn("bucket", F.lit(0))
 
 

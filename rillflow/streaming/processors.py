@@ -6,7 +6,10 @@ the timers that the batch has made due, so processors with deadlines check them
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
+from itertools import chain
+from operator import itemgetter
 
 from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -18,6 +21,15 @@ def _sorted(rows: Iterator[Row]) -> list[Row]:
     return sorted(rows, key=lambda r: r.seq)
 
 
+def _columns(rows: Iterator[Row], *names: str) -> list[tuple]:
+    """The named columns of the rows, the first of which they are sorted by; looked up by name once, not for every row."""
+    first = next(rows, None)
+    if first is None:
+        return []
+    take = itemgetter(*(first.__fields__.index(n) for n in names))
+    return sorted((take(tuple(r)) for r in chain([first], rows)), key=itemgetter(0))
+
+
 class Statistics(StatefulProcessor):
     """Value state: min, max, sum, count and truncating average after each row. Input: key, seq, v."""
 
@@ -131,32 +143,48 @@ class LateWindows(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         wm = self.wm.get()[0] if self.wm.exists() else None
-        held = {tuple(k): list(self.windows.getValue(tuple(k))) for k in self.windows.keys()}
-        before = set(held)
-        for r in _sorted(rows):
-            at = (r.k, r.ms // self.size * self.size + self.size)
-            if not r.flush:
-                if wm is not None and wm >= at[1] - 1 + self.lateness:
-                    yield Row(tag="late", k=r.k, end_ms=at[1], cnt=0, seq=r.seq)
+        before = {tuple(at): tuple(w) for at, w in self.windows.iterator()}
+        held = {at: list(w) for at, w in before.items()}
+        by_end: dict[int, list[tuple]] = {}  # the held windows; a row looks at those alone that the watermark passes
+        for at in held:
+            by_end.setdefault(at[1], []).append(at)
+        to_fire, to_drop = sorted({at[1] for at, w in held.items() if not w[1]}), sorted(by_end)
+        for seq, ms, k, flush in _columns(rows, "seq", "ms", "k", "flush"):
+            if not flush:
+                end = ms // self.size * self.size + self.size
+                if wm is not None and wm >= end - 1 + self.lateness:
+                    yield Row(tag="late", k=k, end_ms=end, cnt=0, seq=seq)
                 else:
-                    window = held.setdefault(at, [0, False])
+                    passed = wm is not None and wm >= end - 1
+                    window = held.get((k, end))
+                    if window is None:
+                        window = held[k, end] = [0, False]
+                        if end not in by_end:
+                            by_end[end] = []
+                            heapq.heappush(to_drop, end)
+                            if not passed:
+                                heapq.heappush(to_fire, end)
+                        by_end[end].append((k, end))
                     window[0] += 1
-                    if wm is not None and wm >= at[1] - 1:
+                    if passed:
                         window[1] = True
-                        yield Row(tag="main", k=at[0], end_ms=at[1], cnt=window[0], seq=r.seq)
+                        yield Row(tag="main", k=k, end_ms=end, cnt=window[0], seq=seq)
                         window[0] = 0 if self.purge else window[0]
-            new = MAX if r.flush else r.ms - self.bound - 1
+            new = MAX if flush else ms - self.bound - 1
             wm = new if wm is None else max(wm, new)
-            for at in sorted((a for a, w in held.items() if not w[1] and wm >= a[1] - 1), key=lambda a: (a[1], a[0])):
-                held[at][1] = True
-                yield Row(tag="main", k=at[0], end_ms=at[1], cnt=held[at][0], seq=r.seq)
-                held[at][0] = 0 if self.purge else held[at][0]
-            for at in [a for a in held if wm >= a[1] - 1 + self.lateness]:
-                del held[at]
-        for at in before - set(held):
+            while to_fire and wm >= to_fire[0] - 1:
+                for at in sorted(by_end[heapq.heappop(to_fire)], key=lambda at: (at[0] is not None, at[0])):
+                    held[at][1] = True
+                    yield Row(tag="main", k=at[0], end_ms=at[1], cnt=held[at][0], seq=seq)
+                    held[at][0] = 0 if self.purge else held[at][0]
+            while to_drop and wm >= to_drop[0] - 1 + self.lateness:
+                for at in by_end.pop(heapq.heappop(to_drop)):
+                    del held[at]
+        for at in before.keys() - held.keys():
             self.windows.removeKey(at)
         for at, w in held.items():
-            self.windows.updateValue(at, tuple(w))
+            if before.get(at) != tuple(w):
+                self.windows.updateValue(at, tuple(w))
         if wm is not None:
             self.wm.update((wm,))
 

@@ -4,6 +4,7 @@ import glob
 import sqlite3
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from rillflow.sinks import two_phase, upsert
@@ -36,6 +37,34 @@ def test_allowed_lateness(spark):
     assert rows(out.where("end_ms > 5000"), "end_ms", "cnt") == [(15000, 1), (20000, 1)]
 
 
+def test_many_open_windows_cost_no_time_per_row():
+    import time
+
+    class Value:
+        kept = None
+        exists, get = (lambda self: self.kept is not None), (lambda self: self.kept)
+
+        def update(self, v):
+            self.kept = v
+
+    class Map(dict):
+        keys, iterator, getValue, updateValue, removeKey = (lambda self: iter(list(self))), dict.items, dict.get, dict.__setitem__, dict.pop
+
+    class Handle:
+        getValueState, getMapState = (lambda self, *a: Value()), (lambda self, *a: Map())
+
+    windows = processors.LateWindows(1000, 0, 500)
+    windows.init(Handle())
+    got, begin = [], time.perf_counter()
+    for batch in range(2):
+        new = [Row(seq=i, ms=i // 15_000 * 1000, k=i % 5000, flush=False) for i in range(batch * 15_000, batch * 15_000 + 15_000)]
+        got += windows.handleInputRows((0,), iter(new), None)
+        assert len(windows.windows) == 5000 * (batch + 1)
+    got += windows.handleInputRows((0,), iter([Row(seq=99_999, ms=0, k=0, flush=True)]), None)
+    assert time.perf_counter() - begin < 3
+    assert len(got) == 10_000 and {(r.tag, r.cnt) for r in got} == {("main", 3)} and not windows.windows
+
+
 def test_purging_windows(spark):
     parts = [[(0, i, t, 7, False)] for i, t in enumerate((1000, 10_000, 2000))]
     out = collect(processors.run(batches(spark, parts, LATE).groupBy("bucket"), processors.LateWindows(5000, 5000, 5000, purge=True)))
