@@ -283,7 +283,7 @@ def stream_incremental_top3(spark: SparkSession, d: str) -> DataFrame:
 
 @query(c.SQL["late_split_punctuated"])
 def stream_late_split_punctuated(spark: SparkSession, d: str) -> DataFrame:
-    rows = c.jittered(spark, d).select("event_id", "seq", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), (F.col("event_type") == "signup").alias("mark"), F.lit(False).alias("flush"), F.lit(0).alias("bucket"))
+    rows = c.jittered(spark, d).select("event_id", "seq", millis("ts").alias("ms"), (F.col("event_type") == "signup").alias("mark"), F.lit(False).alias("flush"), F.lit(0).alias("bucket"))
     out = collect(processors.run(replay(rows, "seq", BATCHES).groupBy("bucket"), processors.LateSplitter(processors.Punctuated("mark"))))
     return out.select("seq", "tag").join(rows.select("seq", "event_id"), "seq").select("event_id", "tag")
 

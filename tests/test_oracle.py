@@ -46,7 +46,7 @@ def fine(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["late_split", "late_split_punctuated", "late_split_periodic", "allowed_lateness", "stream_allowed_lateness", "stream_allowed_lateness_batches"])
+@pytest.mark.parametrize("name", ["late_split", "late_split_punctuated", "late_split_periodic", "stream_late_split_punctuated", "allowed_lateness", "stream_allowed_lateness", "stream_allowed_lateness_batches"])
 def test_fractions_of_a_millisecond(spark, fine, tmp_path, name):
     catalogue.QUERIES[name](spark, fine).write.parquet(f"{tmp_path}/out")
     c = duckdb.connect()
