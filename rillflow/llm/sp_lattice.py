@@ -70,15 +70,13 @@ class Vocabulary:
         self.bits = max(10, (8 * len(edges) - 1).bit_length())
         self.slots = np.full(1 << self.bits, -1, np.int64)
         self.next = np.zeros(1 << self.bits, np.int64)
-        self.probes = 1
         mask = (1 << self.bits) - 1
         keys = np.array([(node << 21) | c for node, c in edges], np.int64)
         for key, h, to in zip(keys, self._hash(keys), edges.values(), strict=True):
-            at, tries = int(h), 1
+            at = int(h)
             while self.slots[at] >= 0:
-                at, tries = (at + 1) & mask, tries + 1
+                at = (at + 1) & mask
             self.slots[at], self.next[at] = key, to
-            self.probes = max(self.probes, tries)
 
     def _hash(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * _GOLD) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -87,16 +85,18 @@ class Vocabulary:
         """The child of each node by a character, -1 if there is none."""
         key = (node << 21) | char
         at = self._hash(key)
-        out = np.full(len(key), -1, np.int64)
-        todo = np.arange(len(key))
-        for _ in range(self.probes):
+        slot = self.slots[at]
+        hit = slot == key
+        out = np.where(hit, self.next[at], -1)
+        todo = np.flatnonzero((slot >= 0) > hit)
+        at = at[todo]
+        while len(todo):
+            at = (at + 1) & (len(self.slots) - 1)
             slot = self.slots[at]
             hit = slot == key[todo]
             out[todo[hit]] = self.next[at[hit]]
-            more = (slot >= 0) & ~hit
-            if not more.any():
-                break
-            todo, at = todo[more], (at[more] + 1) & (len(self.slots) - 1)
+            more = (slot >= 0) > hit
+            todo, at = todo[more], at[more]
         return out
 
 
@@ -106,51 +106,56 @@ def vocabulary(model_file: str) -> Vocabulary:
 
 
 class Lattice:
-    """The lattices of distinct words. Position p of ``first`` .. ``last`` is a place in a word; edges leave positions.
+    """The lattices of distinct words. Places lie by their distance from their word's end, the farthest first, and in one
+    distance by words, the longest first: so sums run over slices. A word's lattice goes from ``first`` to ``last``; the
+    places from ``inner`` on are ends. Edges leave places.
 
     cut[p] : cut[p + 1] are the edges of p; each has a target, a log-probability given p, and an id; a negative
-    one stands for the row of ``by_bytes`` with the up to four ids of a character's bytes.
+    one stands for the row of ``by_bytes`` with the up to four ids of a character's bytes. ``upto`` sums probabilities
+    in integers, so that it doesn't depend on the other words.
     """
 
     def __init__(self, voc: Vocabulary, chars: np.ndarray, lengths: np.ndarray):
-        n = int(lengths.sum() + len(lengths))
-        self.first = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]).astype(np.int64)
-        self.last = self.first + lengths
-        at = np.arange(len(chars)) + np.repeat(np.arange(len(lengths)), lengths)
-        code = np.zeros(n, np.int64)
-        code[at] = chars
-        rest = np.zeros(n, np.int64)
-        rest[at] = np.repeat(self.last, lengths) - at
-        source, length, piece, nth = [], [], [], []
+        longest = int(lengths.max()) if len(lengths) else 0
+        rank = np.empty(len(lengths), np.int64)
+        rank[np.argsort(-lengths, kind="stable")] = np.arange(len(lengths))
+        reach = np.cumsum(np.bincount(lengths, minlength=longest + 1)[::-1])  # words of at least each length, the longest first
+        base = np.concatenate([[0], np.cumsum(reach)])[longest::-1]  # of each distance the first place
+        n, self.inner = int(reach.sum()), int(base[0])
+        self.first, self.last = base[lengths] + rank, base[0] + rank
+        far = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(chars))
+        word = np.repeat(rank, lengths)
+        at = base[far] + word
+        code, after = np.empty(self.inner, np.int64), np.empty(self.inner, np.int64)
+        code[at], after[at] = chars, base[far - 1] + word
+        source, target, piece, nth = [], [], [], []
         degree = np.zeros(n, np.int64)
-        now, node, depth = at, np.zeros(len(at), np.int64), 0
+        now = here = np.arange(self.inner)
+        node, lost = np.zeros(self.inner, np.int64), now
         while len(now):
-            node = voc.step(node, code[now + depth])
-            depth += 1
-            ok = node >= 0
-            now, node = now[ok], node[ok]
+            node = voc.step(node, code[here])
+            ok = np.flatnonzero(node >= 0)
+            now, node, to = now[ok], node[ok], after[here[ok]]
             ends = voc.terminal[node]
-            hit = ends >= 0
+            hit = np.flatnonzero(ends >= 0)
             src = now[hit]
             source.append(src)
-            length.append(np.full(len(src), depth, np.int32))
+            target.append(to[hit])
             piece.append(ends[hit])
             nth.append(degree[src])
             degree[src] += 1
-            if depth == 1:
-                lost = at[degree[at] == 0]
+            if len(source) == 1:
+                lost = np.flatnonzero(degree[: self.inner] == 0)
                 degree[lost] = 1  # characters that no piece stands for go by their bytes
-            more = rest[now] > depth
-            now, node = now[more], node[more]
-        lost = lost if len(at) else at
+            more = np.flatnonzero(to < self.inner)
+            now, node, here = now[more], node[more], to[more]
         src = np.concatenate([*source, lost])
         n_piece = len(src) - len(lost)
         self.degree, self.cut = degree, np.concatenate([[0], np.cumsum(degree)])
-        place = self.cut[src] + np.concatenate([*nth, np.zeros(len(lost), np.int64)])
-        by_depth = np.empty(len(src), np.int32)
-        by_depth[place] = np.concatenate([*length, np.ones(len(lost), np.int32)])
-        self.src = np.repeat(np.arange(n, dtype=np.int32), degree)
-        self.dst = self.src + by_depth
+        place = self.cut[src]
+        place[:n_piece] += np.concatenate([*nth, lost[:0]])
+        self.src, self.dst = np.repeat(np.arange(n, dtype=np.int32), degree), np.empty(len(src), np.int64)
+        self.dst[place] = np.concatenate([*target, after[lost]])
         text = code[lost]
         size = 1 + (text > 0x7F) + (text > 0x7FF) + (text > 0xFFFF)
         lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])[size]
@@ -164,35 +169,30 @@ class Lattice:
             if k == 0:
                 byte = np.where(size == 1, text, lead | (text >> (6 * (size - 1))))
             self.by_bytes[has, k] = voc.byte_id[byte]
-        prior = voc.logp[np.maximum(self.ids, 0)]
-        prior[place[n_piece:]] = size * voc.byte_logp
+        weight = voc.logp[np.maximum(self.ids, 0)]
+        weight[place[n_piece:]] = size * voc.byte_logp
         beta = np.zeros(n)
-        far = rest[at]
-        by_rest = np.argsort(far.astype(np.uint16) if len(far) and far.max() < 65536 else far, kind="stable")
-        at, far = at[by_rest], far[by_rest]
-        bounds = np.flatnonzero(np.diff(far, prepend=0, append=-1))
-        width = degree[at]
-        start = np.concatenate([[0], np.cumsum(width)])
-        e = np.repeat(self.cut[at] - start[:-1], width) + np.arange(start[-1])
-        weight, target = prior[e], self.dst[e]
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            x, y = start[lo], start[hi]
-            v = weight[x:y] + beta[target[x:y]]
-            head = start[lo:hi] - x
+        for lo, hi in zip(base[1:].tolist(), base[:-1].tolist(), strict=True):
+            x, y = self.cut[lo], self.cut[hi]
+            v = weight[x:y]
+            v += beta[self.dst[x:y]]
+            head, width = self.cut[lo:hi] - x, degree[lo:hi]
             top = np.maximum.reduceat(v, head)
-            beta[at[lo:hi]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, width[lo:hi])), head))
+            beta[lo:hi] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, width)), head))
         self.beta = beta
-        self.logp = np.minimum(prior + beta[self.dst] - np.repeat(beta, degree), 0.0)
-        total = np.concatenate([[0.0], np.cumsum(np.exp(self.logp))])
-        self.upto = total[1:] - np.repeat(total[self.cut[:-1]], degree)
+        self.logp = np.minimum(weight - np.repeat(beta, degree), 0.0)
+        total = np.cumsum((np.exp(self.logp) * 2.0**52).astype(np.int64))  # may wrap; differences don't mind
+        total = np.concatenate([[0], total])
+        self.upto = (total[1:] - np.repeat(total[self.cut[:-1]], degree)) * 2.0**-52
+        self.upto[self.cut[1 : self.inner + 1] - 1] = 1.0  # the last edge of a place takes what rounding leaves
 
     def draw(self, p: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each position p by its probability."""
-        e, last = self.cut[p].copy(), self.cut[p + 1] - 1
-        todo = np.flatnonzero((self.upto[e] < u) & (e < last))
+        e = self.cut[p]
+        todo = np.flatnonzero(self.upto[e] < u)
         while len(todo):
             e[todo] += 1
-            todo = todo[(self.upto[e[todo]] < u[todo]) & (e[todo] < last[todo])]
+            todo = todo[self.upto[e[todo]] < u[todo]]
         return e
 
 
@@ -201,23 +201,23 @@ def uniform(key: np.ndarray, counter: np.ndarray) -> np.ndarray:
     return ((mix(key + counter.astype(np.uint64) * _GOLD) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def _walk(lattice: Lattice, p: np.ndarray, word: np.ndarray, key: np.ndarray, counter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, edge) of free draws from each position p to the end of its word, in the order of rows and steps."""
-    rows, edges, live, t = [], [], np.arange(len(p)), 0
-    live = live[p != lattice.last[word]]
-    p = p[live]
+def _walk(lattice: Lattice, p: np.ndarray, key: np.ndarray, counter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, edge) of free draws from each place p to the end of its word, in the order of rows and steps."""
+    steps, count = [], np.zeros(len(p), np.int64)
+    live = np.flatnonzero(p < lattice.inner)
+    p, key, counter = p[live], key[live], counter[live]
     while len(live):
-        e = lattice.draw(p, uniform(key[live], counter[live] + np.uint64(t)))
-        rows.append(live)
-        edges.append(e)
+        e = lattice.draw(p, uniform(key, counter + np.uint64(len(steps))))
+        steps.append((live, e))
+        count[live] += 1
         p = lattice.dst[e]
-        more = p != lattice.last[word[live]]
-        live, p, t = live[more], p[more], t + 1
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    row, edge = np.concatenate(rows), np.concatenate(edges)
-    order = np.argsort(row, kind="stable")
-    return row[order], edge[order]
+        more = np.flatnonzero(p < lattice.inner)
+        live, p, key, counter = live[more], p[more], key[more], counter[more]
+    at = np.cumsum(count) - count
+    edge = np.empty(int(count.sum()), np.int64)
+    for t, (live, e) in enumerate(steps):
+        edge[at[live] + t] = e
+    return np.repeat(np.arange(len(count)), count), edge
 
 
 def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -285,19 +285,18 @@ def sample_run(texts: list[str], keys: np.ndarray, voc: Vocabulary, samples: int
     jobs = [(i, none, none, w, -1, root, -1, ()) for i, w, root in zip(range(n), word_cut[:n].tolist(), roots, strict=True)]
     for r in range(samples):
         # Complete the jobs of this round, all at once.
-        rows_p, rows_w, owner = [], [], []
-        for j, (i, _, _, w, p, *_) in enumerate(jobs):
-            ws = np.arange(w, word_cut[i + 1])
-            ps = lattice.first[which[ws]].copy()
-            if p >= 0 and len(ps):
-                ps[0] = p
-            rows_p.append(ps)
-            rows_w.append(ws)
-            owner.append(np.full(len(ws), j))
-        p, w, owner = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows_p, rows_w, owner))
+        lo = np.array([job[3] for job in jobs], np.int64)
+        many = word_cut[np.array([job[0] for job in jobs], np.int64) + 1] - lo
+        at = np.cumsum(many) - many
+        owner = np.repeat(np.arange(len(jobs)), many)
+        w = np.arange(len(owner)) + np.repeat(lo - at, many)
+        p = lattice.first[which[w]]
+        within = np.array([job[4] for job in jobs], np.int64)
+        begun = np.flatnonzero((within >= 0) & (many > 0))
+        p[at[begun]] = within[begun]
         salt = np.uint64(r + 1) << np.uint64(56)
         key = base[doc[w]] if len(w) else np.zeros(0, np.uint64)
-        row, edge = _walk(lattice, p, which[w], key, salt + (in_doc[w].astype(np.uint64) << np.uint64(20)))
+        row, edge = _walk(lattice, p, key, salt + (in_doc[w].astype(np.uint64) << np.uint64(20)))
         cut = np.searchsorted(owner[row], np.arange(len(jobs) + 1))
         paths, path_words = [], []
         for j, job in enumerate(jobs):
@@ -329,14 +328,14 @@ def sample_run(texts: list[str], keys: np.ndarray, voc: Vocabulary, samples: int
         gumbels = _truncated(phi, limit, uniform(own, (np.uint64(r + 128) << np.uint64(56)) + within.astype(np.uint64)))
         next_jobs, picks = [], uniform(base, np.full(n, (r + 64) << 48, np.uint64))
         for j, (i, _, _, _, _, value, place, banned) in enumerate(jobs):
-            lo, edges, g = 0, paths[j], gumbels[ends[j] : ends[j + 1]]
+            edges, g = paths[j], gumbels[ends[j] : ends[j + 1]]
             found[i].append(Segmentation(edges, float(total[j]), value))
             word_of[i].append(path_words[j])
             need = samples - r
-            top = np.argpartition(-g, need - 1)[:need] if len(g) > need else np.arange(len(g))
+            top = range(len(g)) if len(g) <= need else [g.argmax()] if need == 1 else np.argpartition(-g, need - 1)[:need]
             for t in top:
                 if g[t] > -np.inf:
-                    at = lo + int(t)
+                    at = int(t)
                     ban = (*(banned if at == place else ()), int(edges[at]))
                     heapq.heappush(queues[i], (-float(g[t]), len(found[i]) - 1, at, ban))
             if not queues[i]:
@@ -363,12 +362,15 @@ def sample_run(texts: list[str], keys: np.ndarray, voc: Vocabulary, samples: int
 def edge_ids(lattice: Lattice, edges: np.ndarray) -> np.ndarray:
     """The ids that the edges stand for."""
     first = lattice.ids[edges].astype(np.int64)
-    if not len(first) or first.min() >= 0:
+    lost = np.flatnonzero(first < 0)
+    if not len(lost):
         return first
     n = lattice.n_ids[edges].astype(np.int64)
-    at = np.repeat(np.arange(len(edges)), n)
-    k = np.arange(len(at)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-    return np.where(first[at] >= 0, first[at], lattice.by_bytes[np.where(first[at] < 0, -1 - first[at], 0), k] if len(lattice.by_bytes) else 0)
+    out, at, size, row = np.repeat(first, n), np.cumsum(n)[lost] - n[lost], n[lost], -1 - first[lost]
+    for k in range(4):
+        has = size > k
+        out[at[has] + k] = lattice.by_bytes[row[has], k]
+    return out
 
 
 def _digest(lattice: Lattice, found: list[Segmentation], voc: Vocabulary) -> tuple[list[np.ndarray], list[memoryview]]:

@@ -930,6 +930,24 @@ def test_segmentations_follow_the_lattice():
         assert first[k] / n == pytest.approx(p, abs=4 * math.sqrt(p * (1 - p) / n) + 1e-3)
 
 
+def test_a_words_lattice_depends_on_no_other_word():
+    voc = sp_lattice.vocabulary(MODEL)
+    word = "▁segmentations"
+
+    def edges(words):
+        lattice = sp_lattice.Lattice(voc, np.array([ord(c) for w in words for c in w], np.int64), np.array([len(w) for w in words]))
+        found, todo = [], [int(lattice.first[-1])]
+        for p in todo:
+            for e in range(lattice.cut[p], lattice.cut[p + 1]):
+                found.append((len(todo), int(lattice.ids[e]), float(lattice.logp[e]), float(lattice.upto[e])))
+                if lattice.dst[e] not in todo:
+                    todo.append(int(lattice.dst[e]))
+        assert lattice.last[-1] in todo
+        return found
+
+    assert len(edges([word])) > 20 and edges([word]) == edges([*(f"▁w{i * i}é" for i in range(2000)), word])
+
+
 def test_small_texts_give_all_segmentations():
     voc = sp_lattice.vocabulary(MODEL)
     lattice, (own, empty) = sp_lattice.sample_run(["an", ""], np.array([1, 2]), voc, 50)
