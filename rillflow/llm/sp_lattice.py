@@ -67,6 +67,10 @@ class Vocabulary:
                 node = edges[node, c]
             terminal[node] = i
         self.terminal = np.array(terminal, np.int32)
+        self.root = np.full(0x110000, -1, np.int64)
+        for (parent, c), to in edges.items():
+            if not parent:
+                self.root[c] = to
         self.bits = max(10, (8 * len(edges) - 1).bit_length())
         self.slots = np.full(1 << self.bits, -1, np.int64)
         self.next = np.zeros(1 << self.bits, np.int64)
@@ -79,7 +83,9 @@ class Vocabulary:
             self.slots[at], self.next[at] = key, to
 
     def _hash(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * _GOLD) >> np.uint64(64 - self.bits)).astype(np.int64)
+        h = keys.view(np.uint64) * _GOLD
+        h >>= np.uint64(64 - self.bits)
+        return h.view(np.int64)
 
     def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
         """The child of each node by a character, -1 if there is none."""
@@ -130,10 +136,9 @@ class Lattice:
         code[at], after[at] = chars, base[far - 1] + word
         source, target, piece, nth = [], [], [], []
         degree = np.zeros(n, np.int64)
-        now = here = np.arange(self.inner)
-        node, lost = np.zeros(self.inner, np.int64), now
+        now = here = lost = np.arange(self.inner)
         while len(now):
-            node = voc.step(node, code[here])
+            node = voc.step(node, code[here]) if source else voc.root[code]
             ok = np.flatnonzero(node >= 0)
             now, node, to = now[ok], node[ok], after[here[ok]]
             ends = voc.terminal[node]
@@ -169,21 +174,21 @@ class Lattice:
             if k == 0:
                 byte = np.where(size == 1, text, lead | (text >> (6 * (size - 1))))
             self.by_bytes[has, k] = voc.byte_id[byte]
-        weight = voc.logp[np.maximum(self.ids, 0)]
-        weight[place[n_piece:]] = size * voc.byte_logp
-        beta = np.zeros(n)
+        self.logp = voc.logp[np.maximum(self.ids, 0)]
+        self.logp[place[n_piece:]] = size * voc.byte_logp
+        self.beta, self.upto = np.zeros(n), np.empty(len(src))
         for lo, hi in zip(base[1:].tolist(), base[:-1].tolist(), strict=True):
             x, y = self.cut[lo], self.cut[hi]
-            v = weight[x:y]
-            v += beta[self.dst[x:y]]
-            head, width = self.cut[lo:hi] - x, degree[lo:hi]
+            head, width, v = self.cut[lo:hi] - x, degree[lo:hi], self.logp[x:y]
+            v += self.beta[self.dst[x:y]]
             top = np.maximum.reduceat(v, head)
-            beta[lo:hi] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, width)), head))
-        self.beta = beta
-        self.logp = np.minimum(weight - np.repeat(beta, degree), 0.0)
-        total = np.cumsum((np.exp(self.logp) * 2.0**52).astype(np.int64))  # may wrap; differences don't mind
-        total = np.concatenate([[0], total])
-        self.upto = (total[1:] - np.repeat(total[self.cut[:-1]], degree)) * 2.0**-52
+            self.beta[lo:hi] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, width)), head))
+            v -= np.repeat(self.beta[lo:hi], width)
+            np.minimum(v, 0.0, out=v)
+            total = np.cumsum((np.exp(v) * 2.0**52).astype(np.int64))  # may wrap; differences don't mind
+            before = total[head - 1]
+            before[0] = 0
+            np.multiply(total - np.repeat(before, width), 2.0**-52, out=self.upto[x:y])
         self.upto[self.cut[1 : self.inner + 1] - 1] = 1.0  # the last edge of a place takes what rounding leaves
 
     def draw(self, p: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -198,7 +203,10 @@ class Lattice:
 
 def uniform(key: np.ndarray, counter: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1), a function of both arguments alone."""
-    return ((mix(key + counter.astype(np.uint64) * _GOLD) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    u = (mix(key + counter.astype(np.uint64, copy=False) * _GOLD) >> np.uint64(11)).astype(np.float64)
+    u += 0.5
+    u *= 2.0**-53
+    return u
 
 
 def _walk(lattice: Lattice, p: np.ndarray, key: np.ndarray, counter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,12 +263,9 @@ class Segmentation:
         self.edges, self.logp, self.value, self.inclusion = edges, logp, value, 1.0
 
 
-def _truncated(phi: np.ndarray, limit: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Gumbels of location phi, at most ``limit``; -inf stays."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        out = -np.logaddexp(-limit, np.log(-np.log(u)) - phi)
-    out[np.isneginf(phi)] = -np.inf
-    return out
+def _truncated(x: float, limit: float) -> float:
+    """The Gumbel of location phi, at most ``limit``, of log(-log(u)) - phi."""
+    return float(-np.logaddexp(-limit, x))
 
 
 def sample_run(texts: list[str], keys: np.ndarray, voc: Vocabulary, samples: int) -> tuple[Lattice, list[list[Segmentation]]]:
@@ -323,21 +328,20 @@ def sample_run(texts: list[str], keys: np.ndarray, voc: Vocabulary, samples: int
                 some[ends[j] : k] = False
         with np.errstate(divide="ignore"):
             phi = np.where(some, before[:-1] - before[ends[job_of]] + np.log(np.maximum(left, 1e-300)), -np.inf)
-        limit = np.array([job[5] for job in jobs])[job_of] if len(jobs) else np.zeros(0)
         own = np.array([base[job[0]] for job in jobs], np.uint64)[job_of] if len(jobs) else np.zeros(0, np.uint64)
-        gumbels = _truncated(phi, limit, uniform(own, (np.uint64(r + 128) << np.uint64(56)) + within.astype(np.uint64)))
+        order = np.log(-np.log(uniform(own, (np.uint64(r + 128) << np.uint64(56)) + within.astype(np.uint64)))) - phi  # as its Gumbels, falling
         next_jobs, picks = [], uniform(base, np.full(n, (r + 64) << 48, np.uint64))
         for j, (i, _, _, _, _, value, place, banned) in enumerate(jobs):
-            edges, g = paths[j], gumbels[ends[j] : ends[j + 1]]
+            edges, x = paths[j], order[ends[j] : ends[j + 1]]
             found[i].append(Segmentation(edges, float(total[j]), value))
             word_of[i].append(path_words[j])
             need = samples - r
-            top = range(len(g)) if len(g) <= need else [g.argmax()] if need == 1 else np.argpartition(-g, need - 1)[:need]
+            top = range(len(x)) if len(x) <= need else [x.argmin()] if need == 1 else np.argpartition(x, need - 1)[:need]
             for t in top:
-                if g[t] > -np.inf:
+                if x[t] < np.inf:
                     at = int(t)
                     ban = (*(banned if at == place else ()), int(edges[at]))
-                    heapq.heappush(queues[i], (-float(g[t]), len(found[i]) - 1, at, ban))
+                    heapq.heappush(queues[i], (-_truncated(x[t], value), len(found[i]) - 1, at, ban))
             if not queues[i]:
                 continue
             if r == samples - 1:
