@@ -71,11 +71,15 @@ def same_as_sql(spark, name, events, folder):
     return not any(c.execute(f"SELECT count(*) FROM (({a}) EXCEPT ALL ({b}))").fetchone()[0] for a, b in ((got, want), (want, got)))
 
 
-@pytest.mark.parametrize("name", ["late_split_punctuated"])
+@pytest.mark.parametrize("name", ["late_split_punctuated", "late_split_periodic"])
 def test_a_row_without_id_comes_last(spark, tmp_path, name):
     assert same_as_sql(spark, name, f"SELECT * REPLACE (CASE WHEN event_id <> 77 THEN event_id END AS event_id) FROM '{SF}/events.parquet'", tmp_path)
 
 
+def test_periods_below_zero(spark, tmp_path):
+    assert same_as_sql(spark, "late_split_periodic", f"SELECT * REPLACE (event_id - 500 AS event_id) FROM '{SF}/events.parquet'", tmp_path)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(catalogue.QUERIES) <= set(entry.queries()) and set(catalogue.SQL) <= set(entry.oracle_sql())
