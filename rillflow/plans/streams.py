@@ -140,14 +140,17 @@ def stream_allowed_lateness(spark: SparkSession, d: str) -> DataFrame:
 
 @query(c.SQL["allowed_lateness"])
 def stream_allowed_lateness_batches(spark: SparkSession, d: str) -> DataFrame:
-    """The same by all tasks, with the open windows carried between micro-batches."""
+    """The same by all tasks, with the open windows carried between micro-batches. Rows without a time fire at the end."""
     rows = timed(c.jittered(spark, d).select("user_id", "seq", "ts"))
-    out = work_path(spark, "windows")
-    windows = pipelines.late_windows_batches(work_path(spark, "open"), write_ahead(out), "seq", "ts", ["user_id"], c.BOUND, c.SIZE, c.LATENESS)
-    replayed = replay(rows, "seq", BATCHES, [sentinel(rows, seq=1 << 60)])
+    out, held = work_path(spark, "windows"), work_path(spark, "open")
+    windows = pipelines.late_windows_batches(held, write_ahead(out), "seq", "ts", ["user_id"], c.BOUND, c.SIZE, c.LATENESS)
+    last = F.timestamp_micros(F.lit((1 << 63) - 1))  # END isn't after times beyond 2100
+    replayed = replay(rows, "seq", BATCHES, [sentinel(rows, seq=1 << 60, ts=last)])
     replayed.writeStream.foreachBatch(windows).option("checkpointLocation", work_path(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
     fired = spark.read.schema("tag string, user_id bigint, end_ms bigint, firing bigint, cnt bigint").parquet(f"{out}/batch=*")
-    return fired.where("tag = 'main'").select("user_id", "end_ms", "cnt", "firing")
+    fired = fired.where("tag = 'main'").select("user_id", "end_ms", "cnt", "firing")
+    endless = pipelines.endless_windows(spark, held, "user_id bigint", ["user_id"])
+    return fired.unionByName(endless.select("user_id", F.lit(None).cast("bigint").alias("end_ms"), "cnt", F.lit(1).cast("bigint").alias("firing")))
 
 
 @query(c.SQL["broadcast_filter"])

@@ -80,6 +80,19 @@ def test_periods_below_zero(spark, tmp_path):
     assert same_as_sql(spark, "late_split_periodic", f"SELECT * REPLACE (event_id - 500 AS event_id) FROM '{SF}/events.parquet'", tmp_path)
 
 
+ODD_TIMES = {
+    "null": "CASE WHEN event_id % 9 <> 0 THEN ts END",
+    "before 1970": "ts - INTERVAL '54 years 15 days'",
+    "beyond 2100": "ts + INTERVAL '200 years'",
+}
+
+
+@pytest.mark.parametrize("times", ODD_TIMES)
+@pytest.mark.parametrize("name", ["allowed_lateness", "stream_allowed_lateness_batches"])
+def test_windows_of_odd_times(spark, tmp_path, name, times):
+    assert same_as_sql(spark, name, f"SELECT * REPLACE ({ODD_TIMES[times]} AS ts) FROM '{SF}/events.parquet'", tmp_path)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(catalogue.QUERIES) <= set(entry.queries()) and set(catalogue.SQL) <= set(entry.oracle_sql())
